@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op2_repetition_rules": quality.op2_repetition_rules,
 }
 
 ORACLES = {
     "op1_source_mix": mixing.OP1_SQL,
+    "op2_repetition_rules": quality.OP2_SQL,
 }
