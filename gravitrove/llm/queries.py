@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, simhash, substrings, suffixes, tokens
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_repetition_rules": quality.op2_repetition_rules,
+    "op3_simhash_dedup": simhash.op3_simhash_dedup,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op6_token_files": tokens.op6_token_files,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
 }
 
 ORACLES = {
     "op1_source_mix": mixing.OP1_SQL,
     "op2_repetition_rules": quality.OP2_SQL,
+    "op4_substring_dedup": substrings.OP4_SQL,
 }
