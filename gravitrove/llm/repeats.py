@@ -10,8 +10,8 @@ the same order, so neither texts nor positions travel.
 
 Round 1 groups equal grams; those of one document alone, and those that always stand in the same
 context, are settled. Round 2 asks for the whole contexts of the rest, round 3 for the single windows
-of the first document of each context. Identities are pairs of 64-bit hashes (gram, and context or
-window). Every round reads the same shuffle of the texts.
+of the first document of each context. Identities are pairs of hashes (gram, and context or window),
+88 bits and more. Every round reads the same shuffle of the texts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 PIECE_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20
 
 SMALLER, MIXED = 1, 2
+#: High bytes sent of the two hashes, by round. Cut grams of round 1 can only seem mixed, which round 2 settles.
+SENT_BYTES = ((6, 6), (4, 7), (4, 7))
 #: routed by bucket; part: the bucket that answers; a, b, c: identifiers and smallest documents, or flags in a.
 ROWS = "bucket long, level int, piece long, part long, a binary, b binary, c binary"
 ANSWERS = "piece long, level int, part long, a binary"
@@ -198,19 +200,38 @@ class Entries:
 
     def rows(self, piece: int, level: int) -> list[tuple]:
         return [
-            (int(p), level, piece, int(p), self.a[i:j].tobytes(), self.b[i:j].tobytes(), _packed(self.low[i:j]))
+            (int(p), level, piece, int(p), _cut(self.a[i:j], SENT_BYTES[level][0]), _cut(self.b[i:j], SENT_BYTES[level][1]), _packed(self.low[i:j]))
             for p, i, j in zip(self.parts, self.cut[:-1], self.cut[1:])
         ]
 
 
+def _cut(x: np.ndarray, high: int) -> bytes:
+    """The high bytes of each number, first all first bytes and so on: compression then finds what sorted numbers share."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - high :].T.tobytes()
+
+
+def _joined(parts: list[bytes], high: int) -> np.ndarray:
+    out = np.zeros((sum(map(len, parts)) // high, 8), np.uint8)
+    at = 0
+    for x in parts:
+        n = len(x) // high
+        out[at : at + n, 8 - high :] = np.frombuffer(x, np.uint8).reshape(high, n).T
+        at += n
+    return out.view("<u8").ravel()
+
+
 def _packed(x: np.ndarray) -> bytes:
     base = int(x.min())
-    rest = (x - base).astype(np.min_scalar_type(int(x.max()) - base))
-    return base.to_bytes(8, "little", signed=True) + bytes([rest.itemsize]) + rest.tobytes()
+    rest = (x - base).astype("<u8")
+    width = max(1, (int(rest.max()).bit_length() + 7) // 8)
+    return base.to_bytes(8, "little", signed=True) + bytes([width]) + rest.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[8]}", offset=9).astype(np.int64) + int.from_bytes(x[:8], "little", signed=True)
+    width = x[8]
+    out = np.zeros(((len(x) - 9) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(x, np.uint8, offset=9).reshape(width, len(out)).T
+    return out.view("<i8").ravel() + int.from_bytes(x[:8], "little", signed=True)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -226,8 +247,8 @@ def _answers(level: int) -> Callable[[pa.Table], pa.Table]:
         asked = table.filter(pc.field("level") == level)
         if asked.num_rows:
             a, b, c = (asked.column(x).to_pylist() for x in "abc")
-            sizes = [len(x) // 8 for x in a]
-            first, second = (np.frombuffer(b"".join(x), np.uint64) for x in (a, b))
+            sizes = [len(x) // SENT_BYTES[level][0] for x in a]
+            first, second = (_joined(x, n) for x, n in zip((a, b), SENT_BYTES[level]))
             low = np.concatenate([_unpacked(x) for x in c])
             del a, b, c
             order = np.lexsort((second, first))
