@@ -9,8 +9,10 @@ answers each identifier with two bits; the piece finds its identifiers again and
 the same order, so neither texts nor positions travel.
 
 Round 1 groups equal grams; those of one document alone, and those that always stand in the same
-context, are settled. Round 2 asks for the whole contexts of the rest, round 3 for the single windows
-of the first document of each context. Identities are pairs of hashes (gram, and context or window),
+context, are settled. Round 2 asks for the whole contexts of the rest. The first document of each
+context goes on: any of its windows extends the gram by at least half of what is missing to the left or
+to the right, so round 3 asks which extended grams several documents share, and round 4 for the single
+windows that hold those. Identities are pairs of hashes (gram, and context or window),
 88 bits and more. Every round reads the same shuffle of the texts.
 """
 
@@ -25,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a piece, and about the bytes of identifiers in a bucket.
-PIECE_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20
+PIECE_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
 
 SMALLER, MIXED = 1, 2
 #: High bytes sent of the two hashes, by round. Cut grams of round 1 can only seem mixed, which round 2 settles.
-SENT_BYTES = ((6, 6), (4, 7), (4, 7))
+SENT_BYTES = ((6, 6), (4, 7), (4, 7), (4, 7))
+ROUNDS = len(SENT_BYTES)
+#: What an identifier stands for, and what its entries tell apart: contexts of a gram, or documents of a half.
+GRAMS, WHOLE, SHARED = range(3)
 #: routed by bucket; part: the bucket that answers; a, b, c: identifiers and smallest documents, or flags in a.
 ROWS = "bucket long, level int, piece long, part long, a binary, b binary, c binary"
 ANSWERS = "piece long, level int, part long, a binary"
@@ -111,7 +116,8 @@ class Piece:
             self.bounds = np.searchsorted(starts, self.bounds)
         else:
             tokens = BYTE_TOKENS[data]
-        self.window, self.n, wide = window, len(tokens), window - gram + 1
+        self.window, self.gram, self.n, wide = window, gram, len(tokens), window - gram + 1
+        self.table = table
         self.at = np.zeros(0, np.int64)
         if self.n >= window:
             self.hashes = Rolling(tokens)
@@ -135,7 +141,7 @@ class Piece:
         if not len(self.at):
             return
         keys = self.keys[self.doc]
-        grams = Entries(self.first, self.second, keys, buckets, whole=False)
+        grams = Entries(self.first, self.second, keys, buckets, GRAMS)
         yield 0, grams
         flags = grams.read(told[0])
         gone = ~(flags & MIXED > 0) & ((flags & SMALLER > 0) | (keys > grams.least))
@@ -145,17 +151,27 @@ class Piece:
         later = (contexts.read(told.get(1, {})) & SMALLER > 0) | (keys[unsure] > contexts.least)
         gone[unsure[later]] = True
         own = unsure[~later]
+        at, half = self.at[own], self.wide // 2
+        left = np.flatnonzero(at - half >= self.bounds[self.doc[own]])
+        right = np.flatnonzero(at + self.gram + half <= self.bounds[self.doc[own] + 1])
+        of = np.concatenate([own[left], own[right]])
+        side = np.concatenate([self.hashes.of(at[left] - half, at[left] + self.gram), ~self.hashes.of(at[right], at[right] + self.gram + half)])
+        halves = Entries(self.first[of], mixed(side), keys[of], buckets, SHARED)
+        yield 2, halves
+        shared = halves.read(told.get(2, {})) & MIXED > 0
+        holds = np.zeros((2, len(own)), bool)
+        holds[0, left], holds[1, right] = shared[: len(left)], shared[len(left) :]
         starts, of = [], []
         for back in range(self.wide):
-            s = self.at[own] - back
-            ok = np.flatnonzero((s >= 0) & (s < len(self.least)))
-            ok = ok[self.least[s[ok]] == self.rank[own[ok]]]
-            starts.append(s[ok])
+            enough = (holds[0] | (back < half)) & (holds[1] | (self.wide - 1 - back < half))
+            ok = np.flatnonzero(enough & (at >= back) & (at - back < len(self.least)))
+            ok = ok[self.least[at[ok] - back] == self.rank[own[ok]]]
+            starts.append(at[ok] - back)
             of.append(own[ok])
         starts, of = np.concatenate(starts), np.concatenate(of)
         windows = Entries(self.first[of], mixed(self.hashes.of(starts, starts + self.window)), keys[of], buckets)
-        yield 2, windows
-        later = (windows.read(told.get(2, {})) & SMALLER > 0) | (keys[of] > windows.least)
+        yield 3, windows
+        later = (windows.read(told.get(3, {})) & SMALLER > 0) | (keys[of] > windows.least)
         step = np.zeros(self.n + 1, np.int64)
         np.add.at(step, self.lo[gone], 1)
         np.add.at(step, self.hi[gone], -1)
@@ -167,27 +183,26 @@ class Piece:
 class Entries:
     """Identifiers of a piece without repeats, each with its smallest document; read() gives each occurrence its answer."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, keys: np.ndarray, buckets: int, whole: bool = True):
-        order = np.lexsort((second, first)) if whole else np.argsort(first)
+    def __init__(self, first: np.ndarray, second: np.ndarray, keys: np.ndarray, buckets: int, kind: int = WHOLE):
+        order = np.argsort(first) if kind == GRAMS else np.lexsort((second, first))
         a, b, low = first[order], second[order], keys[order]
         new = np.ones(len(a), bool)
         new[1:] = a[1:] != a[:-1]
-        if whole:
+        if kind != GRAMS:
             new[1:] |= b[1:] != b[:-1]
         group = np.cumsum(new) - 1
         head = np.flatnonzero(new)
-        low = np.minimum.reduceat(low, head) if len(head) else low
+        least, most = (np.minimum.reduceat(low, head), np.maximum.reduceat(low, head)) if len(head) else (low, low)
         self.least = np.empty(len(a), np.int64)
-        self.least[order] = low[group]
-        a, least_b = a[head], b[head]
-        if not whole and len(head):  # a gram with several contexts sends its first and last
+        self.least[order] = least[group]
+        a, least_b, most_b = a[head], b[head], b[head]
+        if kind == GRAMS and len(head):
             least_b, most_b = np.minimum.reduceat(b, head), np.maximum.reduceat(b, head)
-            several = least_b != most_b
-            a, least_b, low = np.append(a, a[several]), np.append(least_b, most_b[several]), np.append(low, low[several])
-        b = least_b
+        several = np.flatnonzero(least_b != most_b if kind == GRAMS else (least != most) & (kind == SHARED))  # these send two entries
+        a, b, low = np.append(a, a[several]), np.append(least_b, most_b[several]), np.append(least, (most if kind == SHARED else least)[several])
         self.group = np.empty(len(order), np.int64)
         self.group[order] = group
-        bucket = ((mixed(a ^ (b * _BASE)) if whole else a) >> np.uint64(20)) % np.uint64(buckets)
+        bucket = ((a if kind == GRAMS else mixed(a ^ (b * _BASE))) >> np.uint64(20)) % np.uint64(buckets)
         self.sent = np.argsort(bucket, kind="stable")
         self.a, self.b, self.low, bucket = a[self.sent], b[self.sent], low[self.sent], bucket[self.sent].astype(np.int64)
         self.parts, cut = np.unique(bucket, return_index=True)
@@ -260,9 +275,10 @@ def _answers(level: int) -> Callable[[pa.Table], pa.Table]:
             head = np.flatnonzero(new)
             group = np.cumsum(new) - 1
             flags = np.where(np.minimum.reduceat(low[order], head)[group] < low[order], SMALLER, 0).astype(np.uint8)
-            if not level:
-                last = np.append(head[1:], len(x)) - 1
-                flags |= np.where(y[head] != y[last], MIXED, 0).astype(np.uint8)[group]
+            if level in (0, 2):
+                other = y if level == 0 else low[order]
+                several = np.minimum.reduceat(other, head) != np.maximum.reduceat(other, head)
+                flags |= np.where(several, MIXED, 0).astype(np.uint8)[group]
             back = np.empty_like(flags)
             back[order] = flags
             ends = np.cumsum(sizes)
@@ -291,8 +307,7 @@ def remove_repeats(docs: DataFrame, finish: Callable[[Piece], pa.Table], schema:
         for k, entries in found.rounds(told, buckets):
             if k == level:
                 return _table(rows + entries.rows(number, level), ROWS)
-        found.table = table
-        return finish(found) if level == 3 else _table(rows, ROWS)
+        return finish(found) if level == ROUNDS else _table(rows, ROWS)
 
     def first(table: pa.Table) -> pa.Table:
         return work(table, None, 0)
@@ -304,7 +319,7 @@ def remove_repeats(docs: DataFrame, finish: Callable[[Piece], pa.Table], schema:
         return run
 
     asked = texts.applyInArrow(first, ROWS)
-    for level in range(3):
+    for level in range(ROUNDS):
         answers = asked.groupBy("bucket").applyInArrow(_answers(level), ANSWERS).groupBy("piece")
-        asked = texts.cogroup(answers).applyInArrow(later(level + 1), ROWS if level < 2 else schema)
+        asked = texts.cogroup(answers).applyInArrow(later(level + 1), ROWS if level < ROUNDS - 1 else schema)
     return asked
