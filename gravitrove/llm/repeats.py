@@ -8,11 +8,12 @@ the piece has merged its equal ones: however common a passage is, a piece report
 answers each identifier with two bits; the piece finds its identifiers again and reads the answers in
 the same order, so neither texts nor positions travel.
 
-Round 1 groups equal grams; those of one document alone, and those that always stand in the same
-context, are settled. Round 2 asks for the whole contexts of the rest. The first document of each
-context goes on: any of its windows extends the gram by at least half of what is missing to the left or
-to the right, so round 3 asks which extended grams several documents share, and round 4 for the single
-windows that hold those. Identities are pairs of hashes (gram, and context or window),
+Round 1 asks which grams occur in other pieces; the rest, if single in their piece, are settled. Round 2
+groups the repeated ones; those of one document alone, and those that always stand in the same context,
+are settled. Round 3 asks for the whole contexts of the others. The first document of each context goes
+on: any of its windows extends the gram by at least half of what is missing to the left or to the right,
+so round 4 asks which extended grams several documents share, and round 5 for the single windows that
+hold those. Identities are pairs of hashes (gram, and context or window),
 88 bits and more. Every round reads the same shuffle of the texts.
 """
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 PIECE_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
 
 SMALLER, MIXED = 1, 2
-#: High bytes sent of the two hashes, by round. Cut grams of round 1 can only seem mixed, which round 2 settles.
-SENT_BYTES = ((6, 6), (4, 7), (4, 7), (4, 7))
+#: High bytes sent of the two hashes, by round. Cut grams of rounds 1 and 2 can only seem repeated or mixed, which round 3 settles.
+SENT_BYTES = ((6, 0), (6, 6), (4, 7), (4, 7), (4, 7))
 ROUNDS = len(SENT_BYTES)
 #: What an identifier stands for, and what its entries tell apart: contexts of a gram, or documents of a half.
 GRAMS, WHOLE, SHARED = range(3)
@@ -141,14 +142,18 @@ class Piece:
         if not len(self.at):
             return
         keys = self.keys[self.doc]
-        grams = Entries(self.first, self.second, keys, buckets, GRAMS)
-        yield 0, grams
-        flags = grams.read(told[0])
-        gone = ~(flags & MIXED > 0) & ((flags & SMALLER > 0) | (keys > grams.least))
-        unsure = np.flatnonzero(flags & MIXED)
+        single = Entries(self.first, self.second, keys, buckets, GRAMS, repeat=False)
+        yield 0, single
+        again = np.flatnonzero((single.read(told[0]) & MIXED > 0) | (np.bincount(single.group)[single.group] > 1))
+        grams = Entries(self.first[again], self.second[again], keys[again], buckets, GRAMS)
+        yield 1, grams
+        flags = grams.read(told.get(1, {}))
+        gone = np.zeros(len(keys), bool)
+        gone[again] = ~(flags & MIXED > 0) & ((flags & SMALLER > 0) | (keys[again] > grams.least))
+        unsure = again[flags & MIXED > 0]
         contexts = Entries(self.first[unsure], self.second[unsure], keys[unsure], buckets)
-        yield 1, contexts
-        later = (contexts.read(told.get(1, {})) & SMALLER > 0) | (keys[unsure] > contexts.least)
+        yield 2, contexts
+        later = (contexts.read(told.get(2, {})) & SMALLER > 0) | (keys[unsure] > contexts.least)
         gone[unsure[later]] = True
         own = unsure[~later]
         at, half = self.at[own], self.wide // 2
@@ -157,8 +162,8 @@ class Piece:
         of = np.concatenate([own[left], own[right]])
         side = np.concatenate([self.hashes.of(at[left] - half, at[left] + self.gram), ~self.hashes.of(at[right], at[right] + self.gram + half)])
         halves = Entries(self.first[of], mixed(side), keys[of], buckets, SHARED)
-        yield 2, halves
-        shared = halves.read(told.get(2, {})) & MIXED > 0
+        yield 3, halves
+        shared = halves.read(told.get(3, {})) & MIXED > 0
         holds = np.zeros((2, len(own)), bool)
         holds[0, left], holds[1, right] = shared[: len(left)], shared[len(left) :]
         starts, of = [], []
@@ -170,8 +175,8 @@ class Piece:
             of.append(own[ok])
         starts, of = np.concatenate(starts), np.concatenate(of)
         windows = Entries(self.first[of], mixed(self.hashes.of(starts, starts + self.window)), keys[of], buckets)
-        yield 3, windows
-        later = (windows.read(told.get(3, {})) & SMALLER > 0) | (keys[of] > windows.least)
+        yield 4, windows
+        later = (windows.read(told.get(4, {})) & SMALLER > 0) | (keys[of] > windows.least)
         step = np.zeros(self.n + 1, np.int64)
         np.add.at(step, self.lo[gone], 1)
         np.add.at(step, self.hi[gone], -1)
@@ -183,7 +188,7 @@ class Piece:
 class Entries:
     """Identifiers of a piece without repeats, each with its smallest document; read() gives each occurrence its answer."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, keys: np.ndarray, buckets: int, kind: int = WHOLE):
+    def __init__(self, first: np.ndarray, second: np.ndarray, keys: np.ndarray, buckets: int, kind: int = WHOLE, repeat: bool = True):
         order = np.argsort(first) if kind == GRAMS else np.lexsort((second, first))
         a, b, low = first[order], second[order], keys[order]
         new = np.ones(len(a), bool)
@@ -198,7 +203,7 @@ class Entries:
         a, least_b, most_b = a[head], b[head], b[head]
         if kind == GRAMS and len(head):
             least_b, most_b = np.minimum.reduceat(b, head), np.maximum.reduceat(b, head)
-        several = np.flatnonzero(least_b != most_b if kind == GRAMS else (least != most) & (kind == SHARED))  # these send two entries
+        several = np.flatnonzero((least_b != most_b) & repeat if kind == GRAMS else (least != most) & (kind == SHARED))  # these send two entries
         a, b, low = np.append(a, a[several]), np.append(least_b, most_b[several]), np.append(least, (most if kind == SHARED else least)[several])
         self.group = np.empty(len(order), np.int64)
         self.group[order] = group
@@ -215,7 +220,7 @@ class Entries:
 
     def rows(self, piece: int, level: int) -> list[tuple]:
         return [
-            (int(p), level, piece, int(p), _cut(self.a[i:j], SENT_BYTES[level][0]), _cut(self.b[i:j], SENT_BYTES[level][1]), _packed(self.low[i:j]))
+            (int(p), level, piece, int(p), _cut(self.a[i:j], SENT_BYTES[level][0]), _cut(self.b[i:j], SENT_BYTES[level][1]), _packed(self.low[i:j]) if level else b"")
             for p, i, j in zip(self.parts, self.cut[:-1], self.cut[1:])
         ]
 
@@ -263,20 +268,21 @@ def _answers(level: int) -> Callable[[pa.Table], pa.Table]:
         if asked.num_rows:
             a, b, c = (asked.column(x).to_pylist() for x in "abc")
             sizes = [len(x) // SENT_BYTES[level][0] for x in a]
-            first, second = (_joined(x, n) for x, n in zip((a, b), SENT_BYTES[level]))
-            low = np.concatenate([_unpacked(x) for x in c])
+            first = _joined(a, SENT_BYTES[level][0])
+            second = _joined(b, SENT_BYTES[level][1]) if level else first
+            low = np.concatenate([_unpacked(x) for x in c]) if level else np.repeat(np.arange(len(sizes)), sizes)  # pieces stand in for documents
             del a, b, c
             order = np.lexsort((second, first))
             new = np.ones(len(order), bool)
             x, y = first[order], second[order]
             new[1:] = x[1:] != x[:-1]
-            if level:
+            if level > 1:
                 new[1:] |= y[1:] != y[:-1]
             head = np.flatnonzero(new)
             group = np.cumsum(new) - 1
             flags = np.where(np.minimum.reduceat(low[order], head)[group] < low[order], SMALLER, 0).astype(np.uint8)
-            if level in (0, 2):
-                other = y if level == 0 else low[order]
+            if level in (0, 1, 3):
+                other = y if level == 1 else low[order]
                 several = np.minimum.reduceat(other, head) != np.maximum.reduceat(other, head)
                 flags |= np.where(several, MIXED, 0).astype(np.uint8)[group]
             back = np.empty_like(flags)
