@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a piece, and about the bytes of identifiers in a bucket.
-PIECE_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
+PIECE_BYTES, BUCKET_BYTES = 1 << 20, 32 << 20
 
 SMALLER, MIXED = 1, 2
 #: High bytes sent of the two hashes, by round. Cut grams of rounds 1 and 2 can only seem repeated or mixed, which round 3 settles.
