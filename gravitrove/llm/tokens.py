@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,12 +29,7 @@ FILE_BYTES, KNOWN_WORDS = 24 << 20, 1 << 20
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x), np.uint8)
-    for k in (32, 16, 8, 4, 2, 1):
-        high = x >= (np.uint64(1) << np.uint64(k))
-        out[high] += np.uint8(k)
-        x = np.where(high, x >> np.uint64(k), x)
-    return out + (x > 0)
+    return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
 def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +55,11 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             selector[open_[COUNTS[k]] <= WIDTHS[k]] = k
     limit = np.repeat(ends, np.diff(np.append(0, ends)))
     after = np.minimum(np.arange(n) + COUNTS[selector], limit)
-    follow, at, i = after.tolist(), [], 0
-    while i < n:
-        at.append(i)
-        i = follow[i]
-    at = np.array(at, np.int64)
+    reached, at = np.append(0, ends[:-1]) if n else np.zeros(0, np.int64), []
+    while len(reached):  # the next word of every block at once
+        at.append(reached)
+        reached = after[reached][after[reached] < limit[reached]]
+    at = np.sort(np.concatenate(at)) if at else np.zeros(0, np.int64)
     chosen = selector[at]
     place = np.cumsum(1 + (chosen == ESCAPE)) - 1 - (chosen == ESCAPE)
     words = np.zeros(len(at) + int((chosen == ESCAPE).sum()), np.uint64)
@@ -136,13 +133,13 @@ class WordTokens:
         for text in texts:
             words = text.split()
             try:
-                found = [known[w] for w in words]
+                found = list(map(known.__getitem__, words))
             except KeyError:
                 for w in words:
                     if w not in known:
                         known[w] = len(known) + 1
                         fresh.append(w)
-                found = [known[w] for w in words]
+                found = list(map(known.__getitem__, words))
             parts.append(found)
             n += len(words) + 1
             ends.append(n)
@@ -158,6 +155,13 @@ class WordTokens:
         return ids, np.diff(np.append(0, total[np.array(ends, np.int64) - 1])) if ends else np.zeros(0, np.int64)
 
 
+@cache
+def word_tokens(path: str, end: int) -> WordTokens:
+    """The coder of a Python worker: its tasks share the known words."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokens(path, end)
+
+
 def _block_ends(sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     return np.unique(np.concatenate([ends, *[np.arange(e - s, e, BLOCK)[1:] for s, e in zip(sizes.tolist(), ends.tolist()) if s > BLOCK]]))
@@ -178,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int = 2, id
         schema = schema.add(name, kind)
 
     def run(batches):
-        coder, start, file = WordTokens(tokenizer, end), 0, TaskContext.get().partitionId()
+        coder, start, file = word_tokens(tokenizer, end), 0, TaskContext.get().partitionId()
         for piece in pieces(batches, limit=1 << 20):
             ids, sizes = coder.of(as_bytes(piece.column("text")))
             ends = np.cumsum(sizes)
