@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Semi-major axis and flattening of GRS80, and the reference radius and GM of coefficient fields.
@@ -60,3 +63,151 @@ def spherical_distance(lon1, lat1, lon2, lat2, r: float = R) -> Column:
     east = F.cos(lat2) * F.sin(d)
     north = F.cos(lat1) * F.sin(lat2) - F.sin(lat1) * F.cos(lat2) * F.cos(d)
     return r * F.atan2(F.sqrt(east * east + north * north), F.sin(lat1) * F.sin(lat2) + F.cos(lat1) * F.cos(lat2) * F.cos(d))
+
+
+#: Series from authalic and conformal to geodetic latitude. Row k holds the factors of sin(2 k beta),
+#: by rising powers of the squared eccentricity, the first of them the k-th.
+AUTHALIC_SERIES = (
+    (1 / 3, 31 / 180, 517 / 5040, 120389 / 181400, 1362254 / 29937600),
+    (23 / 360, 251 / 3780, 102287 / 1814400, 450739 / 997920),
+    (761 / 45360, 47561 / 1814400, 434501 / 14968800),
+    (6059 / 1209600, 625511 / 59875200),
+    (48017 / 29937600,),
+)
+CONFORMAL_SERIES = (
+    (1 / 2, 5 / 24, 1 / 12, 13 / 360),
+    (7 / 48, 29 / 240, 811 / 11520),
+    (7 / 120, 81 / 1120),
+    (4279 / 161280,),
+)
+
+
+def _from_series(series, beta, f: float) -> Column:
+    beta, e2 = _c(beta), eccentricity2(f)
+    total = beta
+    for k, row in enumerate(series, 1):
+        total = total + sum(c * e2 ** (k + j) for j, c in enumerate(row)) * F.sin(2 * k * beta)
+    return total
+
+
+def _zone(sine, e: float):
+    """Area of the zone from the equator to a latitude, in units of half the squared semi-major axis times 2 pi."""
+    log = F.log if isinstance(sine, Column) else math.log
+    return (1 - e * e) * (sine / (1 - e * e * sine * sine) + log((1 + e * sine) / (1 - e * sine)) / (2 * e))
+
+
+def authalic_radius(a: float = A, f: float = FLATTENING) -> float:
+    """Radius of the sphere with the ellipsoid's surface; a for a sphere."""
+    return a * math.sqrt(_zone(1.0, math.sqrt(eccentricity2(f))) / 2) if f else a
+
+
+def geodetic_to_authalic(lat, f: float = FLATTENING) -> Column:
+    if not f:
+        return _c(lat)
+    e = math.sqrt(eccentricity2(f))
+    return F.asin(_zone(F.sin(_c(lat)), e) / _zone(1.0, e))
+
+
+def authalic_to_geodetic(beta, f: float = FLATTENING) -> Column:
+    return _from_series(AUTHALIC_SERIES, beta, f)
+
+
+def geodetic_to_conformal(lat, f: float = FLATTENING) -> Column:
+    lat, e = _c(lat), math.sqrt(eccentricity2(f))
+    stretch = F.pow((1 - e * F.sin(lat)) / (1 + e * F.sin(lat)), F.lit(e / 2))
+    return 2 * F.atan(F.tan(lat / 2 + math.pi / 4) * stretch) - math.pi / 2
+
+
+def conformal_to_geodetic(beta, f: float = FLATTENING) -> Column:
+    return _from_series(CONFORMAL_SERIES, beta, f)
+
+
+#: Latitude on the sphere to geodetic latitude, by the name of the mapping.
+LATITUDE_MAPPINGS = {"authalic": authalic_to_geodetic, "geocentric": geocentric_to_geodetic, "conformal": conformal_to_geodetic}
+
+
+def mapped_latitude(lat, mapping: str, f: float = FLATTENING) -> Column:
+    if mapping.lower() not in LATITUDE_MAPPINGS:
+        raise ValueError(f"no latitude mapping {mapping}")
+    return LATITUDE_MAPPINGS[mapping.lower()](lat, f)
+
+
+def cartesian_to_geodetic(x, y, z, a: float = A, f: float = FLATTENING, steps: int = 6) -> tuple[Column, Column, Column]:
+    """Longitude, latitude and height: a fixed number of steps over the reduced latitude, each row on its own."""
+    x, y, z, e2 = _c(x), _c(y), _c(z), eccentricity2(f)
+    flat = F.sqrt(x * x + y * y)
+
+    def step(lat, _):
+        reduced = F.atan2((1 - f) * F.sin(lat), F.cos(lat))
+        s, c = F.sin(reduced), F.cos(reduced)
+        return F.atan2(z + e2 / (1 - f) * a * s * s * s, flat - e2 * a * c * c * c)
+
+    lat = F.aggregate(F.array_repeat(F.lit(0), steps), F.atan2(z, (1 - e2) * flat), step)
+    return F.atan2(y, x), lat, flat * F.cos(lat) + z * F.sin(lat) - a * F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
+
+
+class ReferenceField:
+    """Level ellipsoid from GM, rotation rate, semi-major axis and either flattening or J2: its zonal terms and gravity."""
+
+    def __init__(self, gm: float, omega: float, a: float, f: float | None = None, j2: float | None = None):
+        if (f is None) == (j2 is None):
+            raise ValueError("give either the flattening or J2")
+        self.gm, self.omega, self.a = gm, omega, a
+
+        def bulge(e):  # share of the rotation in 3 J2 = e^2 - share
+            second = e / math.sqrt(1 - e * e)
+            q = sum(-2 * (-1) ** k * k * second ** (2 * k + 1) / ((2 * k + 1) * (2 * k + 3)) for k in range(1, 21))
+            return 4 / 15 * omega**2 * a**3 / gm * e**3 / (2 * q)
+
+        if f is None:
+            e = 0.1
+            for _ in range(60):
+                e = math.sqrt(3 * j2 + bulge(e))
+            self.j2, self.f = j2, 1 - math.sqrt(1 - e * e)
+        else:
+            e = math.sqrt(eccentricity2(f))
+            self.j2, self.f = (e * e - bulge(e)) / 3, f
+        e2, self.zonals, k = eccentricity2(self.f), [1.0], 1
+        while abs(self.zonals[-1]) > 1e-22:
+            unnormalised = (-1) ** k * 3 * e2**k / ((2 * k + 1) * (2 * k + 3)) * (1 - k + 5 * k * self.j2 / e2)
+            self.zonals.append(unnormalised / math.sqrt(4 * k + 1))
+            k += 1
+
+    def coefficients(self, spark) -> DataFrame:
+        """Rows (n, m, trig, value) of the even zonal terms."""
+        return spark.createDataFrame([(2 * k, 0, 0, v) for k, v in enumerate(self.zonals)], "n int, m int, trig int, value double")
+
+    def normal_gravity(self, r, colat) -> Column:
+        """Attraction and centrifugal acceleration along the ellipsoid's inner normal, in m/s^2."""
+        r, colat = _c(r), _c(colat)
+        t, ratio = F.cos(colat), F.lit(self.a) / r
+        down, south = F.lit(0.0), F.lit(0.0)
+        for k, v in enumerate(self.zonals):
+            n = 2 * k
+            p = legendre_series([0.0] * n + [1.0])
+            scale = v * math.sqrt(2 * n + 1) * F.pow(ratio, F.lit(float(n)))
+            down = down + (n + 1) * scale * horner(p.coef, t)
+            south = south - scale * F.sin(colat) * horner(p.deriv().coef, t)
+        pull = self.gm / (r * r)
+        x, z = r * F.sin(colat), r * t
+        gx = pull * (south * t - down * F.sin(colat)) + self.omega**2 * x
+        gz = pull * (-south * F.sin(colat) - down * t)
+        _, lat, _ = cartesian_to_geodetic(x, F.lit(0.0), z, self.a, self.f)
+        return -F.cos(lat) * gx - F.sin(lat) * gz
+
+
+def legendre_series(coefficients) -> np.polynomial.Polynomial:
+    """The power series of a sum of Legendre polynomials."""
+    return np.polynomial.Legendre(coefficients).convert(kind=np.polynomial.Polynomial)
+
+
+def horner(coefficients, t: Column) -> Column:
+    total = F.lit(float(coefficients[-1]))
+    for c in coefficients[-2::-1]:
+        total = total * t + float(c)
+    return total
+
+
+#: The constants of the two geodetic reference systems.
+GRS80 = ReferenceField(gm=3986005e8, omega=7292115e-11, a=6378137.0, j2=108263e-8)
+WGS84 = ReferenceField(gm=3986004.418e8, omega=7292115e-11, a=6378137.0, f=1 / 298.257223563)

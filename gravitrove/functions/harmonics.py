@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +42,35 @@ def legendre(points: DataFrame, max_degree: int, point_id: str = "point_id", col
 
     read = points.select(F.col(point_id).alias("point_id"), F.col(colat).cast("double").alias("colat"))
     return read.mapInArrow(run, read.select("point_id").schema.add("n", "integer").add("m", "integer").add("p", "double"))
+
+
+def legendre_polynomials(t: Column, max_degree: int) -> Column:
+    """Array over degrees 0 to max_degree of the normalised polynomials and their first two derivatives: structs (n, p, d1, d2)."""
+    zero = F.lit(0.0)
+    start = F.array(F.struct(F.lit(0).alias("n"), F.lit(1.0).alias("p"), zero.alias("d1"), zero.alias("d2")))
+
+    def step(done, n):
+        one, two = F.get(done, n - 1), F.get(done, n - 2)
+        before = {c: F.coalesce(two[c], zero) for c in ("p", "d1", "d2")}
+        p = ((2 * n - 1) * t * one["p"] - (n - 1) * before["p"]) / n
+        return F.array_append(done, F.struct(n.alias("n"), p.alias("p"), ((2 * n - 1) * one["p"] + before["d1"]).alias("d1"), ((2 * n - 1) * one["d1"] + before["d2"]).alias("d2")))
+
+    plain = F.aggregate(F.sequence(F.lit(1), F.lit(max_degree)), start, step) if max_degree else start
+    return F.transform(plain, lambda x: F.struct(x["n"].alias("n"), *[(x[c] * F.sqrt(2 * x["n"] + 1)).alias(c) for c in ("p", "d1", "d2")]))
+
+
+def legendre_sum(coefficients: Column, t: Column) -> Column:
+    """Sum of an array's entries times the normalised polynomials of degrees 0, 1, ..., by the backward recursion."""
+    pairs = F.reverse(F.transform(coefficients, lambda c, n: F.struct(n.cast("double").alias("n"), (c * F.sqrt(2 * n + 1)).alias("c"))))
+    zero = F.struct(F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"))
+
+    def step(b, x):
+        n = x["n"]
+        return F.struct((x["c"] + (2 * n + 1) / (n + 1) * t * b["b1"] - (n + 1) / (n + 2) * b["b2"]).alias("b1"), b["b1"].alias("b2"))
+
+    return F.aggregate(pairs, zero, step, lambda b: b["b1"])
+
+
+def matern_variances(sigma: float, alpha: float, nu: float, max_degree: int, min_degree: int = 2) -> list[float]:
+    """Degree factors of the Legendre-Matern covariance for legendre_sum; 0 below min_degree."""
+    return [0.0 if n < min_degree else sigma**2 * (alpha**2 + n * n) ** (-nu - 0.5) * (2 * n + 1) for n in range(max_degree + 1)]

@@ -41,3 +41,13 @@ def gps_week_seconds(ts: str | Column) -> tuple[Column, Column]:
     t = _col(ts)
     week, day = gps_week_day(t)
     return week, day * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+
+
+def decimal_year_to_mjd(year: str | Column) -> Column:
+    y = _col(year)
+    start, end = (F.unix_date(F.make_date(F.floor(y).cast("int") + k, F.lit(1), F.lit(1))) for k in (0, 1))
+    return start + UNIX_MJD + (y - F.floor(y)) * (end - start)
+
+
+def gps_week_day_to_date(week: str | Column, day: str | Column) -> Column:
+    return F.date_add(F.lit("1980-01-06").cast("date"), (_col(week) * 7 + _col(day)).cast("int"))

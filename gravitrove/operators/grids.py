@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import spherical_distance
+from ..functions.geodesy import FLATTENING, mapped_latitude, spherical_distance
 
 
 def geographic_grid(spark: SparkSession, dlon: float, dlat: float) -> DataFrame:
@@ -55,3 +57,122 @@ def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """The nearest row of the small set targets for each point; ties go to the smaller id."""
     best = F.min(F.struct("psi", "target_id"))
     return distances(points, targets).groupBy("point_id").agg(best.alias("_b")).select("point_id", F.col("_b.target_id").alias("target_id"), F.col("_b.psi").alias("psi"))
+
+
+def gauss_grid(spark: SparkSession, parallels: int) -> DataFrame:
+    """Parallels at the roots of a Legendre polynomial, twice as many meridians, areas by the quadrature weights."""
+    roots, weights = np.polynomial.legendre.leggauss(parallels)
+    rows = spark.createDataFrame([(i, math.asin(x), float(w)) for i, (x, w) in enumerate(zip(roots[::-1].tolist(), weights[::-1]))], "i_lat int, lat double, w double")
+    step = math.pi / parallels
+    points = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * parallels - 1))).alias("i_lon"))
+    return points.select((F.col("i_lat") * 2 * parallels + F.col("i_lon")).cast("long").alias("point_id"), "i_lat", "i_lon", (F.lit(-math.pi + step / 2) + F.col("i_lon") * step).alias("lon"), "lat", (F.col("w") * step).alias("area"))
+
+
+def reuter_grid(spark: SparkSession, level: int, mapping: str = "geocentric", f: float = FLATTENING) -> DataFrame:
+    """Nearly equidistant points on level + 1 parallels, one at each pole; area is that of the sphere's cells."""
+    step = math.pi / level
+    theta = F.col("i_lat") * step
+    pole = F.col("i_lat").isin(0, level)
+    around = F.floor(2 * math.pi / F.acos((math.cos(step) - F.cos(theta) * F.cos(theta)) / (F.sin(theta) * F.sin(theta)))).cast("int")
+    rows = spark.range(level + 1).select(F.col("id").cast("int").alias("i_lat")).withColumn("count", F.when(pole, 1).otherwise(around))
+    points = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("i_lon"))
+    turn = F.pmod((F.col("i_lon") + 1.5) * 2 * math.pi / F.col("count") + math.pi, F.lit(2 * math.pi)) - math.pi
+    area = F.when(pole, 2 * math.pi * (1 - math.cos(step / 2))).otherwise(4 * math.pi / F.col("count") * math.sin(step / 2) * F.sin(theta))
+    return points.select("i_lat", "i_lon", F.when(pole, 0.0).otherwise(turn).alias("lon"), mapped_latitude(math.pi / 2 - theta, mapping, f).alias("lat"), area.alias("area"))
+
+
+def geodesic_grid(spark: SparkSession, level: int, mapping: str = "geocentric", f: float = FLATTENING) -> DataFrame:
+    """10 (level + 1)^2 + 2 points of equal area from the icosahedron; each face's points are made in a row of its own.
+
+    Edges are cut at equal angles. A point within a face is the mean of the three meeting points of the great circles
+    through the cuts of two edges, along each of the three directions.
+    """
+    parts = level + 1
+    low = math.atan(0.5)
+    ring = [(math.radians(72.0 * k), low) for k in range(5)] + [(math.radians(72.0 * k + 36), -low) for k in range(5)]
+    corners = np.array([(math.cos(b) * math.cos(x), math.cos(b) * math.sin(x), math.sin(b)) for x, b in [(0.0, math.pi / 2), *ring, (0.0, -math.pi / 2)]])
+    faces = [t for k in range(5) for t in ((0, 1 + k, 1 + (k + 1) % 5), (1 + (k + 1) % 5, 1 + k, 6 + k), (6 + k, 6 + (k + 1) % 5, 1 + (k + 1) % 5), (11, 6 + (k + 1) % 5, 6 + k))]
+
+    def cut(p, q, share):
+        angle = np.arccos(p @ q)
+        return (np.sin((1 - share) * angle)[:, None] * p + np.sin(share * angle)[:, None] * q) / np.sin(angle)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def made(batches):
+        for batch in batches:
+            for face in batch["face"]:
+                a, b, c = corners[list(faces[face])]
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(1, parts), np.arange(1, parts)))
+                i, j = i[i + j < parts], j[i + j < parts]
+                k = parts - i - j
+                circles = [np.cross(cut(p, q, 1 - s / parts), cut(p, r, 1 - s / parts)) for p, q, r, s in ((a, b, c, i), (b, c, a, j), (c, a, b, k))]
+                meets = [unit(np.cross(circles[u], circles[v])) for u, v in ((0, 1), (1, 2), (2, 0))]
+                meets = [m * np.sign(m @ (a + b + c))[:, None] for m in meets]
+                inner = unit(sum(meets)) if len(i) else np.zeros((0, 3))
+                share = np.arange(1, parts) / parts
+                edges = [cut(corners[u], corners[v], share) for u, v in zip(faces[face], faces[face][1:] + faces[face][:1]) if u < v]
+                yield pd.DataFrame(np.concatenate([inner, *edges]), columns=["x", "y", "z"])
+
+    poles = spark.createDataFrame([tuple(map(float, p)) for p in corners], "x double, y double, z double")
+    points = spark.range(20).select(F.col("id").alias("face")).mapInPandas(made, "x double, y double, z double").unionByName(poles)
+    lat = F.atan2("z", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    return points.select(F.atan2("y", "x").alias("lon"), mapped_latitude(lat, mapping, f).alias("lat"), F.lit(4 * math.pi / (10 * parts * parts + 2)).alias("area"))
+
+
+def great_circle(spark: SparkSession, lon: float, lat: float, azimuth: float, count: int = 100, max_psi: float = math.pi, f: float = FLATTENING) -> DataFrame:
+    """count points at equal distances along a great circle from a point (geodetic latitude), clockwise azimuth from north."""
+    beta = math.atan2((1 - f) ** 2 * math.sin(lat), math.cos(lat))
+    up = (math.cos(beta) * math.cos(lon), math.cos(beta) * math.sin(lon), math.sin(beta))
+    north = (-math.sin(beta) * math.cos(lon), -math.sin(beta) * math.sin(lon), math.cos(beta))
+    east = (-math.sin(lon), math.cos(lon), 0.0)
+    along = [math.cos(azimuth) * n + math.sin(azimuth) * e for n, e in zip(north, east)]
+    psi = F.col("id") * (max_psi / (count - 1))
+    x, y, z = (F.cos(psi) * u + F.sin(psi) * d for u, d in zip(up, along))
+    return spark.range(count).select(F.col("id").alias("point_id"), psi.alias("psi"), F.atan2(y, x).alias("lon"), F.atan2(z, (1 - f) ** 2 * F.sqrt(x * x + y * y)).alias("lat"))
+
+
+def rectangles(grid: DataFrame) -> DataFrame:
+    """Adds west, east, south and north of the cells of a regular grid: halfway to the neighbours, the globe's edge at the ends."""
+    from pyspark.sql import Window as W
+
+    lons, lats = (grid.groupBy(i).agg(F.first(c).alias(c)) for i, c in (("i_lon", "lon"), ("i_lat", "lat")))
+    w, h = W.partitionBy(F.lit(0)).orderBy("lon"), W.partitionBy(F.lit(0)).orderBy("lat")  # a row a meridian, a row a parallel
+    halfway = lambda c, to, edge: F.coalesce((F.col(c) + to) / 2, F.lit(edge))
+    lons = lons.select("i_lon", halfway("lon", F.lag("lon").over(w), -math.pi).alias("west"), halfway("lon", F.lead("lon").over(w), math.pi).alias("east"))
+    lats = lats.select("i_lat", halfway("lat", F.lag("lat").over(h), -math.pi / 2).alias("south"), halfway("lat", F.lead("lat").over(h), math.pi / 2).alias("north"))
+    return grid.join(lons, "i_lon").join(lats, "i_lat")
+
+
+def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two grids have the same points, to within rounding."""
+    both = a.select("point_id", "lon", "lat").join(b.select("point_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), "point_id", "full")
+    close = [F.coalesce(F.abs(F.col(x) - F.col(y)) <= 1e-8 + 1e-5 * F.abs(y), F.lit(False)) for x, y in (("lon", "lon2"), ("lat", "lat2"))]
+    return both.agg(F.coalesce(F.bool_and(close[0] & close[1]), F.lit(True)).alias("compatible"))
+
+
+def regularised(points: DataFrame, threshold: float = 1e-6) -> DataFrame:
+    """Adds i_lon and i_lat where the points lie on meridians times parallels, to within threshold; fails otherwise."""
+    from pyspark.sql import Window as W
+
+    if threshold <= 0:
+        raise ValueError("the threshold must be positive")
+
+    def lines(column, index, order):
+        w = W.partitionBy(F.lit(0)).orderBy(order)  # one row a distinct coordinate
+        values = points.select(column).distinct()
+        jump = F.coalesce((F.abs(F.col(column) - F.lag(column).over(w)) > threshold).cast("int"), F.lit(0))
+        return values.withColumn("_jump", jump).withColumn(index, F.sum("_jump").over(w).cast("int")).drop("_jump")
+
+    found = points.join(lines("lon", "i_lon", F.col("lon")), "lon").join(lines("lat", "i_lat", F.col("lat").desc()), "lat")
+    rows, columns, cells = found.agg(F.max("i_lat") + 1, F.max("i_lon") + 1, F.count("*")).first()
+    if cells != (rows or 0) * (columns or 0):
+        raise ValueError("the points do not form a regular grid")
+    return found
+
+
+def cells_of(points: DataFrame, grid: DataFrame, least: int = 1) -> DataFrame:
+    """Count and mean of the points nearest each point of the small set grid; cells of fewer than least points go."""
+    near = nearest(points, grid).join(points.select("point_id", "value"), "point_id")
+    return near.groupBy("target_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).where(F.col("n") >= least)

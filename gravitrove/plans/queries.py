@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geodesy, kernels, time
 from ..operators import fields, grids, matrices, series, synthesis
 from . import relations as rel
+from .registry import query, rounded
 
 COEF = """f_coef AS (SELECT epoch, n, CAST(floor((rem + 1) / 2e0) AS INT) AS m, CAST(CASE WHEN rem = 0 THEN 0 ELSE (rem + 1) % 2 END AS INT) AS trig, avg(v) * 1e-9 AS value
   FROM (SELECT epoch, n, idx - n * n AS rem, v FROM (SELECT epoch, idx, CAST(floor(sqrt(idx)) AS INT) AS n, v FROM (
@@ -25,24 +26,6 @@ MAT = "f_mat AS (SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1
 BASIN = """corner AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) v(seq, dx, dy)),
 box AS (SELECT r_regionkey AS basin_id, radians(-171e0 + 72e0 * r_regionkey) AS x0, radians(-171e0 + 72e0 * r_regionkey + 54e0) AS x1, radians(-30e0) AS y0, radians(30e0) AS y1 FROM region)"""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df, **digits):
-    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
-
-
 @query(f"WITH {COEF} SELECT epoch, n, m, trig, round(value, 12) AS value FROM f_coef WHERE n BETWEEN 2 AND 6 AND (n - 2) % 2 = 0 AND m <= 4")
 def prj04_band(spark, sf):
     return rounded(fields.band(rel.coefficients(spark, sf), 2, 6, 0, 4, step_degree=2), value=12)
