@@ -29,8 +29,8 @@ def statistics(grid: DataFrame, by: list[str], value: str = "value", area: str =
     return sums.select(*by, mean.alias("mean"), F.sqrt(square).alias("rms"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"))
 
 
-def inside(points: DataFrame, rings: DataFrame) -> DataFrame:
-    """Adds basin_id: the points inside each basin, even-odd over its rings, edges straight in longitude and latitude.
+def inside(points: DataFrame, rings: DataFrame, rule: str = "even-odd") -> DataFrame:
+    """Adds basin_id: the points inside each basin, by the even-odd or winding rule, edges straight in longitude and latitude.
 
     Edges are joined to points by bands of latitude, so a point meets only the edges of its band.
     """
@@ -44,7 +44,8 @@ def inside(points: DataFrame, rings: DataFrame) -> DataFrame:
     banded = edges.where("y0 != y1").withColumn("band", F.explode(F.sequence(low, high)))
     met = points.withColumn("band", F.floor(F.col("lat") / width)).join(banded, "band")
     crosses = ((F.col("y0") <= F.col("lat")) != (F.col("y1") <= F.col("lat"))) & (F.col("lon") < F.col("x0") + (F.col("lat") - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))
-    return met.where(crosses).groupBy("point_id", "basin_id").agg(F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n")
+    turns = met.where(crosses).groupBy("point_id", "basin_id").agg(F.count("*").alias("_n"), F.sum(F.when(F.col("y0") < F.col("y1"), 1).otherwise(-1)).alias("_turns"))
+    return turns.where("_turns != 0" if rule == "winding" else "_n % 2 = 1").drop("_n", "_turns")
 
 
 def distances(points: DataFrame, targets: DataFrame, radius: float = 1.0) -> DataFrame:

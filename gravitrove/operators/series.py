@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,3 +51,109 @@ def segments(series: DataFrame, by: str, gap: float) -> DataFrame:
     order = W.partitionBy(by).orderBy("mjd", "event_id")
     jump = F.coalesce(F.col("mjd") - F.lag("mjd").over(order) > gap, F.lit(False)).cast("int")
     return series.withColumn("_jump", jump).withColumn("segment", F.sum("_jump").over(order)).drop("_jump")
+
+
+def polynomial(degree: int, reference: float = 0.0) -> dict[str, Column]:
+    """Columns t0, t1, ... of powers of the days since the reference."""
+    return {f"t{k}": F.pow(F.col("mjd") - reference, F.lit(float(k))) for k in range(degree + 1)}
+
+
+def oscillation(period: float, reference: float = 0.0) -> dict[str, Column]:
+    """Cosine and sine of a period in days."""
+    angle = 2 * math.pi / period * (F.col("mjd") - reference)
+    return {f"cos{period:g}": F.cos(angle), f"sin{period:g}": F.sin(angle)}
+
+
+def fit(series: DataFrame, by: list[str], basis: dict[str, Column]) -> DataFrame:
+    """Least-squares factors of the basis, one row a series with a column for each.
+
+    Normal equations are sums that combine on the map side; a row of them is solved by the pseudo-inverse, as the
+    basis can be degenerate for a short series.
+    """
+    names = list(basis)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    rows = series.where(F.col("value").isNotNull()).select(*by, "value", *[c.alias(f"_{k}") for k, c in enumerate(basis.values())])
+    sums = rows.groupBy(*by).agg(F.array(*[F.sum(F.col(f"_{i}") * F.col(f"_{j}")) for i, j in pairs]).alias("_n"), F.array(*[F.sum(F.col(f"_{i}") * F.col("value")) for i in range(len(names))]).alias("_r"))
+
+    def solve(batches):
+        upper = tuple(np.array(pairs).T)
+        for batch in batches:
+            matrix = np.zeros((len(batch), len(names), len(names)))
+            for k, row in enumerate(batch["_n"]):
+                matrix[k][upper] = row
+            full = matrix + np.transpose(np.triu(matrix, 1), (0, 2, 1))
+            x = np.einsum("kij,kj->ki", np.linalg.pinv(full, hermitian=True), np.array([*batch["_r"]]).reshape(len(batch), -1))
+            yield batch[by].assign(**{n: x[:, i] for i, n in enumerate(names)})
+
+    schema = sums.select(*by).schema
+    for n in names:
+        schema = schema.add(n, "double")
+    return sums.mapInPandas(solve, schema)
+
+
+def reduce_by(series: DataFrame, by: list[str], basis: dict[str, Column]) -> DataFrame:
+    """The series minus its fit of the basis."""
+    factors = fit(series, by, basis)
+    fitted = sum((F.col(f"_f.{n}") * c for n, c in basis.items()), F.lit(0.0))
+    joined = series.join(factors.select(*by, F.struct(*basis).alias("_f")), by)
+    return joined.withColumn("value", F.col("value") - fitted).drop("_f")
+
+
+def evaluate_trend(field: DataFrame, moments: list[float], reference: float, scale: float = 365.25) -> DataFrame:
+    """A field of rates (a unit of scale days) at each moment: rows of the field for every mjd."""
+    at = field.withColumn("mjd", F.explode(F.array(*map(F.lit, moments))))
+    return at.withColumn("value", F.col("value") * (F.col("mjd") - reference) / scale)
+
+
+def evaluate_oscillation(cosine: DataFrame, sine: DataFrame, moments: list[float], period: float, reference: float, keys: tuple[str, ...] = ("n", "m", "trig")) -> DataFrame:
+    """Fields of cosine and sine amplitudes at each moment; a missing coefficient is 0."""
+    both = cosine.select(*keys, F.col("value").alias("c")).join(sine.select(*keys, F.col("value").alias("s")), [*keys], "full")
+    at = both.withColumn("mjd", F.explode(F.array(*map(F.lit, moments))))
+    angle = 2 * math.pi * (F.col("mjd") - reference) / period
+    zero = F.lit(0.0)
+    return at.select(*keys, "mjd", (F.coalesce("c", zero) * F.cos(angle) + F.coalesce("s", zero) * F.sin(angle)).alias("value"))
+
+
+def total(*constituents: DataFrame, keys: tuple[str, ...] = ("n", "m", "trig", "mjd")) -> DataFrame:
+    """Sum of constituents at the same moments."""
+    rows = constituents[0].select(*keys, "value")
+    for c in constituents[1:]:
+        rows = rows.unionByName(c.select(*keys, "value"))
+    return rows.groupBy(*keys).agg(F.sum("value").alias("value"))
+
+
+def packed(field: DataFrame, by: str = "epoch", index: str = "idx") -> DataFrame:
+    """One array of values a field, in the order of an index; a field is bounded by its degree."""
+    pairs = F.array_sort(F.collect_list(F.struct(index, "value")))
+    return field.groupBy(by).agg(F.transform(pairs, lambda x: x["value"]).alias("values"))
+
+
+def spectrum(series: DataFrame, by: list[str], step: float, length: int = 256, window: str = "boxcar") -> DataFrame:
+    """Power of each series at the frequencies of segments of equal length, by least squares: rows (frequency, psd).
+
+    Segments of fewer than three values are left out; a frequency's cosine and sine are fitted over all segments at once.
+    """
+    if window not in ("boxcar", "hann"):
+        raise ValueError(f"no window {window}")
+    order = W.partitionBy(*by).orderBy("mjd")
+    rows = series.withColumn("_row", F.row_number().over(order) - 1).withColumn("_segment", F.floor(F.col("_row") / length))
+    rows = rows.withColumn("_size", F.count("*").over(W.partitionBy(*by, "_segment"))).where("_size >= 3")
+    taper = F.lit(1.0) if window == "boxcar" else 0.5 - 0.5 * F.cos(2 * math.pi * (F.col("_row") % length) / F.col("_size"))
+    waves = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(length // 2))))
+    single = (F.col("_k") == 0) if length % 2 else F.col("_k").isin(0, length // 2)
+    angle = 2 * math.pi / (length * step) * F.col("_k") * F.col("mjd")
+    cosine = F.when(F.col("_k") == 0, 1.0).when(single, F.when(F.col("_row") % length % 2 == 1, -1.0).otherwise(1.0)).otherwise(F.cos(angle))
+    waves = waves.select(*by, "_k", single.alias("_one"), (taper * taper).alias("w"), "value", cosine.alias("c"), F.when(single, 0.0).otherwise(F.sin(angle)).alias("s"))
+    c, s, w, v = (F.col(x) for x in ("c", "s", "w", "value"))
+    terms = {"cc": c * c, "cs": c * s, "ss": s * s, "wcc": w * c * c, "wcs": w * c * s, "wss": w * s * s, "wcv": w * c * v, "wsv": w * s * v}
+    sums = waves.groupBy(*by, "_k", "_one").agg(*[F.sum(t).alias(n) for n, t in terms.items()])
+    det = F.expr("wcc * wss - wcs * wcs")
+    sums = sums.withColumns({"x": F.when(F.col("_one"), F.expr("wcv / wcc")).otherwise(F.expr("wss * wcv - wcs * wsv") / det), "y": F.when(F.col("_one"), 0.0).otherwise(F.expr("wcc * wsv - wcs * wcv") / det)})
+    return sums.select(*by, (F.col("_k") / (length * step)).alias("frequency"), (F.expr("x * x * cc + 2 * x * y * cs + y * y * ss") / step * math.sqrt(2)).alias("psd"))
+
+
+def bins_with_gaps(series: DataFrame, by: list[str], start: float, step: float, count: int, no_data: float = float("nan")) -> DataFrame:
+    """Means about every centre; empty ones get no_data."""
+    means = bin_to_centres(series, by, start, step, count, F.avg("value").alias("mean"))
+    centres = series.select(*by).distinct().withColumn("centre", F.explode(F.array(*[F.lit(float(start + k * step)) for k in range(count)])))
+    return centres.join(means, [*by, "centre"], "left").withColumn("mean", F.coalesce("mean", F.lit(no_data)))
