@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geodesy import GM, R, cartesian_to_spherical
 from ..functions.harmonics import legendre
+from .adjustment import inverse
 
 
-def synthesise(field: DataFrame, points: DataFrame, max_degree: int, weight: Column | None = None) -> DataFrame:
+def synthesise(field: DataFrame, points: DataFrame, max_degree: int, weight: Column | None = None, ratio: Column | float = 1.0, power: int = 1) -> DataFrame:
     """Rows (epoch, point_id, value) of the potential on the unit sphere; weight: a further factor by n, like an inverse kernel.
 
+    ratio, a column of points, is the reference radius over the point's; it counts to the power n + power.
+
     Coefficients are first paired to one row (epoch, n, m) with cosine and sine, which halves the join.
     """
     factor = F.lit(1.0) if weight is None else weight
     c, s = (F.coalesce(F.sum(F.when(F.col("trig") == t, F.col("value"))), F.lit(0.0)) for t in (0, 1))
     paired = field.where(F.col("n") <= max_degree).groupBy("epoch", "n", "m").agg(c.alias("c"), s.alias("s")).withColumns({"c": F.col("c") * factor, "s": F.col("s") * factor})
-    basis = legendre(points.withColumn("colat", F.lit(1.5707963267948966) - F.col("lat")), max_degree).join(points.select("point_id", "lon"), "point_id")
+    basis = legendre(points.withColumn("colat", F.lit(1.5707963267948966) - F.col("lat")), max_degree).join(points.select("point_id", "lon", (ratio if isinstance(ratio, Column) else F.lit(ratio)).alias("ratio")), "point_id")
+    basis = basis.withColumn("p", F.col("p") * F.pow("ratio", (F.col("n") + power).cast("double")))
     basis = basis.select("point_id", "n", "m", (F.col("p") * F.cos(F.col("m") * F.col("lon"))).alias("pc"), (F.col("p") * F.sin(F.col("m") * F.col("lon"))).alias("ps"))
     return basis.join(paired, ["n", "m"]).groupBy("epoch", "point_id").agg(F.sum(F.col("pc") * F.col("c") + F.col("ps") * F.col("s")).alias("value"))
 
@@ -24,3 +29,73 @@ def synthesise(field: DataFrame, points: DataFrame, max_degree: int, weight: Col
 def gridded_rms(values: DataFrame) -> DataFrame:
     """Root mean square over epochs at each point."""
     return values.groupBy("point_id").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
+
+
+def basis_matrix(points: DataFrame, max_degree: int) -> DataFrame:
+    """Rows (point_id, n, m, trig, v): the harmonics at the points, columns of the synthesis matrix."""
+    p = legendre(points.withColumn("colat", F.lit(1.5707963267948966) - F.col("lat")), max_degree).join(points.select("point_id", "lon"), "point_id")
+    both = F.array(F.struct(F.lit(0).alias("trig"), (F.col("p") * F.cos(F.col("m") * F.col("lon"))).alias("v")), F.struct(F.lit(1).alias("trig"), (F.col("p") * F.sin(F.col("m") * F.col("lon"))).alias("v")))
+    return p.select("point_id", "n", "m", F.explode(both).alias("x")).select("point_id", "n", "m", "x.trig", "x.v").where("not (m = 0 and trig = 1)")
+
+
+def analyse(values: DataFrame, points: DataFrame, max_degree: int, min_degree: int = 0) -> DataFrame:
+    """Coefficients (epoch, n, m, trig, value) of gridded values, by area-weighted least squares order by order.
+
+    Values (epoch, point_id, value) lie on a regular grid (point_id, lon, lat, area), where orders do not mix. Normal
+    equations of an order are sums over points; each order's small system is solved in a group of its own.
+    """
+    a = basis_matrix(points, max_degree).where(F.col("n") >= min_degree)
+    weighed = a.join(points.select("point_id", "area"), "point_id").withColumn("pv", F.col("v") * F.col("area"))
+    rows = weighed.groupBy("point_id", "m", "trig").agg(F.collect_list(F.struct("n", "v", "pv")).alias("row"))
+    left = rows.select("m", "trig", "row", F.explode("row").alias("x")).select("m", "trig", F.col("x.n").alias("i"), F.col("x.pv").alias("u"), F.explode("row").alias("y"))
+    normals = left.groupBy("m", "trig", "i", F.col("y.n").alias("j")).agg(F.sum(F.col("u") * F.col("y.v")).alias("v"))
+    right = values.join(weighed, "point_id").groupBy("epoch", "m", "trig", F.col("n").alias("j")).agg(F.sum(F.col("pv") * F.col("value")).alias("rhs"))
+    solved = inverse(normals, ["m", "trig"])
+    return solved.join(right, ["m", "trig", "j"]).groupBy("epoch", F.col("i").cast("int").alias("n"), "m", "trig").agg(F.sum(F.col("v") * F.col("rhs")).alias("value"))
+
+
+def propagate(covariance: DataFrame, points: DataFrame, max_degree: int) -> DataFrame:
+    """Standard deviations (point_id, sigma) of synthesised values; covariance rows (n, m, trig, n2, m2, trig2, v)."""
+    a = basis_matrix(points, max_degree)
+    other = a.select("point_id", F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("trig").alias("trig2"), F.col("v").alias("w"))
+    half = a.withColumnRenamed("v", "u").join(covariance, ["n", "m", "trig"]).groupBy("point_id", "n2", "m2", "trig2").agg(F.sum(F.col("u") * F.col("v")).alias("cu"))
+    return half.join(other, ["point_id", "n2", "m2", "trig2"]).groupBy("point_id").agg(F.sqrt(F.sum(F.col("cu") * F.col("w"))).alias("sigma"))
+
+
+def gradient_fields(field: DataFrame) -> dict[str, DataFrame]:
+    """Fields whose synthesis, to the power n + 1 of the radius ratio and times GM / R^2, is the gradient along x, y and z.
+
+    A derivative of a solid harmonic of degree n is a sum of those of degree n + 1 and the neighbouring orders, so the
+    gradient of a field is a projection of its rows.
+    """
+    n, m, v = F.col("n"), F.col("m"), F.col("value")
+    cosine = F.col("trig") == 0
+    base = (2 * n + 1) / (2 * n + 3)
+    up = F.sqrt(base * (n + m + 1) * (n + m + 2)) * F.when(m == 0, F.sqrt(F.lit(2.0))).otherwise(1.0) / 2
+    down = F.sqrt(base * (n - m + 1) * (n - m + 2) * F.when(m == 1, 2.0).otherwise(1.0)) / 2
+    straight = F.sqrt(base * (n + m + 1) * (n - m + 1))
+    same, swapped = F.col("trig"), 1 - F.col("trig")
+    sign = F.when(cosine, -1.0).otherwise(1.0)
+    terms = {
+        "x": [(m + 1, same, -up * v), (m - 1, same, down * v)],
+        "y": [(m + 1, swapped, sign * up * v), (m - 1, swapped, sign * down * v)],
+        "z": [(m, same, -straight * v)],
+    }
+    fields = {}
+    for axis, parts in terms.items():
+        rows = field.select("epoch", (n + 1).alias("n"), F.explode(F.array(*[F.struct(o.alias("m"), t.alias("trig"), x.alias("value")) for o, t, x in parts])).alias("x"))
+        rows = rows.select("epoch", "n", "x.*").where("m >= 0 and not (m = 0 and trig = 1)")
+        fields[axis] = rows.groupBy("epoch", "n", "m", "trig").agg(F.sum("value").alias("value"))
+    return fields
+
+
+def acceleration(field: DataFrame, points: DataFrame, max_degree: int, gm: float = GM, r: float = R) -> DataFrame:
+    """Rows (epoch, point_id, gx, gy, gz) at points (point_id, x, y, z) outside the sphere."""
+    distance, colat, lon = cartesian_to_spherical("x", "y", "z")
+    placed = points.select("point_id", lon.alias("lon"), (F.lit(1.5707963267948966) - colat).alias("lat"), (r / distance).alias("near"))
+    joined = None
+    for axis, part in gradient_fields(field.where(F.col("n") <= max_degree)).items():
+        g = synthesise(part, placed, max_degree + 1, ratio=F.col("near")).withColumnRenamed("value", f"g{axis}")
+        g = g.withColumn(f"g{axis}", F.col(f"g{axis}") * (gm / r**2))
+        joined = g if joined is None else joined.join(g, ["epoch", "point_id"], "full")
+    return joined.na.fill(0.0, ["gx", "gy", "gz"])
