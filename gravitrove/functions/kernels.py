@@ -57,3 +57,44 @@ def butterworth(n: Column, order: int, cutoff: float) -> Column:
 
 def kaula(n: Column, factor: float = 1e-10, power: float = 4.0) -> Column:
     return factor * F.pow(n.cast("double"), F.lit(-power))
+
+
+#: The names of kernels, and the formulas by degree n, radius r, normal gravity g and load Love numbers k and h.
+NAMES = {
+    "ewh": "water_height", "water_height": "water_height", "obp": "ocean_bottom_pressure", "ocean_bottom_pressure": "ocean_bottom_pressure",
+    "potential": "potential", "geoid": "geoid_height", "geoid_height": "geoid_height", "surface_density": "surface_density",
+    "anomaly": "gravity_anomaly", "gravity_anomaly": "gravity_anomaly", "deformation": "vertical_deformation",
+    "vertical_deformation": "vertical_deformation", "vertical_derformation": "vertical_deformation", "uplift": "uplift",
+}
+
+
+def kernel(name: str):
+    """The kernel's factor as a function of the columns (n, r, g, k, h)."""
+    load = 4 * math.pi * GRAVITY
+    formulas = {
+        "water_height": lambda n, r, g, k, h: load * RHO * r * (1 + k) / (2 * n + 1),
+        "ocean_bottom_pressure": lambda n, r, g, k, h: load * r / g * (1 + k) / (2 * n + 1),
+        "potential": lambda n, r, g, k, h: F.lit(1.0),
+        "geoid_height": lambda n, r, g, k, h: g,
+        "surface_density": lambda n, r, g, k, h: load * r * (1 + k) / (2 * n + 1),
+        "gravity_anomaly": lambda n, r, g, k, h: F.when(n == 1, 0.0).otherwise(r / (n - 1)),
+        "vertical_deformation": lambda n, r, g, k, h: g * (1 + k) / F.when(h != 0, h),
+        "uplift": lambda n, r, g, k, h: 2 * g / (2 * n + 1),
+    }
+    if name.lower() not in NAMES:
+        raise ValueError(f"no kernel {name}")
+    formula = formulas[NAMES[name.lower()]]
+    return lambda n, r=F.lit(6378136.3), g=F.lit(None), k=F.lit(0.0), h=F.lit(None): formula(n, r, g, k, h)
+
+
+def in_frame(love: DataFrame, frame: str) -> DataFrame:
+    """Love numbers (n, h, l, k) of the centre of the solid Earth (CE), moved to the centre of mass (CM) or of figure (CF)."""
+    frame = frame.upper()
+    if frame not in ("CE", "CM", "CF"):
+        raise ValueError(f"no frame {frame}")
+    if frame == "CE":
+        return love
+    h, l, k = F.col("h"), F.col("l"), F.col("k")  # noqa: E741
+    shift = k * 0 + 1.0 if frame == "CM" else (h + 2 * l) / 3
+    first = {"CM": {"h": h - shift, "l": l - shift, "k": k - shift}, "CF": {"h": (h - l) * 2 / 3, "l": (l - h) / 3, "k": -shift}}[frame]
+    return love.withColumns({c: F.when(F.col("n") == 1, v).otherwise(F.col(c)) for c, v in first.items()})

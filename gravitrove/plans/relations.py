@@ -60,3 +60,9 @@ def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings in coordinate form (i, j, v)."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "e")).select("i", "j", F.col("e").cast("double").alias("v"))
+
+
+def love_numbers(spark: SparkSession, max_degree: int = 8) -> DataFrame:
+    """Synthetic load Love numbers (n, h, l, k), for queries only."""
+    n = F.col("n")
+    return spark.range(max_degree + 1).select(F.col("id").cast("int").alias("n")).select("n", F.when(n == 0, 0.0).otherwise(-1.0 / (n + 1)).alias("h"), F.when(n == 0, 0.0).otherwise(0.05 / (n + 1)).alias("l"), F.when(n < 2, 0.0).otherwise(-0.6 / (n + 1)).alias("k"))
