@@ -9,7 +9,7 @@ from ..operators import fields, grids, matrices, series, synthesis
 from . import relations as rel
 from .registry import query, rounded
 
-COEF = """f_coef AS (SELECT epoch, n, CAST(floor((rem + 1) / 2e0) AS INT) AS m, CAST(CASE WHEN rem = 0 THEN 0 ELSE (rem + 1) % 2 END AS INT) AS trig, avg(v) * 1e-9 AS value
+COEF = """f_coef AS (SELECT epoch, n, CAST(floor((rem + 1) / 2e0) AS INT) AS m, CAST(CASE WHEN rem = 0 THEN 0 ELSE (rem + 1) % 2 END AS INT) AS trig, avg(v) * 1.0471975512e-9 AS value
   FROM (SELECT epoch, n, idx - n * n AS rem, v FROM (SELECT epoch, idx, CAST(floor(sqrt(idx)) AS INT) AS n, v FROM (
     SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS epoch, CAST((l_orderkey * 7 + l_linenumber * 13) % 81 AS INT) AS idx, l_extendedprice AS v FROM lineitem) a) b) c GROUP BY 1, 2, 3, 4)"""
 POINT = """f_point AS (SELECT CAST(s_suppkey AS BIGINT) AS point_id, radians((s_suppkey * 1.3750776405e2) % 360 - 180) AS lon, asin(2e0 * ((s_suppkey * 6.180339887e-1) % 1) - 1e0) AS lat, s_acctbal AS value FROM supplier)"""
@@ -69,13 +69,13 @@ def agg04_degree_amplitudes(spark, sf):
     return rounded(fields.degree_amplitudes(rel.coefficients(spark, sf), 6), amplitude=12)
 
 
-@query(f"WITH RECURSIVE {POINT}, {LEG} SELECT point_id, n, m, round(p, 9) AS p FROM f_leg")
+@query(f"WITH RECURSIVE {POINT}, {LEG} SELECT point_id, n, m, round(p, 9) + 0e0 AS p FROM f_leg")
 def fn01_legendre(spark, sf):
     points = rel.points(spark, sf).withColumn("colat", F.lit(1.5707963267948966) - F.col("lat"))
     return rounded(synthesis.legendre(points, 8), p=9)
 
 
-@query(f"WITH {POINT}, x AS (SELECT point_id, lon, lat, 6378137e0 / sqrt(1 - e2 * sin(lat) * sin(lat)) AS nn, e2 FROM f_point, (SELECT 2e0 / 298.257222101e0 - 1e0 / (298.257222101e0 * 298.257222101e0) AS e2)) SELECT point_id, round(nn * cos(lat) * cos(lon), 4) AS x, round(nn * cos(lat) * sin(lon), 4) AS y, round(nn * (1 - e2) * sin(lat), 4) AS z, round(sqrt(nn * cos(lat) * nn * cos(lat) + nn * (1 - e2) * sin(lat) * nn * (1 - e2) * sin(lat)), 4) AS radius FROM x")
+@query(f"WITH {POINT}, x AS (SELECT point_id, lon, lat, 6378137e0 / sqrt(1 - e2 * sin(lat) * sin(lat)) AS nn, e2 FROM f_point, (SELECT 2e0 / 298.257222101e0 - 1e0 / (298.257222101e0 * 298.257222101e0) AS e2)) SELECT point_id, round(nn * cos(lat) * cos(lon), 4) + 0e0 AS x, round(nn * cos(lat) * sin(lon), 4) + 0e0 AS y, round(nn * (1 - e2) * sin(lat), 4) + 0e0 AS z, round(sqrt(nn * cos(lat) * nn * cos(lat) + nn * (1 - e2) * sin(lat) * nn * (1 - e2) * sin(lat)), 4) AS radius FROM x")
 def fn12_cartesian(spark, sf):
     x, y, z = geodesy.geodetic_to_cartesian("lon", "lat")
     return rel.points(spark, sf).select("point_id", *[F.round(c, 4).alias(n) for n, c in (("x", x), ("y", y), ("z", z), ("radius", geodesy.geocentric_radius("lat")))])

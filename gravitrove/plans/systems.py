@@ -118,7 +118,7 @@ def syn05_syn06_analysis_of_synthesis(spark, sf):
     return found.withColumn("value", F.round("value", 10) + 0.0)
 
 
-@query(f"WITH RECURSIVE {POINT}, {LEG} SELECT point_id, n, m, k AS trig, round(p * CASE WHEN k = 0 THEN cos(m * lon) ELSE sin(m * lon) END, 9) AS v FROM f_leg JOIN f_point USING (point_id), (VALUES (0), (1)) t(k) WHERE NOT (m = 0 AND k = 1)")
+@query(f"WITH RECURSIVE {POINT}, {LEG} SELECT point_id, n, m, k AS trig, round(p * CASE WHEN k = 0 THEN cos(m * lon) ELSE sin(m * lon) END, 9) + 0e0 AS v FROM f_leg JOIN f_point USING (point_id), (VALUES (0), (1)) t(k) WHERE NOT (m = 0 AND k = 1)")
 def fn06_syn03_synthesis_matrix(spark, sf):
     return rounded(synthesis.basis_matrix(rel.points(spark, sf), 8), v=9)
 
