@@ -204,3 +204,26 @@ def moments_of_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     centred = points.join(mean.withColumnRenamed("x", "_m"), ["sys_id", "i"]).select("sys_id", "point", "weight", "i", (F.col("x") - F.col("_m")).alias("x"))
     other = centred.select("sys_id", "point", F.col("i").alias("j"), F.col("x").alias("y"))
     return mean, centred.join(other, ["sys_id", "point"]).groupBy("sys_id", "i", "j").agg(F.sum(F.col("weight") * F.col("x") * F.col("y")).alias("v"))
+
+
+def unscented(mean: DataFrame, covariance: DataFrame, change, alpha: float = 1e-3, kappa: float = 0.0, beta: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Mean and covariance after a change of the scaled sigma points.
+
+    change makes rows (sys_id, point, i, x) of such rows; the central point is number 0.
+    """
+    counts = mean.groupBy("sys_id").agg(F.count("*").cast("double").alias("_d"))
+    scale = F.lit(alpha**2) * (F.col("_d") + kappa)
+    drawn = sigma_points(mean, covariance, 0.0)
+    centre = mean.select("sys_id", "i", F.col("x").alias("_c"))
+    spread = drawn.join(centre, ["sys_id", "i"]).join(F.broadcast(counts), "sys_id")
+    # the points above lie sqrt(d) standard deviations off the mean; these lie sqrt(scale) off
+    moved = spread.select("sys_id", "point", "i", (F.col("_c") + (F.col("x") - F.col("_c")) * F.sqrt(scale / F.col("_d"))).alias("x"))
+    middle = F.col("point") == 0
+    lam = scale - F.col("_d")
+    weights = {"_wm": F.when(middle, lam / scale).otherwise(0.5 / scale), "_wc": F.when(middle, lam / scale + 1 - alpha**2 + beta).otherwise(0.5 / scale)}
+    changed = change(moved).join(F.broadcast(counts), "sys_id").withColumns(weights)
+    after = changed.groupBy("sys_id", "i").agg(F.sum(F.col("_wm") * F.col("x")).alias("x"))
+    centred = changed.join(after.withColumnRenamed("x", "_m"), ["sys_id", "i"]).select("sys_id", "point", "i", "_wc", (F.col("x") - F.col("_m")).alias("x"))
+    other = centred.select("sys_id", "point", F.col("i").alias("j"), F.col("x").alias("y"))
+    spread = centred.join(other, ["sys_id", "point"]).groupBy("sys_id", "i", "j").agg(F.sum(F.col("_wc") * F.col("x") * F.col("y")).alias("v"))
+    return after, spread

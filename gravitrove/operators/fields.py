@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -79,3 +79,53 @@ def ordered(field: DataFrame, sequence: str) -> DataFrame:
     else:
         raise ValueError(f"no sequence {sequence}")
     return field.withColumn("idx", F.row_number().over(W.partitionBy("epoch").orderBy(*key)) - 1)
+
+
+def packed_index(min_degree: int = 0) -> Column:
+    """Position of (n, m, trig) in the degree-wise vector that starts at a degree."""
+    return F.col("n") * F.col("n") + F.when(F.col("m") == 0, 0).otherwise(2 * F.col("m") - 1 + F.col("trig")) - min_degree * min_degree
+
+
+def all_coefficients(spark: SparkSession, max_degree: int, min_degree: int = 0) -> DataFrame:
+    """Rows (n, m, trig) of every coefficient of the degrees."""
+    rows = spark.range(min_degree, max_degree + 1).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("m"))
+    return rows.select("n", "m", F.explode(F.when(F.col("m") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("trig"))
+
+
+def raveled(field: DataFrame, min_degree: int, max_degree: int) -> DataFrame:
+    """Rows (epoch, idx, value) of the degree-wise vectors, 0 where a field lacks a coefficient."""
+    wanted = all_coefficients(field.sparkSession, max_degree, min_degree)
+    keys = field.select("epoch").distinct().crossJoin(F.broadcast(wanted))  # (max_degree + 1)^2 rows
+    full = keys.join(field.select("epoch", *KEYS, "value"), ["epoch", *KEYS], "left")
+    return full.select("epoch", packed_index(min_degree).alias("idx"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def unraveled(vectors: DataFrame, min_degree: int = 0) -> DataFrame:
+    """Fields of degree-wise vectors (epoch, idx, value)."""
+    at = F.col("idx") + min_degree * min_degree
+    n = F.floor(F.sqrt(at)).cast("int")
+    rest = at - n * n
+    return vectors.select("epoch", n.alias("n"), F.floor((rest + 1) / 2).cast("int").alias("m"), F.when(rest == 0, 0).otherwise((rest + 1) % 2).cast("int").alias("trig"), "value")
+
+
+def reorder_indices(field: DataFrame, source: str, target: str) -> DataFrame:
+    """Rows (epoch, source_idx, target_idx) of the coefficients in two orderings."""
+    a = ordered(field, source).select("epoch", *KEYS, F.col("idx").alias("source_idx"))
+    b = ordered(field, target).select("epoch", *KEYS, F.col("idx").alias("target_idx"))
+    return a.join(b, ["epoch", *KEYS]).select("epoch", "source_idx", "target_idx")
+
+
+def combine_series(left: DataFrame, right: DataFrame, sign: int = 1) -> DataFrame:
+    """left + sign * right at equal epochs; an epoch that only one side has makes the query fail."""
+    sides = left.select("epoch").distinct().withColumn("_l", F.lit(1)).join(right.select("epoch").distinct().withColumn("_r", F.lit(1)), "epoch", "full")
+    bad = sides.agg(F.count(F.when(F.col("_l").isNull() | F.col("_r").isNull(), 1)).alias("_bad"))
+    total = combine(left, right, sign, keys=("epoch",)).crossJoin(F.broadcast(bad))  # one row
+    value = F.when(F.col("_bad") > 0, F.raise_error(F.lit("the series have different epochs")).cast("double")).otherwise(F.col("value"))
+    return total.withColumn("value", value).drop("_bad")
+
+
+def power_law(variances: DataFrame) -> DataFrame:
+    """One row (factor, power) of factor^2 n^-power fitted to squared rows (n, value) in logarithms."""
+    x, y = F.log(F.col("n")), 2 * F.log("value")
+    fit = variances.where("n > 0 and value > 0").agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
+    return fit.select(F.exp(F.col("_a") / 2).alias("factor"), (-F.col("_b")).alias("power"))

@@ -99,3 +99,19 @@ def acceleration(field: DataFrame, points: DataFrame, max_degree: int, gm: float
         g = g.withColumn(f"g{axis}", F.col(f"g{axis}") * (gm / r**2))
         joined = g if joined is None else joined.join(g, ["epoch", "point_id"], "full")
     return joined.na.fill(0.0, ["gx", "gy", "gz"])
+
+
+def window_matrix(points: DataFrame, max_degree: int, min_degree: int = 0) -> DataFrame:
+    """Rows (i_n, i_m, i_trig, n, m, trig, v): synthesis, multiplication by the points' values, and analysis in one matrix.
+
+    points: a regular grid (point_id, lon, lat, area, value). Sums over points meet the orders' small inverses last.
+    """
+    a = basis_matrix(points, max_degree).where(F.col("n") >= min_degree).join(points.select("point_id", "area", "value"), "point_id")
+    names = [F.col(c).alias("i_" + c) for c in ("n", "m", "trig")]
+    left = a.select("point_id", *names, (F.col("v") * F.col("area")).alias("u"))
+    own = a.select("point_id", F.col("n").alias("j"), F.col("m").alias("i_m"), F.col("trig").alias("i_trig"), F.col("v").alias("w"))
+    normals = left.join(own, ["point_id", "i_m", "i_trig"]).groupBy("i_m", "i_trig", F.col("i_n").alias("i"), "j").agg(F.sum(F.col("u") * F.col("w")).alias("v"))
+    right = a.select("point_id", "n", "m", "trig", (F.col("v") * F.col("value")).alias("w"))
+    product = left.join(right, "point_id").groupBy(F.col("i_n").alias("j"), "i_m", "i_trig", "n", "m", "trig").agg(F.sum(F.col("u") * F.col("w")).alias("_p"))
+    solved = inverse(normals, ["i_m", "i_trig"])
+    return solved.join(product, ["i_m", "i_trig", "j"]).groupBy(F.col("i").cast("int").alias("i_n"), "i_m", "i_trig", "n", "m", "trig").agg(F.sum(F.col("v") * F.col("_p")).alias("v"))

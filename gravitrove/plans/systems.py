@@ -171,3 +171,46 @@ def fil07_fil08_fil09_regularised(spark, sf):
     keys = [(n, m, t) for n in range(9) for m in range(n + 1) for t in (0, 1) if m or not t]
     unit = spark.createDataFrame([(*k, *k, 100.0) for k in keys], "i_n int, i_m int, i_trig int, n int, m int, trig int, v double")
     return rounded(fields.matrix_filter(rel.coefficients(spark, sf), filters.regularised(unit, 1.0, 2.0)), value=12)
+
+
+@query("SELECT a.n AS i_n, a.m AS i_m, a.t AS i_trig, b.n, b.m, b.t AS trig, CASE WHEN a.n = b.n AND a.m = b.m AND a.t = b.t THEN 2e0 ELSE 0e0 END AS v FROM (SELECT CAST(x.k AS INT) AS n, CAST(y.k AS INT) AS m, CAST(z.k AS INT) AS t FROM range(5) x(k), range(5) y(k), range(2) z(k) WHERE y.k <= x.k AND (y.k > 0 OR z.k = 0)) a, (SELECT CAST(x.k AS INT) AS n, CAST(y.k AS INT) AS m, CAST(z.k AS INT) AS t FROM range(5) x(k), range(5) y(k), range(2) z(k) WHERE y.k <= x.k AND (y.k > 0 OR z.k = 0)) b")
+def syn07_window_matrix(spark, sf):
+    """A constant window is that constant times the unit matrix."""
+    window = synthesis.window_matrix(grids.gauss_grid(spark, 6).withColumn("value", F.lit(2.0)), 4)
+    return window.withColumn("v", F.round("v", 9) + 0.0)
+
+
+@query(f"WITH {COEF}, e AS (SELECT DISTINCT epoch FROM f_coef), k AS (SELECT CAST(x AS INT) AS idx, CAST(floor(sqrt(x + 4)) AS INT) AS n FROM range(96) t(x)), i AS (SELECT idx, n, idx + 4 - n * n AS rem FROM k) SELECT e.epoch, i.idx, round(coalesce(value, 0e0), 12) AS value FROM e CROSS JOIN i LEFT JOIN f_coef f ON f.epoch = e.epoch AND f.n = i.n AND n * n + CASE WHEN m = 0 THEN 0 ELSE 2 * m - 1 + trig END - 4 = i.idx".replace("AND n * n +", "AND f.n * f.n +"))
+def fn07_ravel(spark, sf):
+    return rounded(fields.raveled(rel.coefficients(spark, sf), 2, 9), value=12)
+
+
+@query(f"WITH {COEF} SELECT epoch, n, m, trig, round(value, 12) AS value FROM f_coef WHERE value <> 0")
+def fn08_unravel(spark, sf):
+    return rounded(fields.unraveled(fields.raveled(rel.coefficients(spark, sf), 0, 8)).where("value != 0"), value=12)
+
+
+@query(f"WITH {COEF} SELECT epoch, CAST(row_number() OVER (PARTITION BY epoch ORDER BY n, m, trig) - 1 AS INT) AS source_idx, CAST(row_number() OVER (PARTITION BY epoch ORDER BY m, n, trig) - 1 AS INT) AS target_idx FROM f_coef")
+def join13_sort03_sort04_reorder(spark, sf):
+    return fields.reorder_indices(rel.coefficients(spark, sf), "degree", "order_alternating")
+
+
+@query(f"WITH {COEF} SELECT epoch, n, m, trig, round(value * 75e-2, 12) AS value FROM f_coef")
+def join03_series_difference(spark, sf):
+    field = rel.coefficients(spark, sf)
+    return rounded(fields.combine_series(field, fields.scale(field, 0.25), -1), value=12)
+
+
+@query(f"WITH {COEF}, d AS (SELECT n, sqrt(sum(value * value)) AS value FROM f_coef WHERE n > 0 GROUP BY 1) SELECT round(exp(regr_intercept(2 * ln(value), ln(n)) / 2), 9) AS factor, round(-regr_slope(2 * ln(value), ln(n)), 8) AS power FROM d")
+def fn23_power_law(spark, sf):
+    degrees = rel.coefficients(spark, sf).groupBy("n").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("value"))
+    return rounded(fields.power_law(degrees), factor=9, power=8)
+
+
+@query(f"WITH {SMALL} SELECT CAST(sys_id AS INT) AS sys_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(4 * v, 4) AS v FROM nn")
+def lsq17_unscented_transform(spark, sf):
+    """A linear change of the points changes the covariance by its square."""
+    normal, right, _ = _systems(spark, sf)
+    mean = right.select("sys_id", F.col("i").cast("long").alias("i"), F.col("rhs").alias("x"))
+    double = lambda points: points.withColumn("x", 2 * F.col("x") + 1)
+    return rounded(adjustment.unscented(mean, normal, double, alpha=0.5)[1], v=4)

@@ -135,3 +135,22 @@ def read_love_numbers(spark: SparkSession, path: str) -> DataFrame:
     """Rows (n, h, l, k) of a text table with a heading row."""
     words = spark.read.text(path).select(_words().alias("w")).where(F.col("w")[0].rlike("^[0-9]+$"))
     return words.select(F.col("w")[0].cast("int").alias("n"), *[_number(F.col("w")[k]).alias(c) for k, c in ((1, "h"), (2, "l"), (3, "k"))])
+
+
+def write_sinex(path: str, right: DataFrame, matrix: DataFrame, stats: dict[str, float], agency: str = "XXX", created: str = "00:000:00000") -> None:
+    """One SINEX file of normal equations, in a folder: rows (i, n, m, trig, value) and (i, j, v), of which the upper triangle counts.
+
+    The file is one ordered text, so its lines go through one task, sorted there with spilling.
+    """
+    spark = right.sparkSession
+
+    def fixed(section, texts):
+        return spark.createDataFrame([(section, 0, k, t) for k, t in enumerate(texts)], "section int, a long, b long, value string")
+
+    vector = right.select(F.lit(3).alias("section"), F.col("i").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.format_string(" %5d %-6s %4d -- %4d %12s %-4s 2 %21.14e", F.col("i") + 1, F.when(F.col("trig") == 1, "SN").otherwise("CN"), "n", "m", F.lit(created), F.lit("----"), "value").alias("value"))
+    entries = matrix.where("i <= j").select(F.lit(5).alias("section"), F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b"), F.format_string(" %5d %5d %21.14e", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
+    labels = {"obs": "NUMBER OF OBSERVATIONS", "parameters": "NUMBER OF UNKNOWNS", "dof": "NUMBER OF DEGREES OF FREEDOM", "lpl": "WEIGHTED SQUARE SUM OF O-C"}
+    head = [f"%=SNX 2.02 {agency} {created}", "+SOLUTION/STATISTICS", *[f" {labels[k]:<30} {v:>22.15g}" for k, v in stats.items()], "-SOLUTION/STATISTICS", "+SOLUTION/NORMAL_EQUATION_VECTOR"]
+    between = ["-SOLUTION/NORMAL_EQUATION_VECTOR", "+SOLUTION/NORMAL_EQUATION_MATRIX U"]
+    lines = fixed(1, head).unionByName(vector).unionByName(fixed(4, between)).unionByName(entries).unionByName(fixed(6, ["-SOLUTION/NORMAL_EQUATION_MATRIX U", "%ENDSNX"]))
+    lines.repartition(1).sortWithinPartitions("section", "a", "b").select("value").write.text(path)
