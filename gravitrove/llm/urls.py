@@ -13,8 +13,10 @@ from .decontamination import CAPITALS, SMALL
 #: Rules of the production filter (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: At most so many labelled urls train the trees; those of the smallest hashes, whatever the size of the table.
+#: At most so many distinct labelled urls train the trees, each weighted by its rows; those of the smallest hashes.
 SAMPLE_ROWS = 20_000
+#: Hosts are dealt by hash into so many folds: a labelled url's suffix statistics come from the other folds.
+FOLDS = 5
 FEATURES = ("url_length", "depth", "digits", "entropy", "parameters", "host_labels", "hyphens", "last_length", "suffix_rate", "suffix_count")
 
 
@@ -35,7 +37,7 @@ def fitting_rule(host: Column, path: Column, rules) -> Column:
 
 
 def lexical(pages: DataFrame, url: str) -> DataFrame:
-    """Adds the features that the text of a url has; suffix is the host's last label and the first part of the path."""
+    """Adds the features that the text of a url has; suffix is the host's last label."""
     text = F.coalesce(F.col(url), F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
     chars = [chr(c) for c in range(33, 127)]
@@ -50,23 +52,43 @@ def lexical(pages: DataFrame, url: str) -> DataFrame:
         "host_labels": F.size(F.split("host", r"\.")).cast("double"),
         "hyphens": F.regexp_count(text, F.lit("[-_]")).cast("double"),
         "last_length": F.length(F.element_at(F.split("path", "/"), -1)).cast("double"),
-        "suffix": F.concat_ws("/", F.element_at(F.split("host", r"\."), -1), F.regexp_extract("path", "^/([^/]*)/", 1)),
+        "suffix": F.element_at(F.split("host", r"\."), -1),
     })
 
 
+def suffix_statistics(known: DataFrame) -> DataFrame:
+    """Rows (suffix, fold, suffix_rate, suffix_count): the smoothed block rate and the log count of all rows of known outside the fold.
+
+    Fold -1 leaves nothing out; it is for the urls to be judged. Leaving out the row's own rule instead
+    would turn the rate around: rows of a blocking rule would see only the exceptions to it.
+    """
+    suffix = F.element_at(F.split("host", r"\."), -1).alias("suffix")
+    parts = known.groupBy(suffix, _fold().alias("fold")).agg(F.sum("_label").alias("blocked"), F.count("*").alias("rows"))
+    whole = parts.groupBy("suffix").agg(F.sum("blocked").alias("all_blocked"), F.sum("rows").alias("all_rows"))
+    folds = whole.withColumn("fold", F.explode(F.sequence(F.lit(-1), F.lit(FOLDS - 1)))).join(parts, ["suffix", "fold"], "left").fillna(0, ["blocked", "rows"])
+    blocked, rows = F.col("all_blocked") - F.col("blocked"), F.col("all_rows") - F.col("rows")
+    return folds.select("suffix", "fold", ((blocked + 1) / (rows + 2)).alias("suffix_rate"), F.log1p(rows).alias("suffix_count"))
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+
+
 def filter_urls(pages: DataFrame, *, rules=RULES, url_col: str = "url", sample_rows: int = SAMPLE_ROWS, trees: int = 8, depth: int = 3) -> DataFrame:
     """The columns of pages with host, path, rule and verdict (allow or block).
 
-    The urls that a rule fits are the labelled ones. The trees learn from at most sample_rows of them,
-    chosen by hash, with the block rate of their suffix (smoothed) among the features, and judge the
-    rest. Where the sample lacks one of the verdicts, the rest gets the sample's only one, or allow. Null
-    urls and those without `://` have empty host and path and are judged like any other; repeated rows
-    stay; columns of pages with the names of added ones are replaced.
+    The urls that a rule fits are the labelled ones. The block rate and count of each suffix come from all
+    of them, those of a labelled url without its host's fold. The trees learn from at most sample_rows
+    distinct ones, chosen by hash and weighted by their rows, and judge the rest. Where the labelled urls
+    lack one of the verdicts, the rest gets their only one, or allow. Null urls and those without `://` have
+    empty host and path and are judged like any other; repeated rows stay; columns of pages with the names
+    of added ones are replaced.
     """
     host, path = host_and_path(url_col)
     judged = pages.withColumns({"host": host, "path": path}).withColumn("_fits", fitting_rule(F.col("host"), F.col("path"), rules))
     known = judged.where("_fits is not null").select(F.col(url_col).alias("_url"), "host", "path", (F.col("_fits.verdict") == "block").cast("double").alias("_label"))
-    sample = known.withColumn("_order", F.xxhash64("_url")).orderBy("_order", "_url").limit(sample_rows)
+    urls = known.groupBy("_url", "host", "path", "_label").agg(F.count("*").cast("double").alias("_rows"))
+    sample = urls.withColumn("_order", F.xxhash64("_url")).orderBy("_order", "_url").limit(sample_rows)
     spark = pages.sparkSession
     rows = [tuple(r) for r in sample.drop("_order").collect()]  # at most sample_rows urls
     labels = {r[3] for r in rows}
@@ -74,16 +96,17 @@ def filter_urls(pages: DataFrame, *, rules=RULES, url_col: str = "url", sample_r
     if len(labels) < 2:
         rest = F.lit("block" if labels == {1.0} else "allow")
         return judged.select(*out, "host", "path", F.col("_fits.rule").alias("rule"), F.coalesce("_fits.verdict", rest).alias("verdict"))
-    train = lexical(spark.createDataFrame(rows, "_url string, host string, path string, _label double").coalesce(1), "_url")
-    suffixes = train.groupBy("suffix").agg(((F.sum("_label") + 1) / (F.count("*") + 2)).alias("suffix_rate"), F.log1p(F.count("*")).alias("suffix_count"))
+    train = lexical(spark.createDataFrame(rows, "_url string, host string, path string, _label double, _rows double").coalesce(1), "_url")
+    found = [tuple(r) for r in suffix_statistics(known).collect()]  # a labelled host ends as a rule's host does
+    suffixes = spark.createDataFrame(found, "suffix string, fold int, suffix_rate double, suffix_count double")
 
-    def with_suffix(x: DataFrame) -> DataFrame:  # at most sample_rows suffixes
-        return x.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
+    def with_suffix(x: DataFrame, fold: Column) -> DataFrame:
+        return x.withColumn("fold", fold).join(F.broadcast(suffixes), ["suffix", "fold"], "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
 
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    model = GBTClassifier(labelCol="_label", featuresCol="_features", predictionCol="_block", maxIter=trees, maxDepth=depth, maxBins=32, seed=7, cacheNodeIds=False)
-    fitted = model.fit(assembler.transform(with_suffix(train)).select("_label", "_features").coalesce(1))
-    scored = fitted.transform(assembler.transform(with_suffix(lexical(judged, url_col))))
+    model = GBTClassifier(labelCol="_label", featuresCol="_features", weightCol="_rows", predictionCol="_block", maxIter=trees, maxDepth=depth, maxBins=32, seed=7, cacheNodeIds=False)
+    fitted = model.fit(assembler.transform(with_suffix(train, _fold())).select("_label", "_rows", "_features").coalesce(1))
+    scored = fitted.transform(assembler.transform(with_suffix(lexical(judged, url_col), F.lit(-1))))
     return scored.select(*out, "host", "path", F.col("_fits.rule").alias("rule"), F.coalesce("_fits.verdict", F.when(F.col("_block") > 0.5, "block").otherwise("allow")).alias("verdict"))
 
 
