@@ -106,3 +106,15 @@ def lsq18_spectrum_of_a_model(spark, sf):
 @query(f"WITH {POINT}, c AS (SELECT k AS target_id, radians(-165e0 + 30 * (k % 12)) AS lon2, radians(75e0 - 30 * (k // 12)) AS lat2 FROM range(72) t(k)), d AS (SELECT point_id, target_id, sin(lat) * sin(lat2) + cos(lat) * cos(lat2) * cos(lon2 - lon) AS s FROM f_point, c) SELECT point_id, arg_max(target_id, s) AS target_id FROM d GROUP BY 1")
 def join04_nearest_grid_point(spark, sf):
     return grids.nearest(rel.points(spark, sf), grids.geographic_grid(spark, 30.0, 30.0)).select("point_id", "target_id")
+
+
+@query(f"WITH {POINT}, c AS (SELECT k AS target_id, radians(-165e0 + 30 * (k % 12)) AS lon2, radians(75e0 - 30 * (k // 12)) AS lat2 FROM range(72) t(k)) SELECT point_id, target_id, round(acos(greatest(-1, least(1, sin(lat) * sin(lat2) + cos(lat) * cos(lat2) * cos(lon2 - lon)))), 6) AS psi FROM f_point, c")
+def join10_distances_to_grid(spark, sf):
+    """Distances of all points to a whole grid."""
+    return rounded(grids.distances(rel.points(spark, sf), grids.geographic_grid(spark, 30.0, 30.0)), psi=6)
+
+
+@query(f"WITH {POINT}, c AS (SELECT k AS target_id, radians(-165e0 + 30 * (k % 12)) AS lon2, radians(75e0 - 30 * (k // 12)) AS lat2 FROM range(72) t(k)), d AS (SELECT point_id, target_id, value, sin(lat) * sin(lat2) + cos(lat) * cos(lat2) * cos(lon2 - lon) AS s FROM f_point, c), b AS (SELECT point_id, arg_max(target_id, s) AS target_id, any_value(value) AS value FROM d GROUP BY 1) SELECT target_id, count(*) AS n, round(avg(value), 6) AS mean FROM b GROUP BY 1")
+def agg09_cells_of_grid(spark, sf):
+    """All points by the nearest point of a whole grid."""
+    return rounded(grids.cells_of(rel.points(spark, sf), grids.geographic_grid(spark, 30.0, 30.0)), mean=6)
