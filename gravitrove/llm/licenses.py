@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ NOTICES = (
     ("mpl-2", "mozilla public license version 2 0"),
 )
 ERROR_SPAN = 14
+#: Words that tell licences apart: a match must hold those of its notice unchanged and in order; only a last 0 may lack.
+TELLING = re.compile(rb"\b(?:[0-9]+|nc|nd|sa)\b")
 
 
 @cache
@@ -52,6 +55,33 @@ def _places(line: bytes, part: bytes) -> list[int]:
     return found
 
 
+def _tells_apart(line: bytes, start: int, end: int, notice: str) -> bool:
+    """Whether the matched text, taken to the ends of its words and the telling words that follow, names another licence."""
+    wanted = TELLING.findall(notice.encode())
+    if not wanted:
+        return False
+    stop = line.find(b" ", max(start, end - 1))
+    start, end = line.rfind(b" ", 0, start) + 1, stop if stop >= 0 else len(line)
+    while m := TELLING.match(line, end + 1):
+        end = m.end()
+    found = TELLING.findall(line, start, end)
+    if wanted[-1] == b"0" and found == wanted[:-1]:
+        return False
+    return found[: len(wanted)] != wanted or any(not w.isdigit() for w in found[len(wanted) :])
+
+
+def _matches(line: bytes, notice: str, errors: int, start: int, end: int) -> list[tuple[int, int, int]]:
+    """The best match of line[start:end] and, again, those of the text before and after it, until nothing is left."""
+    found, left = [], [(start, end)]
+    while left:
+        start, end = left.pop()
+        if end > start and (m := pattern(notice, errors).search(line, start, end)):
+            if not _tells_apart(line, *m.span(), notice):
+                found.append((*m.span(), sum(m.fuzzy_counts)))
+            left += [(start, m.start()), (max(m.end(), m.start() + 1), end)]
+    return sorted(found)
+
+
 def fuzzy_matches(line: bytes, notice: str, errors: int) -> list[tuple[int, int, int]]:
     """(start, end, errors) of the notice in line, in bytes; matches don't overlap."""
     near = sorted((max(0, at - offset - errors), at - offset + len(notice) + errors) for offset, part in seeds(notice, errors) for at in _places(line, part))
@@ -61,10 +91,7 @@ def fuzzy_matches(line: bytes, notice: str, errors: int) -> list[tuple[int, int,
         while i < len(near) and near[i][0] <= end:
             end = max(end, near[i][1])
             i += 1
-        at = start
-        while m := pattern(notice, errors).search(line, at, min(end, len(line))):
-            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            at = max(m.end(), at + 1)
+        found += _matches(line, notice, errors, start, min(end, len(line)))
     return found
 
 
