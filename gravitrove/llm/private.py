@@ -23,7 +23,7 @@ from .common import materialise, pieces, table
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the classifier adds, and what their candidates look like.
 CANDIDATES = {
-    "secret": re.compile(r"[A-Za-z0-9_-]{16,128}"),  # around digits, with a letter
+    "secret": re.compile(r"[A-Za-z0-9_-]{16,}"),  # around digits, with a letter
     "number": re.compile(r"[0-9](?:[0-9]|[ ().-](?=[0-9(])){7,22}[0-9](?![A-Za-z0-9-])"),
     "handle": re.compile(r"(?<!\S)[A-Za-z0-9._-]{2,40} ?[\[(]at[\])] ?[A-Za-z0-9-]{2,40} ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]{2,10}\b"),
 }
