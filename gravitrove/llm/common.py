@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,8 +21,10 @@ PLAIN_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of PLAIN_BREAK become spaces and A-Z become a-z; every byte of a non-ASCII character stays.
 PLAIN_BYTES = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
 
-#: Up to so many rows a table counts as small enough to be sent to every executor.
-BROADCAST_ROWS = 200_000
+#: A table is sent to every executor only if its measured bytes are no more than this.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of one Arrow batch between Spark and a Python worker; a batch holds at least one row.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +54,30 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for a broadcast if a count shows that it is small; else the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow in batches of BATCH_BYTES: rows of text differ too much in size for a limit on their number."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def measured_bytes(df: DataFrame, *texts: str) -> int:
+    """Bytes of df: its strings in `texts` and 64 bytes a row for the rest."""
+    rows = [F.lit(64), *[F.coalesce(F.octet_length(c), F.lit(0)) for c in texts]]
+    return df.agg(F.sum(reduce(lambda a, b: a + b, rows).cast("long"))).first()[0] or 0
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not use, in any case of letters."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def without(df: DataFrame, names) -> list[str]:
+    """The columns of df but those named like `names`, in any case of letters."""
+    names = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in names]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, materialise, table
+from .common import BROADCAST_BYTES, WORD, free_name, materialise, measured_bytes, table, without
 
 #: Bits of the hash, and of one level of the histogram.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -57,7 +57,7 @@ def water_level(sources: DataFrame, share: float, repeats: int) -> DataFrame:
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """Inner join by null-safe keys; right is sent to all executors only if its row count is known to be small."""
+    """Inner join by null-safe keys; right is sent to all executors only if its measured size is small."""
     renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return left.join(F.broadcast(renamed) if few else renamed, on).drop(*[f"_{k}" for k in keys])
@@ -98,23 +98,24 @@ def mix(docs: DataFrame, weights, *, share: float = 1.5, repeats: int = 2, id_co
     `share` times the words of docs; no document is taken more than `repeats` times. Null texts have
     size 0; a null source is a source; rows of the same id have the same hash and move together;
     an empty table gives an empty result; documents without words get copies but no words.
-    Columns of docs that bear the names of added ones are replaced.
+    Columns of docs that bear the names of added ones are replaced; any other name is allowed.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
-    docs = docs.drop(*[c for c in added if c not in (id_col, text_col, source_col)])
+    docs = docs.select(*without(docs, [c for c in added if c not in (id_col, text_col, source_col)]))
     sized = materialise(docs.select(F.col(source_col).alias("source"), id_hash(id_col).alias("hash"), word_count(text_col).alias("size")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(water_level(weights(sizes), share, repeats))
-    few = targets.limit(BROADCAST_ROWS // repeats + 1).count() <= BROADCAST_ROWS // repeats
+    few = repeats * measured_bytes(targets, "source") <= BROADCAST_BYTES
     thresholds = hash_thresholds(sized, targets, repeats, few).groupBy("source").agg(F.sort_array(F.collect_list("threshold")).alias("thresholds"))
-    found = _left(targets, thresholds).select(F.col("source").alias("_source"), "source_size", "target", "thresholds")
-    copies = F.aggregate("thresholds", F.lit(0), lambda n, t: n + (F.col("_hash") < t).cast("int"))
+    source, limits, hashed = (free_name(docs, x) for x in ("mix_source", "mix_thresholds", "mix_hash"))
+    found = _left(targets, thresholds).select(F.col("source").alias(source), "source_size", "target", F.col("thresholds").alias(limits))
+    copies = F.aggregate(limits, F.lit(0), lambda n, t: n + (F.col(hashed) < t).cast("int"))
     return (
-        docs.withColumns({"_hash": id_hash(id_col), "size": word_count(text_col)})
-        .join(F.broadcast(found) if few else found, F.col(source_col).eqNullSafe(F.col("_source")))
+        docs.withColumns({hashed: id_hash(id_col), "size": word_count(text_col)})
+        .join(F.broadcast(found) if few else found, F.col(source_col).eqNullSafe(F.col(source)))
         .withColumn("copies", F.coalesce(copies, F.lit(0)))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_hash", "_source", "thresholds")
+        .drop(hashed, source, limits)
     )
 
 

@@ -2,8 +2,8 @@
 
 Spark deals out the documents; a task works through pieces of a few megabytes. Over the words of a
 piece, prefix doubling sorts the suffixes of all its documents at once (a suffix ends with its
-document, and only positions whose prefix still occurs twice are sorted again). Longest common
-prefixes of neighbours in the suffix array give the maximal repeated substrings; their spans are united.
+document, and only positions whose prefix still occurs twice are sorted again). Intervals of the longest
+common prefixes are the repeated substrings; those that no word extends are maximal, and their spans are united.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, table
+from .common import as_bytes, map_texts, pieces, table, without
 
 CONTINUED = bytes(range(0x80, 0xC0))
 SPACES = b"\t\n\x0b\x0c\r "
@@ -49,14 +49,14 @@ def suffix_ranks(ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     width = int(ids.max(initial=0)) + 1
     key = doc * width + ids
     active = np.arange(n)
-    rank = np.zeros(n, np.int64)
+    rank = np.zeros(n, np.int32)  # a piece has fewer words than 2**31
     levels, length = [], 0
     while len(active):
         if length:
             later = active + length
             inside = later < end[active]
-            after = np.where(inside, rank[np.minimum(later, n - 1)] + 1, 0)
-            key = rank[active] * (n + 1) + after
+            after = np.where(inside, rank[np.minimum(later, n - 1)].astype(np.int64) + 1, 0)
+            key = rank[active].astype(np.int64) * (n + 1) + after
         order = np.argsort(key, kind="stable")
         key, active = key[order], active[order]
         place = np.arange(len(active))
@@ -75,33 +75,82 @@ def suffix_ranks(ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def longest_repeats(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each word position the longest run of words from there that also starts elsewhere in the document."""
+def common_prefixes(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and the longest common prefix of each suffix with the one before it; 0 across documents."""
     n = len(ids)
-    repeat = np.zeros(n, np.int64)
     levels = suffix_ranks(ids, bounds)
+    order, prefix = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if not levels:
-        return repeat
-    order = np.empty(n, np.int64)
+        return order, prefix
     order[levels[-1]] = np.arange(n)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     end = bounds[1:][doc]
     left, right = order[:-1], order[1:]
-    near = (doc[left] == doc[right]) & (levels[0][left] == levels[0][right])
+    near = np.flatnonzero((doc[left] == doc[right]) & (levels[0][left] == levels[0][right]))
     left, right = left[near], right[near]
-    common = np.zeros(len(left), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
+    common = np.zeros(len(near), np.int64)
+    while levels:
+        rank, length = levels.pop(), 1 << len(levels)
         a, b = left + common, right + common
-        ok = (a + (1 << k) <= end[left]) & (b + (1 << k) <= end[right])
-        ok[ok] = levels[k][a[ok]] == levels[k][b[ok]]
-        common[ok] += 1 << k
-    np.maximum.at(repeat, left, common)
-    np.maximum.at(repeat, right, common)
-    return repeat
+        ok = (a + length <= end[left]) & (b + length <= end[right])
+        ok[ok] = rank[a[ok]] == rank[b[ok]]
+        common[ok] += length
+    prefix[near + 1] = common
+    return order, prefix
+
+
+def intervals(prefix: np.ndarray, least: int) -> np.ndarray:
+    """The longest-common-prefix intervals of at least `least` words: rows (length, first, last) in the suffix array.
+
+    An interval is a longest run of suffixes that share `length` words; intervals nest or lie apart.
+    """
+    found, open_ = [], []
+    at = np.flatnonzero(prefix >= least)
+    before = -2
+    for i, length in zip(at.tolist(), prefix[at].tolist()):
+        if i != before + 1:
+            found += [(size, first, before) for size, first in open_]
+            open_ = []
+        first = i - 1
+        while open_ and open_[-1][0] > length:
+            size, first = open_.pop()
+            found.append((size, first, i - 1))
+        if not open_ or open_[-1][0] < length:
+            open_.append((length, first))
+        before = i
+    found += [(size, first, before) for size, first in open_]
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def maximal_repeats(ids: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The length of the deepest interval at each word (0: none of `least` words), and each document's longest maximal repeat.
+
+    An interval's words are right-maximal; they are a maximal repeat unless the same word stands before every
+    occurrence, and then each occurrence lies within a longer repeat, whose interval covers it. So the spans of the
+    deepest intervals unite to those of the maximal repeats; intervals further out are shorter and start at
+    the same word. The deepest one that holds a suffix has the larger of its two common prefixes.
+    """
+    order, prefix = common_prefixes(ids, bounds)
+    repeat = np.zeros(len(ids), np.int64)
+    longest = np.zeros(len(bounds) - 1, np.int64)
+    found = intervals(prefix, least)
+    if not len(found):
+        return repeat, longest
+    length, first, last = found.T
+    head = np.zeros(len(ids), bool)
+    head[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    before = np.where(head[order], -1 - np.arange(len(order)), ids[order - 1])  # the word before; none is equal to no other
+    change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    maximal = change[last] != change[first]
+    length, first, last = length[maximal], first[maximal], last[maximal]
+    np.maximum.at(longest, np.searchsorted(bounds, order[first], "right") - 1, length)
+    deepest = np.maximum(prefix, np.append(prefix[1:], 0))
+    repeat[order] = np.where(deepest >= least, deepest, 0)
+    return repeat, longest
 
 
 def covered(repeat: np.ndarray, least: int) -> np.ndarray:
-    """Marks the words inside a repeated run of at least `least` words."""
+    """Marks the words inside a maximal repeat of at least `least` words: the union of the spans."""
     step = np.zeros(len(repeat) + 1, np.int64)
     at = np.flatnonzero(repeat >= least)
     np.add.at(step, at, 1)
@@ -117,11 +166,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def statistics(texts: list[bytes], least: int) -> dict[str, np.ndarray]:
     """STATISTICS of each text; runs of at least `least` words count as covered."""
     ids, bounds = word_ids(texts)
-    repeat = longest_repeats(ids, bounds)
-    longest = np.zeros(len(texts), np.int64)
-    full = bounds[1:] > bounds[:-1]
-    if len(ids):
-        longest[full] = np.maximum.reduceat(repeat, bounds[:-1][full])
+    repeat, longest = maximal_repeats(ids, bounds, min(3, least))
     lines = [[line for line in text.split(b"\n") if line.strip()] for text in texts]
     values = {
         "n_words": np.diff(bounds),
@@ -147,7 +192,7 @@ def measure(docs: DataFrame, carried: list[str], text_col: str, least: int) -> D
             found = statistics(as_bytes(piece.column(text_col)), least)
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carried), *map(pa.array, found.values())], names=[*carried, *found])
 
-    return read.mapInArrow(run, schema)
+    return map_texts(read, run, schema)
 
 
 def quality(docs: DataFrame, *, carried: list[str] | None = None, text_col: str = "text", least: int = 10, max_covered: float = 0.3, max_longest: int = 100, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
@@ -160,7 +205,7 @@ def quality(docs: DataFrame, *, carried: list[str] | None = None, text_col: str
     that bear the names of added ones are replaced. The memory of a task is bounded by its longest text.
     """
     added = (*STATISTICS, "base_failed", "kept")
-    carried = [c for c in carried or docs.columns if c not in added]
+    carried = without(docs.select(*(carried or docs.columns)), added)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     fits = (F.col("n_covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
     return measure(docs, carried, text_col, least).withColumn("base_failed", base).withColumn("kept", ~base & fits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -10,13 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, pieces, table
+from .common import as_bytes, map_texts, materialise, pieces, table
 
 BITS, BYTES = 64, 8
 #: Rows of the index in one grouped call.
 INDEX_ROWS = 200_000
-#: Posting lists up to this length are compared by neighbours, all lists at once.
-SHORT_LIST = 8
+#: Posting lists up to this length are compared all at once; longer than the second, they are split.
+SHORT_LIST, LONGEST_LIST = 8, 2048
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -51,24 +52,25 @@ def fingerprints(docs: DataFrame, *, size: int = 4, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, read.select("doc_id").schema.add("fp", "long"))
+    return map_texts(read, run, read.select("doc_id").schema.add("fp", "long"))
 
 
-def index_sets(shared: int, length: int) -> list[tuple[int, ...]]:
-    """Sets of `length` byte positions such that any `shared` positions hold one of them."""
-    if (shared, length) != (4, 3):
-        return list(combinations(range(BYTES), length))
+def index_sets() -> list[tuple[int, ...]]:
+    """Sets of three byte positions such that any four positions hold one of them."""
     groups = [(0, 1, 2), (3, 4, 5), (6, 7)]  # of four positions, three are in a group, or two in one and one in the next
     sets = [g for g in groups if len(g) == 3]
     return sets + [(*pair, x) for k, g in enumerate(groups) for pair in combinations(g, 2) for x in groups[(k + 1) % 3]]
 
 
-def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Count filtering, then verification: at least BYTES - most positions share their byte, at most `most` bits differ."""
-    differ = a ^ b
-    shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    near = shared >= BYTES - most
-    near[near] = np.bitwise_count(differ[near]) <= most
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of byte positions at which each pair shares its byte."""
+    return ((a ^ b).view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+
+
+def linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Pairs whose tally reaches the guaranteed minimum, BYTES - most, and of these the ones that differ in at most `most` bits."""
+    near = tally(a, b) >= BYTES - most
+    near[near] = np.bitwise_count(a[near] ^ b[near]) <= most
     return near
 
 
@@ -80,7 +82,7 @@ def list_links(x: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
         while reached and len(rest):
             source = reached.pop()
             for v in source:
-                near = _near(rest, np.full_like(rest, v), most)
+                near = linked(rest, np.full_like(rest, v), most)
                 if near.any():
                     found, rest = rest[near], rest[~near]
                     out.append((np.full_like(found, v), found))
@@ -90,44 +92,81 @@ def list_links(x: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def links(fps: DataFrame, most: int = 4) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints differing in at most `most` bits, directly or by others.
+def _bytes_at(positions: tuple[int, ...]) -> Column:
+    """The bytes at these positions, kept in place in a long."""
+    return F.col("fp").bitwiseAND(F.lit(sum(255 << 8 * p for p in positions) - (1 << 64 if 7 in positions else 0)))
+
+
+def _posted(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """Postings (positions, bytes, fp): each fingerprint under its bytes at each set of positions."""
+    keys = [F.struct(F.lit(sum(1 << p for p in s)).cast("short").alias("positions"), _bytes_at(s).alias("bytes")) for s in sets]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.*", "fp")
 
-    `most` differing bits touch at most `most` bytes, so a linked pair shares BYTES - most positional
-    bytes. The index is keyed by sets of positions, three bytes or for many fingerprints four, chosen so
-    that every linked pair shares a list. Within a list each fingerprint is linked when it is first
-    reached: a list of m gives at most m - 1 links, however dense a group of near copies is.
-    """
-    n = fps.count()
-    need = BYTES - most
-    sets = index_sets(need, min(need, 3 if n <= 1 << 27 else 4))
 
-    def key(k: int, positions: tuple[int, ...]) -> Column:
-        byte = [F.shiftleft(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255), 8 * i) for i, p in enumerate(positions)]
-        return sum(byte[1:], byte[0]) + F.lit(k << 40)
+def _parted(posted: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """The postings of lists of at most `longest` rows, and those of longer ones with the column rows."""
+    long_ = materialise(posted.groupBy("positions", "bytes").agg(F.count("*").alias("rows")).where(F.col("rows") > longest))
+    return posted.join(long_, ["positions", "bytes"], "left_anti"), posted.join(long_, ["positions", "bytes"])
 
-    groups = 1 + n * len(sets) // INDEX_ROWS
-    posted = fps.select("fp", F.explode(F.array(*[key(k, s) for k, s in enumerate(sets)])).alias("key"))
-    posted = posted.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(groups)))
+
+def _compared(posted: DataFrame, keys: list[str], most: int, groups: int) -> DataFrame:
+    """Links (a, b) within the lists of posted, which `keys` tell apart; a call works through many lists."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, x = (table.column(c).to_numpy() for c in ("key", "fp"))
-        order = np.lexsort((x, keys))
-        keys, x = keys[order], x[order].view(np.uint64)
-        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        size = np.diff(np.append(start, len(keys)))
-        of = np.repeat(size, size)
-        found = []
-        for lag in range(1, SHORT_LIST):
-            i = np.flatnonzero((keys[:-lag] == keys[lag:]) & (of[:-lag] <= SHORT_LIST)) if lag < len(keys) else np.zeros(0, int)
-            i = i[_near(x[i], x[i + lag], most)]
+        columns = [table.column(c).to_numpy() for c in keys]
+        x = table.column("fp").to_numpy()
+        order = np.lexsort((x, *columns[::-1]))
+        x = x[order].view(np.uint64)
+        new = np.ones(len(x), bool)
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(x)))
+        of, group = np.repeat(size, size), np.cumsum(new)
+        found = [(x[:0], x[:0])]
+        for lag in range(1, min(SHORT_LIST, len(x))):  # all pairs of the short lists at once
+            i = np.flatnonzero((group[:-lag] == group[lag:]) & (of[:-lag] <= SHORT_LIST))
+            i = i[linked(x[i], x[i + lag], most)]
             found.append((x[i], x[i + lag]))
         for k in np.flatnonzero(size > SHORT_LIST):
             found += list_links(x[start[k] : start[k] + size[k]], most)
         a, b = (np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    return posted.groupBy("part").applyInArrow(run, "a long, b long")
+    part = F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("part")
+    return posted.select(part, *keys, "fp").groupBy("part").applyInArrow(run, "a long, b long")
+
+
+def links(fps: DataFrame, most: int = 4, longest: int = LONGEST_LIST) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints differing in at most `most` bits, directly or by others.
+
+    `most` differing bits touch at most `most` bytes, so a linked pair shares at least BYTES - most positional
+    bytes (four). The inverted index is read by sets of three positions of which any four hold one. A list of
+    more than `longest` rows is split by every further position, since its linked pairs share a fourth; a
+    list of four shared bytes that is still longer is dealt into blocks, and each pair of blocks is compared
+    on its own. So no task holds a list of more than 2 * longest rows, and no pair is lost. Within a list
+    the bytes that a pair shares are tallied; pairs below the guaranteed minimum are dropped, the others
+    verified. A list of m links each fingerprint when it is first reached, m - 1 links at most, however dense.
+    """
+    if most > BYTES - 4:
+        raise ValueError("the index guarantees pairs of at most four differing bits")
+    posted = materialise(_posted(fps, index_sets()))
+    groups = 1 + posted.count() // INDEX_ROWS
+    short, long_ = _parted(posted, longest)
+    found = [_compared(short, ["positions", "bytes"], most, groups)]
+    long_ = materialise(long_)
+    if not long_.isEmpty():
+        wider = [(p, F.col("positions").bitwiseAND(F.lit(1 << p)) == 0) for p in range(BYTES)]
+        mask = [F.when(free, F.struct((F.col("positions") + F.lit(1 << p)).cast("short").alias("positions"), F.col("bytes").bitwiseOR(_bytes_at((p,))).alias("bytes"))) for p, free in wider]
+        split = long_.select("fp", F.explode(F.array_compact(F.array(*mask))).alias("key")).select("key.*", "fp").distinct()
+        split = materialise(split)
+        groups = 1 + split.count() // INDEX_ROWS
+        short, long_ = _parted(split, longest)
+        found.append(_compared(short, ["positions", "bytes"], most, groups))
+        blocks = F.floor((F.col("rows") - 1) / longest + 1).cast("int")
+        dealt = long_.withColumn("own", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        pairs = dealt.select("positions", "bytes", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
+        found.append(_compared(pairs, ["positions", "bytes", "low", "high"], most, groups))
+    return reduce(DataFrame.unionByName, found)
 
 
 def components(edges: DataFrame) -> DataFrame:

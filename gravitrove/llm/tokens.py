@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from functools import cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import as_bytes, pieces, shared_folder, small, table
+from .common import as_bytes, map_texts, pieces, shared_folder, table
 
 #: Fixed values of the format: a selector's number of ids in a 64-bit word, and bits of each; 4 bits hold the selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -24,8 +26,8 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 64])
 ESCAPE = 15
 #: Ids in a block; a block starts a new word, so that blocks can be decoded alone.
 BLOCK = 4096
-#: Text bytes in a file, and distinct words a task remembers.
-FILE_BYTES, KNOWN_WORDS = 24 << 20, 1 << 20
+#: Text bytes in a file, and distinct words a task remembers before it forgets those that its last texts lack.
+FILE_BYTES, KNOWN_WORDS = 24 << 20, 1 << 17
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -111,55 +113,67 @@ def decode(words: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> np.ndar
     return out
 
 
-class WordTokens:
-    """Ids of texts; words parted by ASCII white space are encoded once, since the tokenizer never joins them."""
+#: Normalizers that treat the words around white space apart, and a splitting pattern that no white space matches.
+LOCAL_NORMALIZERS = {"NFC", "Lowercase"}
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def drops_spaces(definition: dict) -> bool:
+    """Whether the tokenizer of this JSON definition drops white space and never looks across it.
+
+    Then a text's ids are those of its words one after the other. Only a known form is recognised; any other
+    tokenizer gets whole texts.
+    """
+    steps = definition.get("normalizer") or {"normalizers": []}
+    steps = steps.get("normalizers", [steps])
+    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    first = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern") == {"Regex": WORD_PATTERN}
+    plain = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) for t in definition.get("added_tokens", []))
+    return split and plain and all(s.get("type") in LOCAL_NORMALIZERS or s == blank for s in steps)
+
+
+class TextTokens:
+    """Ids of texts, as bytes of unsigned 32-bit integers.
+
+    Words are encoded once while they are remembered, if the tokenizer never looks across white space. Only
+    the words of the last texts outlive KNOWN_WORDS, so memory is bounded by that and by one piece of texts.
+    """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.forget()
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end], "<u4").tobytes()
+        with open(path, encoding="utf-8") as file:
+            self.by_word = drops_spaces(json.load(file))
+        self.known: dict[bytes, bytes] = {}
 
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.sizes = np.array([self.end], np.uint32), np.array([1], np.int64)
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(list(map(bytes.decode, texts)), add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = list(accumulate(4 * len(x) for x in found))
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and the number of ids of each text."""
-        if len(self.known) > KNOWN_WORDS:
-            self.forget()
-        known, fresh = self.known, []
-        parts, ends, n = [], [], 0
-        for text in texts:
-            words = text.split()
-            try:
-                found = list(map(known.__getitem__, words))
-            except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known) + 1
-                        fresh.append(w)
-                found = list(map(known.__getitem__, words))
-            parts.append(found)
-            n += len(words) + 1
-            ends.append(n)
-        if fresh:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-            self.sizes = np.append(self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32))
-        word = np.fromiter(chain.from_iterable(chain(p, (0,)) for p in parts), np.int64, n)
-        size = self.sizes[word]
-        total = np.cumsum(size)
-        begin = (np.cumsum(self.sizes) - self.sizes)[word]
-        ids = self.flat[np.repeat(begin - total + size, size) + np.arange(total[-1] if n else 0)]
-        return ids, np.diff(np.append(0, total[np.array(ends, np.int64) - 1])) if ends else np.zeros(0, np.int64)
+        if self.by_word:
+            split = [t.split() for t in texts]
+            words = set(chain.from_iterable(split))
+            fresh = list(words - self.known.keys())
+            self.known.update(zip(fresh, self._encoded(fresh)))
+            coded = [b"".join(map(self.known.__getitem__, w)) + self.end for w in split]
+            if len(self.known) > KNOWN_WORDS:
+                self.known = {w: self.known[w] for w in words}
+        else:
+            coded = [x + self.end for x in self._encoded(texts)]
+        return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
 
 
 @cache
-def word_tokens(path: str, end: int) -> WordTokens:
-    """The coder of a Python worker: its tasks share the known words."""
+def text_tokens(path: str, end: int) -> TextTokens:
+    """The coder of a Python worker; loading a tokenizer takes longer than a small task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokens(path, end)
+    return TextTokens(path, end)
 
 
 def _block_ends(sizes: np.ndarray) -> np.ndarray:
@@ -182,7 +196,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int = 2, id
         schema = schema.add(name, kind)
 
     def run(batches):
-        coder, start, file = word_tokens(tokenizer, end), 0, TaskContext.get().partitionId()
+        coder, start, file = text_tokens(tokenizer, end), 0, TaskContext.get().partitionId()
         for piece in pieces(batches, limit=1 << 20):
             ids, sizes = coder.of(as_bytes(piece.column("text")))
             ends = np.cumsum(sizes)
@@ -196,8 +210,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int = 2, id
                 [piece.column("doc_id"), pa.array([file] * len(rows), pa.int32()), pa.array(starts), pa.array(sizes), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())],
                 names=["doc_id", "file", "start", "n_tokens", "offsets", "words"],
             )
+        coder.known.clear()
 
-    ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
+    map_texts(ordered, run, schema).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -223,7 +238,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 out = [ids[e - n : e].tobytes() for n, e in zip(sizes, ends)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "file", "start", "n_tokens")), pa.array(out, pa.binary())], names=["doc_id", "file", "start", "n_tokens", "ids"])
 
-    found = files.mapInArrow(run, schema).join(small(starts), "file")
+    found = map_texts(files, run, schema).join(starts, "file")  # one row a file: Catalyst sees its size at run time
     return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
