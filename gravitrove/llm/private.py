@@ -14,32 +14,34 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import materialise, pieces, table
+from .common import map_texts, materialise, pieces, table
 
 BASE = ("email", "ip", "card", "phone")
-#: Kinds that the classifier adds, and what their candidates look like.
+#: Kinds that the classifier adds, and what their candidates look like; possessive runs keep every search linear, and none has a longest length.
 CANDIDATES = {
-    "secret": re.compile(r"[A-Za-z0-9_-]{16,}"),  # around digits, with a letter
-    "number": re.compile(r"[0-9](?:[0-9]|[ ().-](?=[0-9(])){7,22}[0-9](?![A-Za-z0-9-])"),
-    "handle": re.compile(r"(?<!\S)[A-Za-z0-9._-]{2,40} ?[\[(]at[\])] ?[A-Za-z0-9-]{2,40} ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]{2,10}\b"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]{16})[A-Za-z0-9+/_.-]++={0,2}"),
+    "number": re.compile(r"(?<![A-Za-z0-9.+-])\(?[0-9](?:[ ().-]{0,2}[0-9])++(?![A-Za-z0-9-])"),
+    "handle": re.compile(r"(?<!\S)[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++ ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]++"),
 }
-RUN, NUMBERS, LETTERS = re.compile(r"[A-Za-z0-9_-]*"), re.compile(r"[0-9]+"), re.compile(r"[A-Za-z]")
+LEAST_DIGITS = 9
 KINDS = (*BASE, *CANDIDATES)
 
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match can start at the head of a run of digits only
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+LETTER, DIGIT, WORDS = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]"), re.compile(r"[a-z]+")
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 #: Gazetteer of words that announce personal data or credentials.
 ANNOUNCING = frozenset("account api auth bearer bic call card cell code contact credential customer email fax iban id key login mail mobile number password passport passwd phone pin private pwd secret sort ssn tax tel telephone token user".split())
 #: Categories of a candidate's features, and votes (0 no, 1 yes, 2 abstain) of the labelers below.
 VOTES, LEVELS = 6, 4
-EM_ROUNDS = 50
+EM_ROUNDS = 500
 
 
 def _digits(text: str) -> str:
@@ -87,7 +89,7 @@ def _entropy(text: str) -> float:
 def features(text: str, start: int, end: int) -> list[int]:
     """The labelers' votes on a span, then its length, digit share and entropy, each as a category."""
     span, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 2]
-    words = re.findall(r"[a-z]+", before.lower())[-3:]
+    words = WORDS.findall(before.lower())[-3:]
     digits = sum(c.isdigit() for c in span)
     rich = _entropy(span)
     mark = before.rstrip(" ")[-1:]
@@ -104,30 +106,42 @@ def features(text: str, start: int, end: int) -> list[int]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, code) of candidate spans that touch no base span and no earlier candidate."""
-    taken, found = [(a, b) for a, _, b in base], []
+    taken, found = sorted((a, b) for a, _, b in base), []
     for kind, spans in enumerate((_secrets(text), _numbers(text), _handles(text)), len(BASE)):
-        for start, end in spans:
-            if all(end <= a or b <= start for a, b in taken):
-                found.append((start, kind, end, encoded(kind, features(text, start, end))))
-                taken.append((start, end))
+        free, i, reached = [], 0, 0
+        for start, end in spans:  # both lists ascend
+            while i < len(taken) and taken[i][0] < end:
+                reached = max(reached, taken[i][1])
+                i += 1
+            if reached <= start:
+                free.append((start, end))
+        found += [(a, kind, b, encoded(kind, features(text, a, b))) for a, b in free]
+        taken = sorted(taken + free)
     return found
 
 
 def _secrets(text: str) -> list[tuple[int, int]]:
-    found, used = [], 0
-    for m in NUMBERS.finditer(text):
-        if m.start() >= used:
-            start, used = m.start(), RUN.match(text, m.start()).end()
-            while start and RUN.fullmatch(text, start - 1, start):
-                start -= 1
-            if CANDIDATES["secret"].fullmatch(text, start, used) and LETTERS.search(text, start, used):
-                found.append((start, used))
+    """Runs that hold letters and digits, and those of letters alone that an assignment or a word announces."""
+    found = []
+    for m in CANDIDATES["secret"].finditer(text):
+        start, end = m.span()
+        while end > start and text[end - 1] in ".-/":
+            end -= 1
+        while start < end and text[start] in ".-/":
+            start += 1
+        run = text[start:end]
+        if end - start >= 16 and not run.isdecimal() and LETTER.search(run) and (DIGIT.search(run) or _announced(text[max(0, start - 40) : start])):
+            found.append((start, end))
     return found
 
 
+def _announced(before: str) -> bool:
+    words = WORDS.findall(before.lower())
+    return before.rstrip(" \"'")[-1:] in ("=", ":") or bool(words) and words[-1] in ANNOUNCING
+
+
 def _numbers(text: str) -> list[tuple[int, int]]:
-    spans = [(m.start() - (text[m.start() - 1 : m.start()] == "("), m.end()) for m in CANDIDATES["number"].finditer(text)]
-    return [(a, b) for a, b in spans if not re.match(r"[A-Za-z0-9.+-]", text[a - 1 : a])]
+    return [m.span() for m in CANDIDATES["number"].finditer(text) if m.end() - m.start() >= LEAST_DIGITS and len(_digits(m[0])) >= LEAST_DIGITS]
 
 
 def _handles(text: str) -> list[tuple[int, int]]:
@@ -154,7 +168,7 @@ def decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation: P(vote | class) by labeler and class, and each row's posterior of being personal data.
 
-    Starts from the majority of the votes; each count is smoothed by one.
+    Starts from the majority of the votes and ends when no posterior moves by more than 1e-9; each count is smoothed by one.
     """
     yes, no = (votes == 1).sum(axis=1), (votes == 0).sum(axis=1)
     posterior = np.clip(0.5 + 0.2 * (yes - no), 0.05, 0.95)
@@ -164,7 +178,9 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS
         table_ = np.stack([[[weights[c][votes[:, k] == v].sum() + 1 for v in range(3)] for k in range(VOTES)] for c in range(2)])
         table_ /= table_.sum(axis=2, keepdims=True)
         score = np.log(prior)[:, None] + np.stack([sum(np.log(table_[c, k, votes[:, k]]) for k in range(VOTES)) for c in range(2)])
-        posterior = 1 / (1 + np.exp(np.clip(score[0] - score[1], -30, 30)))
+        before, posterior = posterior, 1 / (1 + np.exp(np.clip(score[0] - score[1], -30, 30)))
+        if np.abs(posterior - before).max() < 1e-9:
+            break
     return table_, posterior
 
 
@@ -220,11 +236,23 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found, pa.list_(ARROW_FOUND))], names=["doc_id", "found"])
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = materialise(read.mapInArrow(run, read.select("doc_id").schema.add("found", ArrayType(FOUND))))
+    marked = materialise(map_texts(read, run, read.select("doc_id").schema.add("found", ArrayType(FOUND))))
     summed = marked.select(F.explode("found.code").alias("code")).where("code >= 0").groupBy("code").count().orderBy("code").collect()
     good = accepted_codes(np.array([r[0] for r in summed], np.int64), np.array([r[1] for r in summed], float))
-    kept = F.filter("found", lambda x: (x["code"] < 0) | x["code"].isin(good))
-    return marked.select("doc_id", F.transform(kept, lambda x: F.struct(x["start"], x["kind"], x["end"])).alias("spans"))
+    wanted = pa.array([-1, *good], pa.int64())
+
+    def keep(batches):
+        for batch in batches:
+            found = batch.column("found")
+            flat = found.flatten()
+            chosen = pc.is_in(pc.struct_field(flat, "code"), wanted).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy())])
+            total = np.concatenate([[0], np.cumsum(chosen)])
+            spans = pa.StructArray.from_arrays([pc.struct_field(flat, c).filter(pa.array(chosen)) for c in ("start", "kind", "end")], ["start", "kind", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(total[ends], pa.int32()), spans)], names=["doc_id", "spans"])
+
+    spans = StructType().add("start", "long").add("kind", "integer").add("end", "long")
+    return map_texts(marked, keep, marked.select("doc_id").schema.add("spans", ArrayType(spans)))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tokens covered by windows that also start in a document with a smaller id: the engine of two operators.
+"""Tokens covered by windows that also start in a document with a smaller id: how two operators exchange identifiers.
 
 A piece is a hash group of documents, about a megabyte of text; one Arrow-grouped call sees one piece.
 Anchors are positions whose gram (`gram` consecutive tokens) has the least hash of some window, so
@@ -11,31 +11,55 @@ the same order, so neither texts nor positions travel.
 Round 1 asks which grams occur in other pieces; the rest, if single in their piece, are settled. Round 2
 groups the repeated ones; those of one document alone, and those that always stand in the same context,
 are settled. Round 3 asks for the whole contexts of the others. The first document of each context goes
-on: any of its windows extends the gram by at least half of what is missing to the left or to the right,
-so round 4 asks which extended grams several documents share, and round 5 for the single windows that
-hold those. Identities are pairs of hashes (gram, and context or window),
-88 bits and more. Every round reads the same shuffle of the texts.
+on, level by level: a gram extended to the left or to the right to a level's length is asked for only if
+its shorter one was shared, and the last round asks for the windows whose extended grams all were.
+How strings get their identifiers is each operator's own: Rolling (words) or BucketPointers (bytes).
+Identities are pairs of identifiers, of the gram and of the context or window. Every round reads the
+same shuffle of the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Bytes of text in a piece, and about the bytes of identifiers in a bucket.
 PIECE_BYTES, BUCKET_BYTES = 1 << 20, 32 << 20
 
 SMALLER, MIXED = 1, 2
-#: High bytes sent of the two hashes, by round. Cut grams of rounds 1 and 2 can only seem repeated or mixed, which round 3 settles.
-SENT_BYTES = ((6, 0), (6, 6), (4, 7), (4, 7), (4, 7))
-ROUNDS = len(SENT_BYTES)
-#: What an identifier stands for, and what its entries tell apart: contexts of a gram, or documents of a half.
+#: What an identifier stands for, and what its entries tell apart: contexts of a gram, or documents of a level.
 GRAMS, WHOLE, SHARED = range(3)
+
+
+class Plan(NamedTuple):
+    """Lengths in tokens: of a window, of an anchor's gram, of the levels between; and high bytes sent of identities.
+
+    Cut grams of the first rounds can only seem repeated or mixed, which the later rounds settle by `exact` bytes
+    of the gram's and of the window's identifier.
+    """
+
+    window: int
+    gram: int
+    levels: tuple[int, ...]
+    exact: tuple[int, int] = (8, 8)
+
+    @property
+    def sent(self) -> tuple[tuple[int, int], ...]:
+        return ((6, 0), (6, 6), self.exact, *[(4, 7)] * len(self.levels), self.exact)
+
+    @property
+    def mixes(self) -> tuple[bool, ...]:
+        """Whether a round asks if an identifier has several contexts (the first two) or documents (the levels)."""
+        return (True, True, False, *[True] * len(self.levels), False)
+
+
 #: routed by bucket; part: the bucket that answers; a, b, c: identifiers and smallest documents, or flags in a.
 ROWS = "bucket long, level int, piece long, part long, a binary, b binary, c binary"
 ANSWERS = "piece long, level int, part long, a binary"
@@ -62,7 +86,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any run of tokens, by prefix sums of tokens times powers, modulo 2**64."""
+    """Identifiers of any run of tokens, by prefix sums of tokens times powers, modulo 2**64."""
 
     def __init__(self, tokens: np.ndarray):
         powers, self.inverse = _power_tables(len(tokens) + 1)
@@ -83,6 +107,46 @@ class Rolling:
         return ranks.astype(np.uint32) | np.uint32(1)
 
 
+class BucketPointers:
+    """Bucket identifiers of the strings at each byte, refined by the identifiers of later offsets.
+
+    The first buckets are q-grams: four bytes are their own identifier. A bucket of strings of some length is
+    refined to up to twice that length by the pair of identifiers at an offset of nothing and of what is missing; the new
+    identifiers are reused for the next length, up to the window's. Pairs of 32 bits are one number, so up to eight
+    bytes identifiers are the bytes themselves; beyond, a pair is mixed into 64 bits, the same on every machine,
+    so that buckets need no common numbering.
+    """
+
+    def __init__(self, data: np.ndarray, plan: Plan):
+        n = len(data)
+        wide = data.astype(np.uint64)
+        quads = wide[: n - 3] | wide[1 : n - 2] << np.uint64(8) | wide[2 : n - 1] << np.uint64(16) | wide[3:] << np.uint64(24)
+        known, ids, length = {4: quads}, quads, 4
+        for wanted in (plan.gram, *plan.levels, plan.window):
+            while length < wanted:
+                longer = min(2 * length, wanted)
+                head, tail = ids[: n - longer + 1], ids[longer - length :][: n - longer + 1]
+                ids = head | tail << np.uint64(32) if longer == 8 else mixed(mixed(head) + tail * _BASE)
+                length = longer
+            known[length] = ids
+        self.known, self.lengths = known, sorted(known)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Identifiers of strings at most twice as long as the window: of a known length, or the pair at both ends."""
+        size = end - start
+        out = np.zeros(len(size), np.uint64)
+        for length, longer in zip(self.lengths, [*self.lengths[1:], 2 * self.lengths[-1] + 1]):
+            here = np.flatnonzero((size >= length) & (size < longer))
+            if len(here):
+                head, tail = self.known[length][start[here]], self.known[length][end[here] - length]
+                out[here] = np.where(size[here] == length, head, mixed(mixed(head) + tail * _BASE + size[here].astype(np.uint64)))
+        return out
+
+    def ranks(self, size: int) -> np.ndarray:
+        """An order of the grams that start at each byte; never 0."""
+        return ((self.known[size] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
 def running(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     """best over x[i:i + width] for each i."""
     have = 1
@@ -104,7 +168,8 @@ def word_tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Piece:
     """The anchors of the documents of one piece; texts are in ascending order of their ids."""
 
-    def __init__(self, table: pa.Table, window: int, gram: int, words: bool):
+    def __init__(self, table: pa.Table, plan: Plan, words: bool):
+        window, gram = plan.window, plan.gram
         keys = np.array([-(1 << 63) if x is None else x for x in table.column("key").to_pylist()], np.int64)
         order = np.argsort(keys, kind="stable")
         texts = [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
@@ -116,12 +181,12 @@ class Piece:
             tokens, starts = word_tokens(data)
             self.bounds = np.searchsorted(starts, self.bounds)
         else:
-            tokens = BYTE_TOKENS[data]
-        self.window, self.gram, self.n, wide = window, gram, len(tokens), window - gram + 1
+            tokens = data
+        self.plan, self.gram, self.n, wide = plan, gram, len(tokens), window - gram + 1
         self.table = table
         self.at = np.zeros(0, np.int64)
         if self.n >= window:
-            self.hashes = Rolling(tokens)
+            self.hashes = Rolling(tokens) if words else BucketPointers(tokens, plan)
             rank = self.hashes.ranks(gram)
             least = running(np.minimum, rank, wide)
             for start, end in zip(self.bounds[:-1], self.bounds[1:]):
@@ -156,32 +221,41 @@ class Piece:
         later = (contexts.read(told.get(2, {})) & SMALLER > 0) | (keys[unsure] > contexts.least)
         gone[unsure[later]] = True
         own = unsure[~later]
-        at, half = self.at[own], self.wide // 2
-        left = np.flatnonzero(at - half >= self.bounds[self.doc[own]])
-        right = np.flatnonzero(at + self.gram + half <= self.bounds[self.doc[own] + 1])
-        of = np.concatenate([own[left], own[right]])
-        side = np.concatenate([self.hashes.of(at[left] - half, at[left] + self.gram), ~self.hashes.of(at[right], at[right] + self.gram + half)])
-        halves = Entries(self.first[of], mixed(side), keys[of], buckets, SHARED)
-        yield 3, halves
-        shared = halves.read(told.get(3, {})) & MIXED > 0
-        holds = np.zeros((2, len(own)), bool)
-        holds[0, left], holds[1, right] = shared[: len(left)], shared[len(left) :]
+        at, last = self.at[own], self.wide - 1
+        sides = [np.arange(len(own))] * 2
+        allowed = np.ones((last + 1, len(own)), bool)  # by how far a window starts before the anchor
+        for k, length in enumerate(self.plan.levels):
+            more = length - self.gram
+            left, right = sides
+            left = left[at[left] - more >= self.bounds[self.doc[own[left]]]]
+            right = right[at[right] + length <= self.bounds[self.doc[own[right]] + 1]]
+            of = np.concatenate([own[left], own[right]])
+            side = np.concatenate([self.hashes.of(at[left] - more, at[left] + self.gram), ~self.hashes.of(at[right], at[right] + length)])
+            grown = Entries(self.first[of], mixed(side), keys[of], buckets, SHARED)
+            yield 3 + k, grown
+            shared = grown.read(told.get(3 + k, {})) & MIXED > 0
+            sides = [left[shared[: len(left)]], right[shared[len(left) :]]]
+            holds = np.zeros((2, len(own)), bool)
+            for held, side in zip(holds, sides):
+                held[side] = True
+            allowed[more:] &= holds[0]
+            allowed[: last - more + 1] &= holds[1]
         starts, of = [], []
         for back in range(self.wide):
-            enough = (holds[0] | (back < half)) & (holds[1] | (self.wide - 1 - back < half))
-            ok = np.flatnonzero(enough & (at >= back) & (at - back < len(self.least)))
+            ok = np.flatnonzero(allowed[back] & (at >= back) & (at - back < len(self.least)))
             ok = ok[self.least[at[ok] - back] == self.rank[own[ok]]]
             starts.append(at[ok] - back)
             of.append(own[ok])
         starts, of = np.concatenate(starts), np.concatenate(of)
-        windows = Entries(self.first[of], mixed(self.hashes.of(starts, starts + self.window)), keys[of], buckets)
-        yield 4, windows
-        later = (windows.read(told.get(4, {})) & SMALLER > 0) | (keys[of] > windows.least)
+        window, turn = self.plan.window, 3 + len(self.plan.levels)
+        windows = Entries(self.first[of], mixed(self.hashes.of(starts, starts + window)), keys[of], buckets)
+        yield turn, windows
+        later = (windows.read(told.get(turn, {})) & SMALLER > 0) | (keys[of] > windows.least)
         step = np.zeros(self.n + 1, np.int64)
         np.add.at(step, self.lo[gone], 1)
         np.add.at(step, self.hi[gone], -1)
         np.add.at(step, starts[later], 1)
-        np.add.at(step, starts[later] + self.window, -1)
+        np.add.at(step, starts[later] + window, -1)
         self.removed = np.cumsum(step[:-1]) > 0
 
 
@@ -218,9 +292,9 @@ class Entries:
         flags[self.sent] = np.frombuffer(b"".join(told[int(p)] for p in self.parts), np.uint8)
         return flags[self.group]  # the first of a group's entries stands at the group's number
 
-    def rows(self, piece: int, level: int) -> list[tuple]:
+    def rows(self, piece: int, level: int, sent: tuple[int, int]) -> list[tuple]:
         return [
-            (int(p), level, piece, int(p), _cut(self.a[i:j], SENT_BYTES[level][0]), _cut(self.b[i:j], SENT_BYTES[level][1]), _packed(self.low[i:j]) if level else b"")
+            (int(p), level, piece, int(p), _cut(self.a[i:j], sent[0]), _cut(self.b[i:j], sent[1]), _packed(self.low[i:j]) if level else b"")
             for p, i, j in zip(self.parts, self.cut[:-1], self.cut[1:])
         ]
 
@@ -261,15 +335,17 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
 
 
-def _answers(level: int) -> Callable[[pa.Table], pa.Table]:
+def _answers(level: int, plan: Plan) -> Callable[[pa.Table], pa.Table]:
+    sent = plan.sent[level]
+
     def run(table: pa.Table) -> pa.Table:
         rows = [tuple(x.values()) for x in table.select(["piece", "level", "part", "a"]).filter(pc.field("level") != level).to_pylist()]
         asked = table.filter(pc.field("level") == level)
         if asked.num_rows:
             a, b, c = (asked.column(x).to_pylist() for x in "abc")
-            sizes = [len(x) // SENT_BYTES[level][0] for x in a]
-            first = _joined(a, SENT_BYTES[level][0])
-            second = _joined(b, SENT_BYTES[level][1]) if level else first
+            sizes = [len(x) // sent[0] for x in a]
+            first = _joined(a, sent[0])
+            second = _joined(b, sent[1]) if level else first
             low = np.concatenate([_unpacked(x) for x in c]) if level else np.repeat(np.arange(len(sizes)), sizes)  # pieces stand in for documents
             del a, b, c
             order = np.lexsort((second, first))
@@ -281,7 +357,7 @@ def _answers(level: int) -> Callable[[pa.Table], pa.Table]:
             head = np.flatnonzero(new)
             group = np.cumsum(new) - 1
             flags = np.where(np.minimum.reduceat(low[order], head)[group] < low[order], SMALLER, 0).astype(np.uint8)
-            if level in (0, 1, 3):
+            if plan.mixes[level]:
                 other = y if level == 1 else low[order]
                 several = np.minimum.reduceat(other, head) != np.maximum.reduceat(other, head)
                 flags |= np.where(several, MIXED, 0).astype(np.uint8)[group]
@@ -294,13 +370,17 @@ def _answers(level: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def remove_repeats(docs: DataFrame, finish: Callable[[Piece], pa.Table], schema: str, *, window: int, gram: int, words: bool, id_col: str, text_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
-    """finish's rows for each piece, whose `removed` marks the covered tokens."""
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def remove_repeats(docs: DataFrame, finish: Callable[[Piece], pa.Table], schema: str, *, plan: Plan, words: bool) -> DataFrame:
+    """finish's rows for each piece of docs (doc_id, text), whose `removed` marks the covered tokens."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("ids must be integers: which document comes first is a comparison of numbers")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = 1 + total // PIECE_BYTES
     buckets = 1 + total // BUCKET_BYTES
-    piece = F.pmod(F.xxhash64(F.col(id_col), F.length(text_col)), F.lit(pieces)).alias("piece")
-    texts = docs.select(piece, F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), *carried).groupBy("piece")
+    rounds = len(plan.sent)
+    # rows that repeat an id come from many partitions of the input and go to as many pieces
+    piece = F.pmod(F.xxhash64("doc_id", F.length("text"), F.spark_partition_id()), F.lit(pieces)).alias("piece")
+    texts = docs.select(piece, F.col("doc_id").cast("long").alias("key"), "text", "doc_id").groupBy("piece")
 
     def work(table: pa.Table, answers: pa.Table | None, level: int) -> pa.Table:
         number = table.column("piece")[0].as_py() if table.num_rows else 0
@@ -309,11 +389,11 @@ def remove_repeats(docs: DataFrame, finish: Callable[[Piece], pa.Table], schema:
         for x in answers.to_pylist() if answers else []:
             told.setdefault(x["level"], {})[x["part"]] = x["a"]
             rows.append((x["part"], x["level"], number, x["part"], x["a"], None, None))
-        found = Piece(table, window, gram, words)
+        found = Piece(table, plan, words)
         for k, entries in found.rounds(told, buckets):
             if k == level:
-                return _table(rows + entries.rows(number, level), ROWS)
-        return finish(found) if level == ROUNDS else _table(rows, ROWS)
+                return _table(rows + entries.rows(number, level, plan.sent[level]), ROWS)
+        return finish(found) if level == rounds else _table(rows, ROWS)
 
     def first(table: pa.Table) -> pa.Table:
         return work(table, None, 0)
@@ -325,7 +405,7 @@ def remove_repeats(docs: DataFrame, finish: Callable[[Piece], pa.Table], schema:
         return run
 
     asked = texts.applyInArrow(first, ROWS)
-    for level in range(ROUNDS):
-        answers = asked.groupBy("bucket").applyInArrow(_answers(level), ANSWERS).groupBy("piece")
-        asked = texts.cogroup(answers).applyInArrow(later(level + 1), ROWS if level < ROUNDS - 1 else schema)
+    for level in range(rounds):
+        answers = asked.groupBy("bucket").applyInArrow(_answers(level, plan), ANSWERS).groupBy("piece")
+        asked = texts.cogroup(answers).applyInArrow(later(level + 1), ROWS if level < rounds - 1 else schema)
     return asked

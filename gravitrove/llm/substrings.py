@@ -9,19 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Piece, remove_repeats
+from .repeats import Piece, Plan, remove_repeats
 
 
-def remove_repeated_windows(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def doubled(window: int, least: int) -> tuple[int, ...]:
+    """Lengths from at least `least` words up, each at most twice the one before, that double to the window."""
+    lengths = [window]
+    while (lengths[-1] + 1) // 2 >= least:
+        lengths.append((lengths[-1] + 1) // 2)
+    return tuple(reversed(lengths))
+
+
+def remove_repeated_windows(docs: DataFrame, *, window: int = 50, least: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept): words covered by a window that also starts in a document with a smaller id are gone.
 
-    Level-wise doubling: runs of window // 2 words that occur in one context only are settled at that
-    length; the others alone are extended to twice the length, the window, until no candidates
-    survive (see repeats.py for the rounds). An odd window adds its last word in the second step. kept
+    Level-wise doubling from runs of `least` words or more (7, 13, 25, 50): a run around an anchor that several
+    documents share at one length alone is extended to twice that length, to the left and to the right, until
+    no candidates survive or the window's length is reached (see repeats.py for the exchange). kept
     joins the words that stay by one space. Null and empty texts have no words; rows of equal ids
-    never remove each other's words; a null id counts as the smallest. A task's memory is bounded by
-    its longest text.
+    never remove each other's words; a null id counts as the smallest; ids must be integers; other columns are
+    not read. A task's memory is bounded by its longest text.
     """
+    gram, *levels, _ = doubled(window, least) if window > least else (window, window)
 
     def finish(piece: Piece) -> pa.Table:
         n, gone, kept = [], [], []
@@ -33,8 +42,9 @@ def remove_repeated_windows(docs: DataFrame, *, window: int = 50, id_col: str =
         ids = piece.table.column("doc_id").take(pa.array(piece.rows))
         return pa.table({"doc_id": ids, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return remove_repeats(docs, finish, "doc_id long, n_words long, n_removed long, kept string", window=window, gram=max(1, window // 2), words=True, id_col="doc_id", text_col="text", carried=("doc_id",))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return remove_repeats(docs, finish, schema, plan=Plan(window, gram, tuple(levels)), words=True)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

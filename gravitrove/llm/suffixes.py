@@ -6,22 +6,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import table
-from .repeats import Piece, remove_repeats
+from .repeats import Piece, Plan, remove_repeats
 
 
-def remove_repeated_bytes(docs: DataFrame, *, window: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, *, window: int = 50, gram: int = 20, level: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, spans, kept): bytes covered by a string of `window` bytes that also starts in a document with a smaller id are gone.
 
-    Bucket-pointer refinement: the suffixes at anchors fall into buckets of equal q-grams (`gram`
-    bytes). A bucket's identifier is a 64-bit hash. Buckets that hold one document, or one context, are
-    final; the others are refined by sorting on the q-gram's identifier and that of the string at the
-    offsets around it, first the whole context, then each window; members settled in one round leave
-    the next (see repeats.py). spans: starts and ends of the maximal removed runs; kept: the bytes that
-    stay, which may not be valid UTF-8. Null and empty texts have no bytes; rows of equal ids never
-    remove each other's bytes; a null id counts as the smallest. A task's memory is bounded by its
-    longest text.
+    Bucket-pointer refinement: the suffixes at anchors fall into buckets of equal q-grams. Each bucket that several
+    documents share is refined by sorting on the bucket identifiers of later offsets, from `gram` bytes to `level`
+    and to the window, and the refined identifiers are reused for the next refinement (repeats.BucketPointers); buckets
+    that hold one document, or one context, are final and leave. spans: starts and ends of the maximal removed
+    runs; kept: the bytes that stay, which may not be valid UTF-8. Null and empty texts have no bytes; rows of
+    equal ids never remove each other's bytes; a null id counts as the smallest; ids must be integers; other
+    columns are not read. A task's memory is bounded by its longest text.
     """
 
     def finish(piece: Piece) -> pa.Table:
@@ -37,9 +37,10 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 50, gram: int = 20,
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"doc_id": ids, "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    return remove_repeats(docs, finish, schema, window=window, gram=gram, words=False, id_col="doc_id", text_col="text", carried=("doc_id",))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    spans = ArrayType(StructType().add("start", "long").add("end", "long"))
+    schema = docs.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", spans).add("kept", "binary")
+    return remove_repeats(docs, finish, schema, plan=Plan(window, gram, (level,), exact=(5, 8)), words=False)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table, without
 from .decontamination import CAPITALS, SMALL
 
 #: Rules of the production filter (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: At most so many distinct labelled urls train the trees, each weighted by its rows; those of the smallest hashes.
+#: At most so many distinct labelled urls train the trees, each weighted by its rows; those of the smallest hashes (parameter sample_rows).
 SAMPLE_ROWS = 20_000
 #: Hosts are dealt by hash into so many folds: a labelled url's suffix statistics come from the other folds.
 FOLDS = 5
+#: Bits of the hash by which the sample is cut.
+SAMPLE_BITS = 12
+#: Labels under which a country's names are registered, as in co.uk.
+GENERAL_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
 FEATURES = ("url_length", "depth", "digits", "entropy", "parameters", "host_labels", "hyphens", "last_length", "suffix_rate", "suffix_count")
 
 
@@ -36,14 +42,21 @@ def fitting_rule(host: Column, path: Column, rules) -> Column:
     return F.coalesce(*found)
 
 
-def lexical(pages: DataFrame, url: str) -> DataFrame:
-    """Adds the features that the text of a url has; suffix is the host's last label."""
-    text = F.coalesce(F.col(url), F.lit(""))
+def domain_suffix(host: Column) -> Column:
+    """The part of a host under which names are registered: its last label, or two where a country's last but one is general."""
+    labels = F.split(host, r"\.")
+    general = (F.size(labels) > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, F.when(F.size(labels) > 1, -2).otherwise(-1)).isin(*GENERAL_LABELS)
+    return F.when(general, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.element_at(labels, -1))
+
+
+def lexical(urls: DataFrame) -> DataFrame:
+    """Adds the features that the text of a url has to rows with url, host and path."""
+    text = F.coalesce(F.col("url"), F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
     chars = [chr(c) for c in range(33, 127)]
     share = [F.length(text) - F.length(F.replace(text, F.lit(c))) for c in chars if not ("A" <= c <= "Z")]
     entropy = sum((F.when(s > 0, -(s / n) * F.log2(s / n)).otherwise(0.0) for s in share), F.lit(0.0))
-    return pages.withColumns({
+    return urls.withColumns({
         "url_length": F.length(text).cast("double"),
         "depth": F.regexp_count("path", F.lit("/")).cast("double"),
         "digits": F.regexp_count(text, F.lit("[0-9]")) / n,
@@ -52,7 +65,7 @@ def lexical(pages: DataFrame, url: str) -> DataFrame:
         "host_labels": F.size(F.split("host", r"\.")).cast("double"),
         "hyphens": F.regexp_count(text, F.lit("[-_]")).cast("double"),
         "last_length": F.length(F.element_at(F.split("path", "/"), -1)).cast("double"),
-        "suffix": F.element_at(F.split("host", r"\."), -1),
+        "suffix": domain_suffix(F.col("host")),
     })
 
 
@@ -62,8 +75,7 @@ def suffix_statistics(known: DataFrame) -> DataFrame:
     Fold -1 leaves nothing out; it is for the urls to be judged. Leaving out the row's own rule instead
     would turn the rate around: rows of a blocking rule would see only the exceptions to it.
     """
-    suffix = F.element_at(F.split("host", r"\."), -1).alias("suffix")
-    parts = known.groupBy(suffix, _fold().alias("fold")).agg(F.sum("_label").alias("blocked"), F.count("*").alias("rows"))
+    parts = known.groupBy(domain_suffix(F.col("host")).alias("suffix"), _fold().alias("fold")).agg(F.sum("label").alias("blocked"), F.count("*").alias("rows"))
     whole = parts.groupBy("suffix").agg(F.sum("blocked").alias("all_blocked"), F.sum("rows").alias("all_rows"))
     folds = whole.withColumn("fold", F.explode(F.sequence(F.lit(-1), F.lit(FOLDS - 1)))).join(parts, ["suffix", "fold"], "left").fillna(0, ["blocked", "rows"])
     blocked, rows = F.col("all_blocked") - F.col("blocked"), F.col("all_rows") - F.col("rows")
@@ -74,6 +86,44 @@ def _fold() -> Column:
     return F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
 
 
+def hash_sample(urls: DataFrame, most: int) -> DataFrame:
+    """The rows of urls whose hash is below a threshold that at most `most` rows pass; all of them if they are few.
+
+    Counts by hash bucket find the threshold, so nothing is sorted and only counts reach the driver.
+    """
+    bucket = F.shiftrightunsigned(F.xxhash64("url"), 64 - SAMPLE_BITS)
+    counts = sorted(tuple(r) for r in urls.groupBy(bucket).count().collect())  # at most 2**SAMPLE_BITS
+    held, limit = 0, 1 << SAMPLE_BITS
+    for value, n in counts:
+        held += n
+        if held > most:
+            limit = value
+            break
+    return urls.where(bucket < limit)
+
+
+def fit(known: DataFrame, sample_rows: int, trees: int, depth: int) -> Callable[[DataFrame, Column], DataFrame] | str:
+    """A function that adds the features and the prediction `block` to rows (url, host, path); or the only verdict of known.
+
+    known: rows (url, host, path, label), label 1 for block. The suffix statistics come from all of them, the trees from
+    at most sample_rows distinct ones, each weighted by its rows.
+    """
+    blocked, rows = known.agg(F.sum("label"), F.count("*")).first()
+    if not rows or not blocked or blocked == rows:
+        return "block" if blocked else "allow"
+    urls = materialise(known.groupBy("url", "host", "path", "label").agg(F.count("*").cast("double").alias("weight")))
+    statistics = materialise(suffix_statistics(known))  # one row a suffix and fold: Catalyst sees its size
+
+    def featured(x: DataFrame, fold: Column) -> DataFrame:
+        return lexical(x).withColumn("fold", fold).join(statistics, ["suffix", "fold"], "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
+
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    train = materialise(assembler.transform(featured(hash_sample(urls, sample_rows), _fold())).select("label", "weight", "features"))
+    model = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", predictionCol="block", maxIter=trees, maxDepth=depth, maxBins=32, seed=7, cacheNodeIds=False)
+    fitted = model.fit(train.coalesce(1))  # at most sample_rows rows
+    return lambda x, fold: fitted.transform(assembler.transform(featured(x, fold)))
+
+
 def filter_urls(pages: DataFrame, *, rules=RULES, url_col: str = "url", sample_rows: int = SAMPLE_ROWS, trees: int = 8, depth: int = 3) -> DataFrame:
     """The columns of pages with host, path, rule and verdict (allow or block).
 
@@ -81,33 +131,20 @@ def filter_urls(pages: DataFrame, *, rules=RULES, url_col: str = "url", sample_r
     of them, those of a labelled url without its host's fold. The trees learn from at most sample_rows
     distinct ones, chosen by hash and weighted by their rows, and judge the rest. Where the labelled urls
     lack one of the verdicts, the rest gets their only one, or allow. Null urls and those without `://` have
-    empty host and path and are judged like any other; repeated rows stay; columns of pages with the names
-    of added ones are replaced.
+    empty host and path and are judged like any other; repeated rows stay; an empty table gives an empty one.
+    Columns of pages with the names of the four added ones are replaced; any other name is allowed.
     """
+    out = without(pages, ("host", "path", "rule", "verdict"))
     host, path = host_and_path(url_col)
-    judged = pages.withColumns({"host": host, "path": path}).withColumn("_fits", fitting_rule(F.col("host"), F.col("path"), rules))
-    known = judged.where("_fits is not null").select(F.col(url_col).alias("_url"), "host", "path", (F.col("_fits.verdict") == "block").cast("double").alias("_label"))
-    urls = known.groupBy("_url", "host", "path", "_label").agg(F.count("*").cast("double").alias("_rows"))
-    sample = urls.withColumn("_order", F.xxhash64("_url")).orderBy("_order", "_url").limit(sample_rows)
-    spark = pages.sparkSession
-    rows = [tuple(r) for r in sample.drop("_order").collect()]  # at most sample_rows urls
-    labels = {r[3] for r in rows}
-    out = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    if len(labels) < 2:
-        rest = F.lit("block" if labels == {1.0} else "allow")
-        return judged.select(*out, "host", "path", F.col("_fits.rule").alias("rule"), F.coalesce("_fits.verdict", rest).alias("verdict"))
-    train = lexical(spark.createDataFrame(rows, "_url string, host string, path string, _label double, _rows double").coalesce(1), "_url")
-    found = [tuple(r) for r in suffix_statistics(known).collect()]  # a labelled host ends as a rule's host does
-    suffixes = spark.createDataFrame(found, "suffix string, fold int, suffix_rate double, suffix_count double")
-
-    def with_suffix(x: DataFrame, fold: Column) -> DataFrame:
-        return x.withColumn("fold", fold).join(F.broadcast(suffixes), ["suffix", "fold"], "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
-
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    model = GBTClassifier(labelCol="_label", featuresCol="_features", weightCol="_rows", predictionCol="_block", maxIter=trees, maxDepth=depth, maxBins=32, seed=7, cacheNodeIds=False)
-    fitted = model.fit(assembler.transform(with_suffix(train, _fold())).select("_label", "_rows", "_features").coalesce(1))
-    scored = fitted.transform(assembler.transform(with_suffix(lexical(judged, url_col), F.lit(-1))))
-    return scored.select(*out, "host", "path", F.col("_fits.rule").alias("rule"), F.coalesce("_fits.verdict", F.when(F.col("_block") > 0.5, "block").otherwise("allow")).alias("verdict"))
+    packed = pages.select(F.struct(*pages.columns).alias("page"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    judged = packed.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
+    known = judged.where("fits is not null").select("url", "host", "path", (F.col("fits.verdict") == "block").cast("double").alias("label"))
+    model = fit(known, sample_rows, trees, depth)
+    if isinstance(model, str):
+        scored, rest = judged, F.lit(model)
+    else:
+        scored, rest = model(judged, F.lit(-1)), F.when(F.col("block") > 0.5, "block").otherwise("allow")
+    return scored.select(*[F.col("page")[c].alias(c) for c in out], "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", rest).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
