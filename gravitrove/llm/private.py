@@ -35,12 +35,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match can start at th
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LETTER, DIGIT, WORDS = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]"), re.compile(r"[a-z]+")
+SWITCH = re.compile(r"[A-Z](?=[a-z0-9])|[a-z](?=[A-Z0-9])|[0-9](?=[A-Za-z])")
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 #: Gazetteer of words that announce personal data or credentials.
 ANNOUNCING = frozenset("account api auth bearer bic call card cell code contact credential customer email fax iban id key login mail mobile number password passport passwd phone pin private pwd secret sort ssn tax tel telephone token user".split())
 #: Categories of a candidate's features, and votes (0 no, 1 yes, 2 abstain) of the labelers below.
-VOTES, LEVELS = 6, 4
+VOTES, LEVELS = 7, 4
 EM_ROUNDS = 500
 
 
@@ -92,14 +93,16 @@ def features(text: str, start: int, end: int) -> list[int]:
     words = WORDS.findall(before.lower())[-3:]
     digits = sum(c.isdigit() for c in span)
     rich = _entropy(span)
+    switches = len(SWITCH.findall(span)) / max(1, len(span) - 1)
     mark = before.rstrip(" ")[-1:]
     votes = [
         1 if re.fullmatch(r"[0-9a-f]{32,64}|[0-9A-F]{32,64}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|(?:[0-9]{4}[ -]?){3}[0-9]{4}", span) else 2,  # pattern: a known layout
         1 if words and words[-1] in ANNOUNCING else 0 if words else 2,  # gazetteer: the word before announces it
         1 if ANNOUNCING.intersection(words[:-1]) else 2,  # gazetteer: a word near before
-        1 if mark in ("=", ":", '"', "'") and mark else 0,  # context: assignment or quotation before
+        1 if mark in ("=", ":", '"', "'") and mark else 2 if words and words[-1] in ANNOUNCING else 0,  # context: assignment or quotation before
         1 if after[:1] in ('"', "'", ">", "}") and after else 2,  # context: quotation after
         0 if re.search(r"[/_.~-]$", before) or rich < 2 else 2,  # context: part of a path, or repetitive
+        2 if not LETTER.search(span) else 1 if switches > 0.25 else 0 if switches < 0.15 else 2,  # pattern: characters as in no word
     ]
     return votes + [min(3, len(span) // 12), min(3, 4 * digits // max(1, len(span))), min(3, int(rich))]
 
