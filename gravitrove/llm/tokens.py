@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import as_bytes, map_texts, pieces, shared_folder, table
+from .common import BROADCAST_BYTES, as_bytes, map_texts, materialise, measured_bytes, pieces, shared_folder, table
 
 #: Fixed values of the format: a selector's number of ids in a 64-bit word, and bits of each; 4 bits hold the selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -238,7 +238,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 out = [ids[e - n : e].tobytes() for n, e in zip(sizes, ends)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "file", "start", "n_tokens")), pa.array(out, pa.binary())], names=["doc_id", "file", "start", "n_tokens", "ids"])
 
-    found = map_texts(files, run, schema).join(starts, "file")  # one row a file: Catalyst sees its size at run time
+    starts = materialise(starts)
+    found = map_texts(files, run, schema).join(F.broadcast(starts) if measured_bytes(starts) <= BROADCAST_BYTES else starts, "file")
     return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
