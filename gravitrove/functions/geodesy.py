@@ -146,6 +146,9 @@ def cartesian_to_geodetic(x, y, z, a: float = A, f: float = FLATTENING, steps: i
     return F.atan2(y, x), lat, flat * F.cos(lat) + z * F.sin(lat) - a * F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
 
 
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+
+
 class ReferenceField:
     """Level ellipsoid from GM, rotation rate, semi-major axis and either flattening or J2: its zonal terms and gravity."""
 
@@ -153,25 +156,35 @@ class ReferenceField:
         if (f is None) == (j2 is None):
             raise ValueError("give either the flattening or J2")
         self.gm, self.omega, self.a = gm, omega, a
-
-        def bulge(e):  # share of the rotation in 3 J2 = e^2 - share
-            second = e / math.sqrt(1 - e * e)
-            q = sum(-2 * (-1) ** k * k * second ** (2 * k + 1) / ((2 * k + 1) * (2 * k + 3)) for k in range(1, 21))
-            return 4 / 15 * omega**2 * a**3 / gm * e**3 / (2 * q)
-
-        if f is None:
-            e = 0.1
-            for _ in range(60):
-                e = math.sqrt(3 * j2 + bulge(e))
-            self.j2, self.f = j2, 1 - math.sqrt(1 - e * e)
-        else:
-            e = math.sqrt(eccentricity2(f))
-            self.j2, self.f = (e * e - bulge(e)) / 3, f
-        e2, self.zonals, k = eccentricity2(self.f), [1.0], 1
-        while abs(self.zonals[-1]) > 1e-22:
-            unnormalised = (-1) ** k * 3 * e2**k / ((2 * k + 1) * (2 * k + 3)) * (1 - k + 5 * k * self.j2 / e2)
-            self.zonals.append(unnormalised / math.sqrt(4 * k + 1))
-            k += 1
+        self._rate = 4 / 15 * omega**2 * a**3 / gm
+        e2 = eccentricity2(f) if f is not None else self._squared_eccentricity(j2)
+        self.f = 1 - math.sqrt(1 - e2) if f is None else f
+        self.j2 = (e2 - self._rotation(e2)) / 3 if j2 is None else j2
+        terms = np.arange(1, 21)
+        signs, powers = np.where(terms % 2, -1.0, 1.0), e2**terms
+        zonals = signs * 3 * powers / ((2 * terms + 1) * (2 * terms + 3)) * (1 - terms + 5 * terms * self.j2 / e2) / np.sqrt(4 * terms + 1)
+        self.zonals = [1.0, *zonals[np.abs(zonals) > np.finfo(float).eps * abs(zonals[0])].tolist()]
+
+    def _rotation(self, e2: float) -> float:
+        """What the rotation takes from the squared eccentricity in 3 J2.
+
+        The potential's q0 is the arctangent's remainder; as an integral over the unit interval nothing cancels.
+        """
+        second = math.sqrt(e2 / (1 - e2))
+        t, w = (1 + _NODES) / 2, _WEIGHTS / 2
+        twice_q0 = second**3 * float(np.sum(w * (3 * t * t - 1) * t * t / (1 + (second * t) ** 2)))
+        return self._rate * e2**1.5 / twice_q0
+
+    def _squared_eccentricity(self, j2: float) -> float:
+        """Secant steps from the spherical approximation."""
+        before, now = 3 * j2, 3 * j2 + self._rate * 15 / 4
+        miss = [x - self._rotation(x) - 3 * j2 for x in (before, now)]
+        for _ in range(50):  # far more than it takes
+            if now == before or miss[1] == miss[0]:
+                break
+            before, now = now, now - miss[1] * (now - before) / (miss[1] - miss[0])
+            miss = [miss[1], now - self._rotation(now) - 3 * j2]
+        return now
 
     def coefficients(self, spark) -> DataFrame:
         """Rows (n, m, trig, value) of the even zonal terms."""

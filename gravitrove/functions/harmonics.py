@@ -74,3 +74,50 @@ def legendre_sum(coefficients: Column, t: Column) -> Column:
 def matern_variances(sigma: float, alpha: float, nu: float, max_degree: int, min_degree: int = 2) -> list[float]:
     """Degree factors of the Legendre-Matern covariance for legendre_sum; 0 below min_degree."""
     return [0.0 if n < min_degree else sigma**2 * (alpha**2 + n * n) ** (-nu - 0.5) * (2 * n + 1) for n in range(max_degree + 1)]
+
+
+def kernel_values(psi: Column, coefficients: list[float]) -> Column:
+    """An isotropic kernel at spherical distance psi from its factors by degree."""
+    return legendre_sum(F.array(*[F.lit(float(k)) for k in weighted(coefficients)]), F.cos(psi))
+
+
+def weighted(coefficients: list[float]) -> list[float]:
+    return [k * math.sqrt(2 * n + 1) for n, k in enumerate(coefficients)]
+
+
+def modulation_transfer(spark, coefficients: list[float], max_psi: float = math.pi, steps: int = 100) -> DataFrame:
+    """Rows (k, psi, mtf) at equal distances: how far the middle of two pulses that distance apart lies below their peak.
+
+    The peak of the two is sought over the samples; the kernel is even.
+    """
+    psi = F.col("k") * (max_psi / (steps - 1))
+    samples = spark.range(steps).select(F.col("id").cast("int").alias("k")).select("k", psi.alias("psi"), kernel_values(psi, coefficients).alias("v"), (2 * kernel_values(psi / 2, coefficients)).alias("middle"))
+    at = samples.select(F.col("k").alias("j"), F.col("v").alias("first"))
+    shifted = samples.select(F.col("k").alias("gap"), F.col("v").alias("second"))
+    pairs = samples.select("k", "psi", "middle").join(at.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))), "k")
+    peaks = pairs.withColumn("gap", F.abs(F.col("k") - F.col("j"))).join(shifted, "gap")
+    peaks = peaks.groupBy("k").agg(F.first("psi").alias("psi"), F.first("middle").alias("middle"), F.max(F.col("first") + F.col("second")).alias("peak"))
+    return peaks.select("k", "psi", F.greatest(F.lit(0.0), 1 - F.col("middle") / F.col("peak")).alias("mtf"))
+
+
+def spatial_resolution(spark, coefficients: list[float], r: float = 6378136.3, steps: int = 20_000) -> DataFrame:
+    """One row (resolution): the least distance in metres of two pulses with a dip between them.
+
+    By symmetry the dip opens in the middle, where the kernel's curvature turns positive: twice the distance of
+    its first inflection, found between two samples by a straight line. No inflection, no row.
+    """
+    psi = F.col("id") * (math.pi / 2 / steps)
+    p = legendre_polynomials(F.cos(psi), len(coefficients) - 1)
+    bent = F.zip_with(p, F.array(*[F.lit(float(k)) for k in weighted(coefficients)]), lambda x, k: k * (F.sin(psi) ** 2 * x["d2"] - F.cos(psi) * x["d1"]))
+    samples = spark.range(steps + 1).select("id", psi.alias("psi"), F.aggregate(bent, F.lit(0.0), lambda a, x: a + x).alias("bend"))
+    later = samples.select((F.col("id") - 1).alias("id"), F.col("psi").alias("psi1"), F.col("bend").alias("bend1"))
+    turns = samples.join(later, "id").where("bend < 0 and bend1 >= 0")
+    zero = F.col("psi") - F.col("bend") * (F.col("psi1") - F.col("psi")) / (F.col("bend1") - F.col("bend"))
+    return turns.agg(F.min(2 * r * zero).alias("resolution")).where("resolution is not null")
+
+
+def legendre_of_order(points: DataFrame, max_degree: int, order: int, colat: str = "colat") -> DataFrame:
+    """Rows (point_id, n, m, p) of one order; an order above max_degree has none and is refused."""
+    if order > max_degree:
+        raise ValueError("the order exceeds the degree")
+    return legendre(points, max_degree, colat=colat).where(F.col("m") == order)

@@ -129,3 +129,14 @@ def power_law(variances: DataFrame) -> DataFrame:
     x, y = F.log(F.col("n")), 2 * F.log("value")
     fit = variances.where("n > 0 and value > 0").agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
     return fit.select(F.exp(F.col("_a") / 2).alias("factor"), (-F.col("_b")).alias("power"))
+
+
+def coefficient_triangle(field: DataFrame, max_degree: int, min_degree: int = 2, keys: tuple[str, ...] = ("epoch",)) -> DataFrame:
+    """One row a degree, columns s{N} ... s1, c0 ... c{N} from the sine of the highest order to its cosine; null where none is.
+
+    Degrees below min_degree keep their rows, without values.
+    """
+    order = F.concat(F.when(F.col("trig") == 1, "s").otherwise("c"), F.col("m").cast("string"))
+    names = [f"s{m}" for m in range(max_degree, 0, -1)] + [f"c{m}" for m in range(max_degree + 1)]
+    shown = F.when(F.col("n") >= min_degree, F.col("value"))
+    return field.where(F.col("n") <= max_degree).select(*keys, "n", order.alias("order"), shown.alias("value")).groupBy(*keys, "n").pivot("order", names).agg(F.first("value"))

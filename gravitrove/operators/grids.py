@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import FLATTENING, mapped_latitude, spherical_distance
+from ..functions.geodesy import FLATTENING, A, mapped_latitude, spherical_distance
 
 
 def geographic_grid(spark: SparkSession, dlon: float, dlat: float) -> DataFrame:
@@ -48,16 +50,57 @@ def inside(points: DataFrame, rings: DataFrame, rule: str = "even-odd") -> DataF
     return turns.where("_turns != 0" if rule == "winding" else "_n % 2 = 1").drop("_n", "_turns")
 
 
-def distances(points: DataFrame, targets: DataFrame, radius: float = 1.0) -> DataFrame:
-    """Spherical distance of every point to every row of the small set targets, which is broadcast."""
-    other = targets.select(F.col("point_id").alias("target_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    return points.crossJoin(F.broadcast(other)).select("point_id", "target_id", spherical_distance("lon", "lat", "lon2", "lat2", radius).alias("psi"))
+def distances(points: DataFrame, targets: DataFrame, radius: float = 1.0, block: int = 1024) -> DataFrame:
+    """Spherical distance of every point to every row of targets: a matrix of as many rows as both make together.
+
+    Targets are packed into blocks and every point meets each block once, so the work is dealt out evenly and no side
+    has to fit an executor.
+    """
+    count = targets.count()
+    blocks = max(1, -(-count // block))
+    number = F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int").alias("block")
+    held = targets.select(number, F.struct(F.col("point_id").alias("target_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).alias("t"))
+    packed = held.groupBy("block").agg(F.collect_list("t").alias("ts"))
+    each = points.select("point_id", "lon", "lat", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = each.join(packed, "block").select("point_id", "lon", "lat", F.explode("ts").alias("t")).select("point_id", "lon", "lat", "t.*")
+    return pairs.select("point_id", "target_id", spherical_distance("lon", "lat", "lon2", "lat2", radius).alias("psi"))
+
+
+def _cells(df: DataFrame, size: float, reach: int) -> DataFrame:
+    """Adds cell: the cube of edge `size` of the point on the unit sphere, and with reach the cubes next to it."""
+    position = {"cx": F.cos("lat") * F.cos("lon"), "cy": F.cos("lat") * F.sin("lon"), "cz": F.sin("lat")}
+    for name, value in position.items():
+        df = df.withColumn(name, F.floor(value / size))
+        if reach:
+            df = df.withColumn(name, F.explode(F.sequence(F.col(name) - reach, F.col(name) + reach)))
+    return df
 
 
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """The nearest row of the small set targets for each point; ties go to the smaller id."""
+    """The nearest row of targets for each point; ties go to the smaller id.
+
+    A point meets the targets of its own cube and those next to it, an equi-join. What it finds within one edge is the
+    nearest; the other points go on with edges twice as long, so neither side must be small. No targets, no rows.
+    """
+    targets = targets.select(F.col("point_id").alias("target_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    count = targets.count()
+    size, open_, found = min(2.0, math.sqrt(4 * math.pi / max(count, 1))), points.select("point_id", "lon", "lat"), []
     best = F.min(F.struct("psi", "target_id"))
-    return distances(points, targets).groupBy("point_id").agg(best.alias("_b")).select("point_id", F.col("_b.target_id").alias("target_id"), F.col("_b.psi").alias("psi"))
+    while count:
+        held = _cells(targets.withColumnsRenamed({"lon2": "lon", "lat2": "lat"}), size, 0).withColumnsRenamed({"lon": "lon2", "lat": "lat2"})
+        met = _cells(open_, size, 1).join(held, ["cx", "cy", "cz"]).select("point_id", "target_id", spherical_distance("lon", "lat", "lon2", "lat2", 1.0).alias("psi"))
+        near = met.groupBy("point_id").agg(best.alias("b")).select("point_id", F.col("b.target_id").alias("target_id"), F.col("b.psi").alias("psi"))
+        if size >= 2:  # the cubes next to any point hold the whole sphere
+            found.append(near)
+            break
+        near = near.where(2 * F.sin(F.col("psi") / 2) <= size)
+        found.append(near)
+        open_ = open_.join(near, "point_id", "left_anti")
+        if open_.isEmpty():
+            break
+        size = min(2.0, 2 * size)
+    none = points.select("point_id").join(targets.select("target_id", F.lit(0.0).alias("psi")), F.lit(False))
+    return reduce(DataFrame.unionByName, found) if found else none
 
 
 def gauss_grid(spark: SparkSession, parallels: int) -> DataFrame:
@@ -82,6 +125,38 @@ def reuter_grid(spark: SparkSession, level: int, mapping: str = "geocentric", f:
     return points.select("i_lat", "i_lon", F.when(pole, 0.0).otherwise(turn).alias("lon"), mapped_latitude(math.pi / 2 - theta, mapping, f).alias("lat"), area.alias("area"))
 
 
+def spiral_grid(spark: SparkSession, resolution: float, mapping: str = "geocentric", a: float = A, f: float = FLATTENING) -> DataFrame:
+    """Points at equal steps along a spiral from pole to pole, about `resolution` metres apart, each with an equal area.
+
+    The spiral turns by c radians of longitude for each radian of colatitude. Its length is tabulated by panels; a point's
+    colatitude comes from the panel that holds it by Newton steps on the length within, a batch of points at a time.
+    """
+    turns = 2 * math.pi * a / resolution
+    edges = np.linspace(0, math.pi, 64 + 16 * math.ceil(turns))
+    nodes, weights = np.polynomial.legendre.leggauss(8)
+
+    def length(start, end):
+        x = (start + end)[:, None] / 2 + (end - start)[:, None] / 2 * nodes
+        return (end - start) / 2 * (np.sqrt(1 + turns**2 * np.sin(x) ** 2) @ weights)
+
+    table = np.concatenate([[0], np.cumsum(length(edges[:-1], edges[1:]))])
+    steps = math.ceil(table[-1] * a / resolution) + 1
+
+    def run(batches):
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            wanted = table[-1] * number / steps
+            panel = np.clip(np.searchsorted(table, wanted, "right") - 1, 0, len(edges) - 2)
+            start, x = edges[panel], edges[panel]
+            for _ in range(6):
+                x = x + (wanted - table[panel] - length(start, x)) / np.sqrt(1 + turns**2 * np.sin(x) ** 2)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.clip(x, 0, math.pi))], names=["point_id", "colat"])
+
+    points = spark.range(steps + 1).withColumnRenamed("id", "point_id").mapInArrow(run, "point_id long, colat double")
+    angle = turns * F.col("colat")
+    return points.select("point_id", F.atan2(F.sin(angle), F.cos(angle)).alias("lon"), mapped_latitude(math.pi / 2 - F.col("colat"), mapping, f).alias("lat"), F.lit(4 * math.pi / (steps + 1)).alias("area"))
+
+
 def geodesic_grid(spark: SparkSession, level: int, mapping: str = "geocentric", f: float = FLATTENING) -> DataFrame:
     """10 (level + 1)^2 + 2 points of equal area from the icosahedron; each face's points are made in a row of its own.
 
@@ -174,6 +249,6 @@ def regularised(points: DataFrame, threshold: float = 1e-6) -> DataFrame:
 
 
 def cells_of(points: DataFrame, grid: DataFrame, least: int = 1) -> DataFrame:
-    """Count and mean of the points nearest each point of the small set grid; cells of fewer than least points go."""
+    """Count and mean of the points nearest each point of grid; cells of fewer than least points go."""
     near = nearest(points, grid).join(points.select("point_id", "value"), "point_id")
     return near.groupBy("target_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).where(F.col("n") >= least)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .adjustment import top_eigenpairs
+
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     right = b.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("w"))
@@ -29,3 +31,17 @@ def diagonal(a: DataFrame) -> DataFrame:
 def accumulate(systems: DataFrame, factors: DataFrame) -> DataFrame:
     """Sum of the systems' matrices over their variance factors: rows (sys_id, i, j, v) and (sys_id, factor)."""
     return systems.join(F.broadcast(factors), "sys_id").groupBy("i", "j").agg(F.sum(F.col("v") / F.col("factor")).alias("v"))
+
+
+def truncated_svd(a: DataFrame, count: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The `count` largest singular values of rows (i, j, v): (rank, sigma), (rank, j, v) and (rank, i, u).
+
+    The right vectors come from the normal matrix, a sum with a map-side combine whose side is the number of columns; the
+    left ones are a product with the matrix. Values that are 0 have no left vector.
+    """
+    pairs = top_eigenpairs(normals(a).withColumn("sys_id", F.lit(0)), count)
+    right = pairs.select("rank", F.col("i").alias("j"), "v")
+    values = pairs.groupBy("rank").agg(F.sqrt(F.greatest(F.lit(0.0), F.first("eigenvalue"))).alias("sigma"))
+    products = a.withColumnRenamed("v", "entry").join(right, "j").groupBy("rank", "i").agg(F.sum(F.col("entry") * F.col("v")).alias("p"))
+    left = products.join(values, "rank").where("sigma > 0").select("rank", "i", (F.col("p") / F.col("sigma")).alias("u"))
+    return values, right, left

@@ -157,3 +157,8 @@ def bins_with_gaps(series: DataFrame, by: list[str], start: float, step: float,
     means = bin_to_centres(series, by, start, step, count, F.avg("value").alias("mean"))
     centres = series.select(*by).distinct().withColumn("centre", F.explode(F.array(*[F.lit(float(start + k * step)) for k in range(count)])))
     return centres.join(means, [*by, "centre"], "left").withColumn("mean", F.coalesce("mean", F.lit(no_data)))
+
+
+def evaluate_at(series: DataFrame, moment: float, by: str) -> DataFrame:
+    """Every series at one moment, rows (by, moment, value): interpolate() at that epoch."""
+    return interpolate(series, series.select(by).distinct().withColumn("moment", F.lit(float(moment))), by)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import GM, R, cartesian_to_spherical
-from ..functions.harmonics import legendre
+from ..functions.harmonics import legendre, legendre_columns
 from .adjustment import inverse
 
 
@@ -115,3 +117,30 @@ def window_matrix(points: DataFrame, max_degree: int, min_degree: int = 0) -> Da
     product = left.join(right, "point_id").groupBy(F.col("i_n").alias("j"), "i_m", "i_trig", "n", "m", "trig").agg(F.sum(F.col("u") * F.col("w")).alias("_p"))
     solved = inverse(normals, ["i_m", "i_trig"])
     return solved.join(product, ["i_m", "i_trig", "j"]).groupBy(F.col("i").cast("int").alias("i_n"), "i_m", "i_trig", "n", "m", "trig").agg(F.sum(F.col("v") * F.col("_p")).alias("v"))
+
+
+def analyse_scattered(values: DataFrame, points: DataFrame, max_degree: int, min_degree: int = 0) -> DataFrame:
+    """Coefficients (epoch, n, m, trig, value) of values at any points (point_id, lon, lat, area), by area-weighted least squares.
+
+    Every batch of points adds up its own part of the normal matrix, so rows don't grow with the points; the system, whose
+    side is the number of coefficients, is solved in one group for all epochs.
+    """
+    keys = [(n, m, t) for n in range(min_degree, max_degree + 1) for m in range(n + 1) for t in (0, 1) if m or not t]
+
+    def run(batches):
+        for batch in batches:
+            lon, lat, area = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "area"))
+            p = legendre_columns(max_degree, np.pi / 2 - lat)
+            a = np.stack([p[n, m] * (np.sin(m * lon) if t else np.cos(m * lon)) for n, m, t in keys])
+            i, j = np.indices((len(keys),) * 2).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(((a * area) @ a.T).ravel())], names=["i", "j", "v"])
+
+    parts = points.select(*[F.col(c).cast("double") for c in ("lon", "lat", "area")]).mapInArrow(run, "i long, j long, v double")
+    normals = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).withColumn("sys_id", F.lit(0))
+    index = values.sparkSession.createDataFrame([(k, *key) for k, key in enumerate(keys)], "i long, n int, m int, trig int")
+    weighed = basis_matrix(points, max_degree).join(points.select("point_id", "area"), "point_id").withColumn("pv", F.col("v") * F.col("area"))
+    right = values.join(weighed, "point_id").groupBy("epoch", "n", "m", "trig").agg(F.sum(F.col("pv") * F.col("value")).alias("rhs"))
+    solved = inverse(normals, ["sys_id"]).join(index.withColumnRenamed("i", "j").withColumnsRenamed({c: f"{c}_" for c in ("n", "m", "trig")}), "j")
+    right = right.withColumnsRenamed({c: f"{c}_" for c in ("n", "m", "trig")})
+    summed = solved.join(right, ["n_", "m_", "trig_"]).groupBy("epoch", "i").agg(F.sum(F.col("v") * F.col("rhs")).alias("value"))
+    return summed.join(index, "i").select("epoch", "n", "m", "trig", "value")

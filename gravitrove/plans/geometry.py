@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geodesy, harmonics, time
 from ..operators import dates, grids
 from . import relations as rel
-from .queries import POINT
+from .queries import OTHER, POINT
 from .registry import query, rounded
 
 ECC = "(SELECT 2e0 / 298.257222101e0 - 1e0 / (298.257222101e0 * 298.257222101e0) AS e2) ecc"
@@ -131,13 +131,13 @@ def prj15_to_regular(spark, sf):
     return grids.regularised(scattered).select("point_id", "i_lat", "i_lon")
 
 
-@query(f"WITH {POINT}, t AS (SELECT point_id AS target_id, lon AS lon2, lat AS lat2 FROM f_point WHERE point_id <= 5), d AS (SELECT point_id, target_id, value, sin(lat) * sin(lat2) + cos(lat) * cos(lat2) * cos(lon2 - lon) AS c FROM f_point, t), b AS (SELECT point_id, arg_max(target_id, c) AS target_id, any_value(value) AS value FROM d GROUP BY 1) SELECT target_id, count(*) AS n, round(avg(value), 6) AS mean FROM b GROUP BY 1 HAVING count(*) >= 1")
+@query(f"WITH {POINT}, {OTHER}, t AS (SELECT point_id AS target_id, lon AS lon2, lat AS lat2 FROM f_point), d AS (SELECT point_id, target_id, value, sin(lat) * sin(lat2) + cos(lat) * cos(lat2) * cos(lon2 - lon) AS c FROM f_other, t), b AS (SELECT point_id, arg_max(target_id, c) AS target_id, any_value(value) AS value FROM d GROUP BY 1) SELECT target_id, count(*) AS n, round(avg(value), 6) AS mean FROM b GROUP BY 1 HAVING count(*) >= 1")
 def agg09_nearest_cells(spark, sf):
-    points = rel.points(spark, sf)
-    return rounded(grids.cells_of(points, points.where("point_id <= 5")), mean=6)
+    """The customers in the cell of each supplier."""
+    return rounded(grids.cells_of(rel.points(spark, sf, "customer"), rel.points(spark, sf)), mean=6)
 
 
-@query(f"WITH {POINT} SELECT a.point_id, b.point_id AS target_id, round(acos(greatest(-1, least(1, sin(a.lat) * sin(b.lat) + cos(a.lat) * cos(b.lat) * cos(b.lon - a.lon)))), 6) AS psi FROM f_point a, f_point b WHERE a.point_id <> b.point_id AND b.point_id <= 20")
+@query(f"WITH {POINT} SELECT a.point_id, b.point_id AS target_id, round(acos(greatest(-1, least(1, sin(a.lat) * sin(b.lat) + cos(a.lat) * cos(b.lat) * cos(b.lon - a.lon)))), 6) AS psi FROM f_point a, f_point b WHERE a.point_id <> b.point_id")
 def join10_distances(spark, sf):
     points = rel.points(spark, sf)
-    return rounded(grids.distances(points, points.where("point_id <= 20")).where("point_id <> target_id"), psi=6)
+    return rounded(grids.distances(points, points).where("point_id <> target_id"), psi=6)

@@ -13,6 +13,8 @@ COEF = """f_coef AS (SELECT epoch, n, CAST(floor((rem + 1) / 2e0) AS INT) AS m,
   FROM (SELECT epoch, n, idx - n * n AS rem, v FROM (SELECT epoch, idx, CAST(floor(sqrt(idx)) AS INT) AS n, v FROM (
     SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS epoch, CAST((l_orderkey * 7 + l_linenumber * 13) % 81 AS INT) AS idx, l_extendedprice AS v FROM lineitem) a) b) c GROUP BY 1, 2, 3, 4)"""
 POINT = """f_point AS (SELECT CAST(s_suppkey AS BIGINT) AS point_id, radians((s_suppkey * 1.3750776405e2) % 360 - 180) AS lon, asin(2e0 * ((s_suppkey * 6.180339887e-1) % 1) - 1e0) AS lat, s_acctbal AS value FROM supplier)"""
+OTHER = POINT.replace("f_point", "f_other").replace("s_suppkey", "c_custkey").replace("s_acctbal", "c_acctbal").replace("supplier", "customer")
+
 LEG = """pts AS (SELECT point_id, sin(lat) AS t, cos(lat) AS u FROM f_point),
 sect(point_id, m, p, t, u) AS (SELECT point_id, 0, 1e0, t, u FROM pts UNION ALL
   SELECT point_id, m + 1, p * u * (CASE WHEN m = 0 THEN sqrt(3e0) ELSE sqrt((2e0 * m + 3e0) / (2e0 * m + 2e0)) END), t, u FROM sect WHERE m < 8),
@@ -109,10 +111,10 @@ def agg01_agg02_agg03_basin_statistics(spark, sf):
     return rounded(grids.statistics(points.withColumn("area", F.cos("lat")).join(inside, "point_id"), ["basin_id"]), mean=6, rms=6, std=6)
 
 
-@query(f"WITH {POINT}, t AS (SELECT point_id AS target_id, lon AS lon2, lat AS lat2 FROM f_point WHERE point_id <= 9), d AS (SELECT point_id, target_id, atan2(sqrt(pow(cos(lat2) * sin(lon2 - lon), 2) + pow(cos(lat) * sin(lat2) - sin(lat) * cos(lat2) * cos(lon2 - lon), 2)), sin(lat) * sin(lat2) + cos(lat) * cos(lat2) * cos(lon2 - lon)) AS psi FROM f_point, t) SELECT point_id, arg_min(target_id, psi) AS target_id, round(min(psi), 9) AS psi FROM d GROUP BY point_id")
+@query(f"WITH {POINT}, {OTHER}, t AS (SELECT point_id AS target_id, lon AS lon2, lat AS lat2 FROM f_other), d AS (SELECT point_id, target_id, atan2(sqrt(pow(cos(lat2) * sin(lon2 - lon), 2) + pow(cos(lat) * sin(lat2) - sin(lat) * cos(lat2) * cos(lon2 - lon), 2)), sin(lat) * sin(lat2) + cos(lat) * cos(lat2) * cos(lon2 - lon)) AS psi FROM f_point, t) SELECT point_id, arg_min(target_id, psi) AS target_id, round(min(psi), 9) AS psi FROM d GROUP BY point_id")
 def join04_nearest(spark, sf):
-    points = rel.points(spark, sf)
-    return rounded(grids.nearest(points, points.where("point_id <= 9")), psi=9)
+    """The customer nearest each supplier."""
+    return rounded(grids.nearest(rel.points(spark, sf), rel.points(spark, sf, "customer")), psi=9)
 
 
 @query(f"WITH RECURSIVE {COEF}, {POINT}, {LEG}, {SYNTH} SELECT epoch, point_id, round(value, 10) AS value FROM f_synth")

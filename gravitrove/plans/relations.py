@@ -34,13 +34,15 @@ def packed_index(n: str = "n", m: str = "m", trig: str = "trig"):
     return F.col(n) * F.col(n) + F.when(F.col(m) == 0, 0).otherwise(2 * F.col(m) - 1 + F.col(trig))
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
+def points(spark: SparkSession, sf_dir: str, name: str = "supplier") -> DataFrame:
+    """Scattered points: the suppliers, or the customers, spread over the sphere by their keys."""
+    prefix = {"supplier": "s_supp", "customer": "c_cust"}[name]
+    key = F.col(f"{prefix}key")
+    return table(spark, sf_dir, name).select(
         key.cast("long").alias("point_id"),
         F.radians((key * 1.3750776405e2) % 360 - 180).alias("lon"),
         F.asin(2.0 * ((key * 6.180339887e-1) % 1) - 1.0).alias("lat"),
-        F.col("s_acctbal").alias("value"),
+        F.col(f"{prefix[:2]}acctbal").alias("value"),
     )
 
 

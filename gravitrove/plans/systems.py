@@ -9,13 +9,13 @@ from . import relations as rel
 from .queries import COEF, LEG, MAT, POINT
 from .registry import query, rounded
 
-SMALL = f"{MAT}, a AS (SELECT i % 4 AS sys_id, i, j, v FROM f_mat WHERE j < 12), nn AS (SELECT x.sys_id, x.j AS i, y.j AS j, sum(x.v * y.v) + CASE WHEN x.j = y.j THEN 1e0 ELSE 0e0 END AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2, 3), obs AS (SELECT i, v AS l FROM f_mat WHERE j = 12), rr AS (SELECT sys_id, j AS i, sum(v * l) AS rhs FROM a JOIN obs USING (i) GROUP BY 1, 2)"
+SMALL = f"{MAT}, a AS (SELECT i % 4 AS sys_id, i, j, v FROM f_mat WHERE j < 63), nn AS (SELECT x.sys_id, x.j AS i, y.j AS j, sum(x.v * y.v) + CASE WHEN x.j = y.j THEN 1e0 ELSE 0e0 END AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2, 3), obs AS (SELECT i, v AS l FROM f_mat WHERE j = 63), rr AS (SELECT sys_id, j AS i, sum(v * l) AS rhs FROM a JOIN obs USING (i) GROUP BY 1, 2)"
 
 
 def _systems(spark, sf):
-    """Four systems of twelve parameters from the first columns of the matrix, with one on the diagonal; the next column is observed."""
-    a = rel.matrix(spark, sf).where("j <= 12").withColumn("sys_id", (F.col("i") % 4).cast("int"))
-    rows = a.groupBy("sys_id", "i").agg(F.filter(F.collect_list(F.struct("j", "v")), lambda x: x["j"] < 12).alias("row"), F.max(F.when(F.col("j") == 12, F.col("v"))).alias("l"))
+    """Four systems of the matrix's columns but the last, which is observed, with one on the diagonal: 63 parameters each."""
+    a = rel.matrix(spark, sf).withColumn("sys_id", (F.col("i") % 4).cast("int"))
+    rows = a.groupBy("sys_id", "i").agg(F.filter(F.collect_list(F.struct("j", "v")), lambda x: x["j"] < 63).alias("row"), F.max(F.when(F.col("j") == 63, F.col("v"))).alias("l"))
     left = rows.select("sys_id", "l", "row", F.explode("row").alias("x"))
     products = left.select("sys_id", F.col("x.j").alias("i"), F.col("x.v").alias("u"), F.explode("row").alias("y"))
     normal = products.groupBy("sys_id", "i", F.col("y.j").alias("j")).agg(F.sum(F.col("u") * F.col("y.v")).alias("v"))
@@ -44,7 +44,7 @@ def lsq05_lsq08_solution_times_normals(spark, sf):
     return rounded(adjustment.multiply(normal, adjustment.solve(normal, right)).withColumn("i", F.col("i").cast("long")), x=6)
 
 
-@query(f"WITH {SMALL} SELECT CAST(s AS INT) AS sys_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN i = j THEN 1e0 ELSE 0e0 END AS v FROM range(4) a(s), range(12) b(i), range(12) c(j)")
+@query(f"WITH {SMALL} SELECT CAST(s AS INT) AS sys_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN i = j THEN 1e0 ELSE 0e0 END AS v FROM range(4) a(s), range(63) b(i), range(63) c(j)")
 def lsq06_inverse_times_normals(spark, sf):
     normal = _systems(spark, sf)[0]
     product = _products(adjustment.inverse(normal), normal)
@@ -59,7 +59,7 @@ def lsq04_symmetric_product(spark, sf):
     return rounded(adjustment.multiply(adjustment.symmetric(upper), vector).withColumn("i", F.col("i").cast("long")), x=6)
 
 
-@query(f"WITH {SMALL}, x AS (SELECT sys_id, i, 1e-2 * (i + 1) AS x FROM rr), nx AS (SELECT n.sys_id, n.i, sum(v * x) AS nx FROM nn n JOIN x ON x.sys_id = n.sys_id AND x.i = n.j GROUP BY 1, 2), t AS (SELECT i % 4 AS sys_id, sum(l * l) AS lpl, count(*) AS obs FROM obs GROUP BY 1), e AS (SELECT sys_id, any_value(lpl) + sum(x * nx) - 2 * sum(x * rhs) AS epe, any_value(obs) AS obs FROM x JOIN nx USING (sys_id, i) JOIN rr USING (sys_id, i) JOIN t USING (sys_id) GROUP BY 1) SELECT CAST(sys_id AS INT) AS sys_id, round(epe, 6) AS epe, round(sqrt(epe / (obs - 12)), 6) AS sigma FROM e")
+@query(f"WITH {SMALL}, x AS (SELECT sys_id, i, 1e-2 * (i + 1) AS x FROM rr), nx AS (SELECT n.sys_id, n.i, sum(v * x) AS nx FROM nn n JOIN x ON x.sys_id = n.sys_id AND x.i = n.j GROUP BY 1, 2), t AS (SELECT i % 4 AS sys_id, sum(l * l) AS lpl, count(*) AS obs FROM obs GROUP BY 1), e AS (SELECT sys_id, any_value(lpl) + sum(x * nx) - 2 * sum(x * rhs) AS epe, any_value(obs) AS obs FROM x JOIN nx USING (sys_id, i) JOIN rr USING (sys_id, i) JOIN t USING (sys_id) GROUP BY 1) SELECT CAST(sys_id AS INT) AS sys_id, round(epe, 6) AS epe, round(sqrt(epe / (obs - 63)), 6) AS sigma FROM e")
 def lsq09_residuals_and_sigma(spark, sf):
     normal, right, stats = _systems(spark, sf)
     x = right.select("sys_id", "i", ((F.col("i") + 1) * 1e-2).alias("x"))
@@ -67,7 +67,7 @@ def lsq09_residuals_and_sigma(spark, sf):
     return rounded(epe.join(adjustment.posterior_sigmas(normal, right, stats, x), "sys_id"), epe=6, sigma=6)
 
 
-@query(f"WITH {SMALL} SELECT CAST(sys_id AS INT) AS sys_id, round(2 * (count(*) - 12e0 / 4), 6) AS redundancy FROM (SELECT i % 4 AS sys_id FROM obs) o GROUP BY 1")
+@query(f"WITH {SMALL} SELECT CAST(sys_id AS INT) AS sys_id, round(2 * (count(*) - 63e0 / 4), 6) AS redundancy FROM (SELECT i % 4 AS sys_id FROM obs) o GROUP BY 1")
 def lsq09_redundancy(spark, sf):
     """With each system as the combined one, and a variance of 4, the trace is the number of parameters."""
     normal, _, stats = _systems(spark, sf)
@@ -80,7 +80,7 @@ def lsq09_redundancy(spark, sf):
     return parts.select("sys_id", F.round(2 * F.col("redundancy"), 6).alias("redundancy"))
 
 
-@query("SELECT CAST(s AS INT) AS sys_id, CAST(k AS BIGINT) AS i, k + 1e0 AS w, round((k + 1e0) * k / 10e0, 8) AS rhs FROM range(4) a(s), range(12) b(k)")
+@query("SELECT CAST(s AS INT) AS sys_id, CAST(k AS BIGINT) AS i, k + 1e0 AS w, round((k + 1e0) * k / 10e0, 8) AS rhs FROM range(4) a(s), range(63) b(k)")
 def lsq10_tikhonov(spark, sf):
     parameters = _systems(spark, sf)[1].select("sys_id", F.col("i").cast("long").alias("i"))
     matrix, right, _ = adjustment.tikhonov(parameters.withColumn("w", F.col("i") + 1.0), parameters.withColumn("x", F.col("i") / 10.0))
@@ -91,7 +91,7 @@ def lsq10_tikhonov(spark, sf):
 def sort07_eigenvalues(spark, sf):
     """The sum of all eigenvalues is the trace."""
     normal = _systems(spark, sf)[0]
-    pairs = adjustment.top_eigenpairs(normal, 12).groupBy("sys_id", "rank").agg(F.first("eigenvalue").alias("e")).groupBy("sys_id").agg(F.round(F.sum("e"), 5).alias("total"))
+    pairs = adjustment.top_eigenpairs(normal, 63).groupBy("sys_id", "rank").agg(F.first("eigenvalue").alias("e")).groupBy("sys_id").agg(F.round(F.sum("e"), 5).alias("total"))
     return normal.where("i = j").groupBy("sys_id").agg(F.round(F.sum("v"), 5).alias("trace")).join(pairs, "sys_id")
 
 
