@@ -107,44 +107,55 @@ class Rolling:
         return ranks.astype(np.uint32) | np.uint32(1)
 
 
+def refined(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The identifier of a pair of bucket identifiers, the same on every machine."""
+    x = head * np.uint64(0xD6E8FEB86659FD93)
+    x += tail * _BASE
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
+
+
 class BucketPointers:
     """Bucket identifiers of the strings at each byte, refined by the identifiers of later offsets.
 
-    The first buckets are q-grams: four bytes are their own identifier. A bucket of strings of some length is
-    refined to up to twice that length by the pair of identifiers at an offset of nothing and of what is missing; the new
-    identifiers are reused for the next length, up to the window's. Pairs of 32 bits are one number, so up to eight
-    bytes identifiers are the bytes themselves; beyond, a pair is mixed into 64 bits, the same on every machine,
-    so that buckets need no common numbering.
+    The first buckets are single bytes. A bucket of strings of some length is refined to up to twice that length
+    by the pair of identifiers at its own offset and a later one, and the new identifiers are reused for the next length.
+    Up to eight bytes an identifier is the string itself; beyond, the pair is mixed into 64 bits, so that buckets need no
+    common numbering. Up to the gram's length all strings are refined; beyond, only those asked for, the ones whose
+    buckets still hold several documents.
     """
 
     def __init__(self, data: np.ndarray, plan: Plan):
-        n = len(data)
-        wide = data.astype(np.uint64)
-        quads = wide[: n - 3] | wide[1 : n - 2] << np.uint64(8) | wide[2 : n - 1] << np.uint64(16) | wide[3:] << np.uint64(24)
-        known, ids, length = {4: quads}, quads, 4
-        for wanted in (plan.gram, *plan.levels, plan.window):
-            while length < wanted:
-                longer = min(2 * length, wanted)
-                head, tail = ids[: n - longer + 1], ids[longer - length :][: n - longer + 1]
-                ids = head | tail << np.uint64(32) if longer == 8 else mixed(mixed(head) + tail * _BASE)
-                length = longer
-            known[length] = ids
-        self.known, self.lengths = known, sorted(known)
+        ids, length = data, 1
+        for kind in (np.uint16, np.uint32, np.uint64):
+            ids = ids[:-length].astype(kind) | ids[length:].astype(kind) << kind(8 * length)
+            length *= 2
+        while length < plan.gram:
+            longer = min(2 * length, plan.gram)
+            n = len(data) - longer + 1
+            ids, length = refined(ids[:n], ids[longer - length :][:n]), longer
+        self.grams, self.lengths = ids, (plan.gram, *plan.levels, plan.window)
+
+    def _at(self, start: np.ndarray, k: int) -> np.ndarray:
+        if not k:
+            return self.grams[start]
+        return refined(self._at(start, k - 1), self._at(start + (self.lengths[k] - self.lengths[k - 1]), k - 1))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Identifiers of strings at most twice as long as the window: of a known length, or the pair at both ends."""
+        """Identifiers of strings at most twice as long as the window: of a level's length, or the pair at both ends."""
         size = end - start
         out = np.zeros(len(size), np.uint64)
-        for length, longer in zip(self.lengths, [*self.lengths[1:], 2 * self.lengths[-1] + 1]):
+        for k, (length, longer) in enumerate(zip(self.lengths, [*self.lengths[1:], 2 * self.lengths[-1] + 1])):
             here = np.flatnonzero((size >= length) & (size < longer))
             if len(here):
-                head, tail = self.known[length][start[here]], self.known[length][end[here] - length]
-                out[here] = np.where(size[here] == length, head, mixed(mixed(head) + tail * _BASE + size[here].astype(np.uint64)))
+                head, exact = self._at(start[here], k), size[here] == length
+                out[here] = head if exact.all() else np.where(exact, head, refined(refined(head, self._at(end[here] - length, k)), size[here].astype(np.uint64)))
         return out
 
     def ranks(self, size: int) -> np.ndarray:
         """An order of the grams that start at each byte; never 0."""
-        return ((self.known[size] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        return ((self.grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def running(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:

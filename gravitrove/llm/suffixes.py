@@ -24,6 +24,9 @@ def remove_repeated_bytes(docs: DataFrame, *, window: int = 50, gram: int = 20,
     columns are not read. A task's memory is bounded by its longest text.
     """
 
+    if not 8 <= gram <= level <= window or level > 2 * gram or window > 2 * level:
+        raise ValueError("each length is at most twice the one before, and the first at least eight bytes")
+
     def finish(piece: Piece) -> pa.Table:
         n, gone, spans, kept = [], [], [], []
         for text, i, j in zip(piece.texts, piece.bounds[:-1], piece.bounds[1:]):
