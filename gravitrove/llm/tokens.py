@@ -26,8 +26,8 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 64])
 ESCAPE = 15
 #: Ids in a block; a block starts a new word, so that blocks can be decoded alone.
 BLOCK = 4096
-#: Text bytes in a file, and distinct words a task remembers before it forgets those that its last texts lack.
-FILE_BYTES, KNOWN_WORDS = 24 << 20, 1 << 17
+#: Text bytes in a file, and distinct words in a generation of those a worker remembers.
+FILE_BYTES, KNOWN_WORDS = 24 << 20, 1 << 18
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -136,8 +136,9 @@ def drops_spaces(definition: dict) -> bool:
 class TextTokens:
     """Ids of texts, as bytes of unsigned 32-bit integers.
 
-    Words are encoded once while they are remembered, if the tokenizer never looks across white space. Only
-    the words of the last texts outlive KNOWN_WORDS, so memory is bounded by that and by one piece of texts.
+    Words are encoded once while they are remembered, if the tokenizer never looks across white space. After
+    KNOWN_WORDS new ones the generation before is forgotten but for the words met again, so memory is bounded by twice
+    that number (some 100 MB) and by one piece of texts, however long the worker lives.
     """
 
     def __init__(self, path: str, end: int):
@@ -147,6 +148,7 @@ class TextTokens:
         with open(path, encoding="utf-8") as file:
             self.by_word = drops_spaces(json.load(file))
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(list(map(bytes.decode, texts)), add_special_tokens=False)]
@@ -159,11 +161,14 @@ class TextTokens:
         if self.by_word:
             split = [t.split() for t in texts]
             words = set(chain.from_iterable(split))
-            fresh = list(words - self.known.keys())
+            fresh = words - self.known.keys()
+            met = fresh & self.older.keys()
+            self.known.update((w, self.older[w]) for w in met)
+            fresh = list(fresh - met)
             self.known.update(zip(fresh, self._encoded(fresh)))
             coded = [b"".join(map(self.known.__getitem__, w)) + self.end for w in split]
             if len(self.known) > KNOWN_WORDS:
-                self.known = {w: self.known[w] for w in words}
+                self.known, self.older = {}, self.known
         else:
             coded = [x + self.end for x in self._encoded(texts)]
         return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
@@ -210,7 +215,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int = 2, id
                 [piece.column("doc_id"), pa.array([file] * len(rows), pa.int32()), pa.array(starts), pa.array(sizes), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())],
                 names=["doc_id", "file", "start", "n_tokens", "offsets", "words"],
             )
-        coder.known.clear()
 
     map_texts(ordered, run, schema).write.option("compression", "uncompressed").parquet(path)
 
