@@ -27,7 +27,7 @@ ESCAPE = 15
 #: Ids in a block; a block starts a new word, so that blocks can be decoded alone.
 BLOCK = 4096
 #: Text bytes in a file, and distinct words in a generation of those a worker remembers.
-FILE_BYTES, KNOWN_WORDS = 24 << 20, 1 << 18
+FILE_BYTES, KNOWN_WORDS = 24 << 20, 1 << 19
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ class TextTokens:
 
     Words are encoded once while they are remembered, if the tokenizer never looks across white space. After
     KNOWN_WORDS new ones the generation before is forgotten but for the words met again, so memory is bounded by twice
-    that number (some 100 MB) and by one piece of texts, however long the worker lives.
+    that number (some 200 MB) and by one piece of texts, however long the worker lives.
     """
 
     def __init__(self, path: str, end: int):
@@ -160,13 +160,16 @@ class TextTokens:
         """All ids, an end id after each text, and the number of ids of each text."""
         if self.by_word:
             split = [t.split() for t in texts]
-            words = set(chain.from_iterable(split))
-            fresh = words - self.known.keys()
+            found = [list(map(self.known.get, words)) for words in split]
+            lacking = [i for i, codes in enumerate(found) if None in codes]
+            fresh = {w for i in lacking for w, code in zip(split[i], found[i]) if code is None}
             met = fresh & self.older.keys()
             self.known.update((w, self.older[w]) for w in met)
             fresh = list(fresh - met)
             self.known.update(zip(fresh, self._encoded(fresh)))
-            coded = [b"".join(map(self.known.__getitem__, w)) + self.end for w in split]
+            for i in lacking:
+                found[i] = map(self.known.__getitem__, split[i])
+            coded = [b"".join(codes) + self.end for codes in found]
             if len(self.known) > KNOWN_WORDS:
                 self.known, self.older = {}, self.known
         else:
