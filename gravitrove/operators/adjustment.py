@@ -1,7 +1,7 @@
 """Normal equations: rows (sys_id, i, j, v) with both triangles, (sys_id, i, rhs) and (sys_id, lpl, obs).
 
-Products, sums and traces are joins. A dense factorisation needs its whole system, so each system is one group of
-applyInPandas: systems run side by side, and one must fit a task (its side is bounded by the degree of the field).
+Products, sums and traces are joins. Of many small systems, each is factored in one group of applyInPandas: systems run side
+by side, and one must fit a task. One large system goes by blocks instead (blocks.py).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import solve_positive
+
 ENTRY = "i long, j long, v double"
 
 
@@ -109,24 +111,26 @@ def redundancies(systems: DataFrame, stats: DataFrame, combined_inverse: DataFra
     return stats.join(trace, "sys_id", "left").join(factors, "sys_id").select("sys_id", (F.col("obs") - F.coalesce("_t", F.lit(0.0)) / F.col("factor")).alias("redundancy"))
 
 
-def variance_components(systems: DataFrame, right: DataFrame, stats: DataFrame, iterations: int = 5) -> tuple[DataFrame, DataFrame]:
+def variance_components(systems: DataFrame, right: DataFrame, stats: DataFrame, iterations: int = 5, side: int = 512) -> tuple[DataFrame, DataFrame]:
     """The combined solution (i, x) and variance factors (sys_id, factor) of systems over the same parameters.
 
-    A step's factors, a row a system, are checkpointed, so plans do not grow with the iterations.
+    The combined matrix is inverted by blocks of side numbers. A step's factors, a row a system, are checkpointed, so plans
+    do not grow with the iterations.
     """
     factors = stats.select("sys_id", F.lit(1.0).alias("factor"))
-    one = F.lit(0).alias("sys_id")
 
     def combined():
-        matrix = systems.join(factors, "sys_id").groupBy("i", "j").agg(F.sum(F.col("v") / F.col("factor")).alias("v")).select(one, "i", "j", "v")
-        side = right.join(factors, "sys_id").groupBy("i").agg(F.sum(F.col("rhs") / F.col("factor")).alias("rhs")).select(one, "i", "rhs")
-        return matrix, solve(matrix, side).select("i", "x")
+        matrix = systems.join(factors, "sys_id").groupBy("i", "j").agg(F.sum(F.col("v") / F.col("factor")).alias("v"))
+        known = right.join(factors, "sys_id").groupBy(F.col("i").alias("j")).agg(F.sum(F.col("rhs") / F.col("factor")).alias("rhs"))
+        unit = matrix.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")).distinct()
+        inverted = solve_positive(matrix, unit, side).checkpoint()
+        return inverted, inverted.join(known, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("rhs")).alias("x"))
 
     for _ in range(iterations):
-        matrix, x = combined()
+        inverted, x = combined()
         everywhere = right.select("sys_id", "i").join(x, "i").select("sys_id", "i", "x")
         epe = residual_square_sums(systems, right, stats, everywhere)
-        r = redundancies(systems, stats, inverse(matrix).select("i", "j", "v"), factors)
+        r = redundancies(systems, stats, inverted, factors)
         factors = epe.join(r, "sys_id").select("sys_id", (F.col("epe") / F.col("redundancy")).alias("factor")).checkpoint()
     return combined()[1], factors
 

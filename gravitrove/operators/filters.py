@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .adjustment import _dense, _sparse
+from .blocks import solve_positive
 
 #: The scales of the eight levels of the decorrelation filter.
 DDK_SCALES = {1: 1e14, 2: 1e13, 3: 1e12, 4: 5e11, 5: 1e11, 6: 5e10, 7: 1e10, 8: 5e9}
@@ -36,28 +37,24 @@ def ddk(normals: DataFrame, level: int, generic: bool = False) -> DataFrame:
 
 def order_wise(field: DataFrame, blocks: DataFrame) -> DataFrame:
     """The field filtered by blocks (m, trig, i, j, v); degrees 0 and 1 stay as they are."""
-    highest = blocks.agg(F.max("j").alias("_top"))
-    checked = field.crossJoin(highest).withColumn("value", F.when(F.col("n") > F.col("_top"), F.raise_error(F.lit("the field's degree is above the filter's"))).otherwise(F.col("value"))).drop("_top")
-    product = checked.join(blocks.withColumnRenamed("j", "n"), ["m", "trig", "n"]).where("i >= 2")
+    top, highest = blocks.agg(F.max("j")).first()[0], field.agg(F.max("n")).first()[0]
+    if None not in (top, highest) and highest > top:
+        raise ValueError("the field's degree is above the filter's")
+    product = field.join(blocks.withColumnRenamed("j", "n"), ["m", "trig", "n"]).where("i >= 2")
     filtered = product.groupBy("epoch", F.col("i").alias("n"), "m", "trig").agg(F.sum(F.col("v") * F.col("value")).alias("value"))
     return field.where("n < 2").select("epoch", "n", "m", "trig", "value").unionByName(filtered)
 
 
-def regularised(normals: DataFrame, scale: float, power: float, order_wise_only: bool = False) -> DataFrame:
+def regularised(normals: DataFrame, scale: float, power: float, order_wise_only: bool = False, side: int = 512) -> DataFrame:
     """(N + scale n^power)^-1 N of one full normal matrix, rows (i_n, i_m, i_trig, n, m, trig, v) in and out.
 
-    The solve needs the whole matrix in one task: a square of (degree + 1)^2 numbers. order_wise_only keeps the entries
+    Solved by blocks of side numbers, so no task holds the square of (degree + 1)^2. order_wise_only keeps the entries
     within an order, cosine or sine.
     """
     packed = [F.col(p + "n") * F.col(p + "n") + F.when(F.col(p + "m") == 0, 0).otherwise(2 * F.col(p + "m") - 1 + F.col(p + "trig")) for p in ("i_", "")]
-    rows = normals.select(F.lit(0).alias("one"), packed[0].cast("long").alias("i"), packed[1].cast("long").alias("j"), "v")
-
-    def run(rows):
-        index = np.unique(np.concatenate([rows["i"], rows["j"]]))
-        n, degree = _dense(rows, index), np.floor(np.sqrt(index))
-        return _sparse(np.linalg.solve(n + np.diag(scale * degree**power), n), index, {})
-
-    solved = rows.groupBy("one").applyInPandas(run, "i long, j long, v double")
+    rows = normals.select(packed[0].cast("long").alias("i"), packed[1].cast("long").alias("j"), "v")
+    weight = F.lit(float(scale)) * F.pow(F.floor(F.sqrt("i")).cast("double"), F.lit(float(power)))
+    solved = solve_positive(rows.withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), weight).otherwise(0.0)), rows, side)
     names = {}
     for prefix, c in (("i_", "i"), ("", "j")):
         n = F.floor(F.sqrt(c)).cast("int")

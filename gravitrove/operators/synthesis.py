@@ -12,6 +12,42 @@ from ..functions.harmonics import legendre, legendre_columns
 from .adjustment import inverse
 
 
+def _paired(field: DataFrame, max_degree: int, weight: Column | None) -> DataFrame:
+    """One row (epoch, n, m) with cosine c and sine s, times weight."""
+    factor = F.lit(1.0) if weight is None else weight
+    c, s = (F.coalesce(F.sum(F.when(F.col("trig") == t, F.col("value"))), F.lit(0.0)) for t in (0, 1))
+    paired = field.where(F.col("n") <= max_degree).groupBy("epoch", "n", "m").agg(c.alias("c"), s.alias("s"))
+    return paired.withColumns({"c": F.col("c") * factor, "s": F.col("s") * factor})
+
+
+def _parallels(points: DataFrame, max_degree: int, min_degree: int = 0) -> DataFrame:
+    """Rows (lat, n, m, p) of the distinct latitudes of points."""
+    lats = points.select("lat").distinct().withColumn("colat", F.lit(1.5707963267948966) - F.col("lat"))
+    return legendre(lats, max_degree, "lat").withColumnRenamed("point_id", "lat").where(F.col("n") >= min_degree)
+
+
+def _waves(points: DataFrame, max_degree: int, m: str = "m", trig: str = "trig", h: str = "h") -> DataFrame:
+    """points, once for each order and cosine or sine, with the wave's value at the point's longitude."""
+    orders = F.sequence(F.lit(0), F.lit(max_degree))
+    both = F.transform(orders, lambda k: F.array(F.struct(k.alias("m"), F.lit(0).alias("t"), F.cos(k * F.col("lon")).alias("h")), F.struct(k.alias("m"), F.lit(1).alias("t"), F.sin(k * F.col("lon")).alias("h"))))
+    waves = points.select("*", F.explode(F.flatten(both)).alias("_w")).where("_w.m > 0 or _w.t = 0")
+    return waves.select(*points.columns, F.col("_w.m").alias(m), F.col("_w.t").alias(trig), F.col("_w.h").alias(h))
+
+
+def synthesise_grid(field: DataFrame, points: DataFrame, max_degree: int, weight: Column | None = None, ratio: Column | float = 1.0, power: int = 1) -> DataFrame:
+    """As synthesise, for points on common parallels: first sums over degrees on each parallel, then over orders at each point.
+
+    A month and parallel is one row of 2 (max_degree + 1) sums, so no row of a point meets the square of the degree. Points
+    of a parallel that differ in ratio count as different parallels; scattered points gain nothing.
+    """
+    placed = points.withColumn("ratio", (ratio if isinstance(ratio, Column) else F.lit(ratio)).cast("double")).select("point_id", "lon", "lat", "ratio")
+    p = _parallels(points, max_degree).join(placed.select("lat", "ratio").distinct(), "lat").withColumn("p", F.col("p") * F.pow("ratio", (F.col("n") + power).cast("double")))
+    sums = p.join(_paired(field, max_degree, weight), ["n", "m"]).groupBy("epoch", "lat", "ratio", "m").agg(F.sum(F.col("p") * F.col("c")).alias("a"), F.sum(F.col("p") * F.col("s")).alias("b"))
+    rows = sums.groupBy("epoch", "lat", "ratio").agg(F.array_sort(F.collect_list(F.struct("m", "a", "b"))).alias("orders"))
+    value = F.aggregate("orders", F.lit(0.0), lambda done, x: done + x["a"] * F.cos(x["m"] * F.col("lon")) + x["b"] * F.sin(x["m"] * F.col("lon")))
+    return placed.join(rows, ["lat", "ratio"]).select("epoch", "point_id", value.alias("value"))
+
+
 def synthesise(field: DataFrame, points: DataFrame, max_degree: int, weight: Column | None = None, ratio: Column | float = 1.0, power: int = 1) -> DataFrame:
     """Rows (epoch, point_id, value) of the potential on the unit sphere; weight: a further factor by n, like an inverse kernel.
 
@@ -19,9 +55,7 @@ def synthesise(field: DataFrame, points: DataFrame, max_degree: int, weight: Col
 
     Coefficients are first paired to one row (epoch, n, m) with cosine and sine, which halves the join.
     """
-    factor = F.lit(1.0) if weight is None else weight
-    c, s = (F.coalesce(F.sum(F.when(F.col("trig") == t, F.col("value"))), F.lit(0.0)) for t in (0, 1))
-    paired = field.where(F.col("n") <= max_degree).groupBy("epoch", "n", "m").agg(c.alias("c"), s.alias("s")).withColumns({"c": F.col("c") * factor, "s": F.col("s") * factor})
+    paired = _paired(field, max_degree, weight)
     basis = legendre(points.withColumn("colat", F.lit(1.5707963267948966) - F.col("lat")), max_degree).join(points.select("point_id", "lon", (ratio if isinstance(ratio, Column) else F.lit(ratio)).alias("ratio")), "point_id")
     basis = basis.withColumn("p", F.col("p") * F.pow("ratio", (F.col("n") + power).cast("double")))
     basis = basis.select("point_id", "n", "m", (F.col("p") * F.cos(F.col("m") * F.col("lon"))).alias("pc"), (F.col("p") * F.sin(F.col("m") * F.col("lon"))).alias("ps"))
@@ -43,19 +77,25 @@ def basis_matrix(points: DataFrame, max_degree: int) -> DataFrame:
 def analyse(values: DataFrame, points: DataFrame, max_degree: int, min_degree: int = 0) -> DataFrame:
     """Coefficients (epoch, n, m, trig, value) of gridded values, by area-weighted least squares order by order.
 
-    Values (epoch, point_id, value) lie on a regular grid (point_id, lon, lat, area), where orders do not mix. Normal
-    equations of an order are sums over points; each order's small system is solved in a group of its own.
+    Values (epoch, point_id, value) lie on a regular grid (point_id, lon, lat, area), where orders do not mix. Waves are
+    summed along parallels first, so only parallels meet degrees; each order's small system is solved in a group of its own.
     """
-    a = basis_matrix(points, max_degree).where(F.col("n") >= min_degree)
-    weighed = a.join(points.select("point_id", "area"), "point_id").withColumn("pv", F.col("v") * F.col("area"))
-    rows = weighed.groupBy("point_id", "m", "trig").agg(F.collect_list(F.struct("n", "v", "pv")).alias("row"))
-    left = rows.select("m", "trig", "row", F.explode("row").alias("x")).select("m", "trig", F.col("x.n").alias("i"), F.col("x.pv").alias("u"), F.explode("row").alias("y"))
-    normals = left.groupBy("m", "trig", "i", F.col("y.n").alias("j")).agg(F.sum(F.col("u") * F.col("y.v")).alias("v"))
-    right = values.join(weighed, "point_id").groupBy("epoch", "m", "trig", F.col("n").alias("j")).agg(F.sum(F.col("pv") * F.col("value")).alias("rhs"))
-    solved = inverse(normals, ["m", "trig"])
+    p = _parallels(points, max_degree, min_degree)
+    placed = values.join(points.select("point_id", "lon", "lat", "area"), "point_id").where("value is not null")
+    waves = _waves(placed, max_degree).groupBy("epoch", "lat", "m", "trig").agg(F.sum(F.col("h") * F.col("area") * F.col("value")).alias("_s"))
+    right = waves.join(p, ["lat", "m"]).groupBy("epoch", "m", "trig", F.col("n").alias("j")).agg(F.sum(F.col("p") * F.col("_s")).alias("rhs"))
+    solved = inverse(_order_normals(points, p, max_degree), ["m", "trig"])
     return solved.join(right, ["m", "trig", "j"]).groupBy("epoch", F.col("i").cast("int").alias("n"), "m", "trig").agg(F.sum(F.col("v") * F.col("rhs")).alias("value"))
 
 
+def _order_normals(points: DataFrame, p: DataFrame, max_degree: int) -> DataFrame:
+    """Area-weighted normal matrices (m, trig, i, j, v) of the orders, from a wave's square sum on each parallel."""
+    squares = _waves(points.select("lon", "lat", "area"), max_degree).groupBy("lat", "m", "trig").agg(F.sum(F.col("h") * F.col("h") * F.col("area")).alias("_s"))
+    left = squares.join(p.select("lat", "m", F.col("n").alias("i"), F.col("p").alias("u")), ["lat", "m"])
+    pairs = left.join(p.select("lat", "m", F.col("n").alias("j"), "p"), ["lat", "m"])
+    return pairs.groupBy("m", "trig", "i", "j").agg(F.sum(F.col("u") * F.col("_s") * F.col("p")).alias("v"))
+
+
 def propagate(covariance: DataFrame, points: DataFrame, max_degree: int) -> DataFrame:
     """Standard deviations (point_id, sigma) of synthesised values; covariance rows (n, m, trig, n2, m2, trig2, v)."""
     a = basis_matrix(points, max_degree)
@@ -106,16 +146,15 @@ def acceleration(field: DataFrame, points: DataFrame, max_degree: int, gm: float
 def window_matrix(points: DataFrame, max_degree: int, min_degree: int = 0) -> DataFrame:
     """Rows (i_n, i_m, i_trig, n, m, trig, v): synthesis, multiplication by the points' values, and analysis in one matrix.
 
-    points: a regular grid (point_id, lon, lat, area, value). Sums over points meet the orders' small inverses last.
+    points: a regular grid (point_id, lon, lat, area, value). Products of waves are summed along parallels before these meet
+    degrees; the orders' small inverses come last.
     """
-    a = basis_matrix(points, max_degree).where(F.col("n") >= min_degree).join(points.select("point_id", "area", "value"), "point_id")
-    names = [F.col(c).alias("i_" + c) for c in ("n", "m", "trig")]
-    left = a.select("point_id", *names, (F.col("v") * F.col("area")).alias("u"))
-    own = a.select("point_id", F.col("n").alias("j"), F.col("m").alias("i_m"), F.col("trig").alias("i_trig"), F.col("v").alias("w"))
-    normals = left.join(own, ["point_id", "i_m", "i_trig"]).groupBy("i_m", "i_trig", F.col("i_n").alias("i"), "j").agg(F.sum(F.col("u") * F.col("w")).alias("v"))
-    right = a.select("point_id", "n", "m", "trig", (F.col("v") * F.col("value")).alias("w"))
-    product = left.join(right, "point_id").groupBy(F.col("i_n").alias("j"), "i_m", "i_trig", "n", "m", "trig").agg(F.sum(F.col("u") * F.col("w")).alias("_p"))
-    solved = inverse(normals, ["i_m", "i_trig"])
+    p = _parallels(points, max_degree, min_degree)
+    waves = _waves(_waves(points.select("lon", "lat", "area", "value"), max_degree, "i_m", "i_trig", "g"), max_degree)
+    sums = waves.groupBy("lat", "i_m", "i_trig", "m", "trig").agg(F.sum(F.col("g") * F.col("h") * F.col("area") * F.col("value")).alias("_s"))
+    left = sums.join(p.select("lat", F.col("m").alias("i_m"), F.col("n").alias("j"), F.col("p").alias("u")), ["lat", "i_m"])
+    product = left.join(p, ["lat", "m"]).groupBy("j", "i_m", "i_trig", "n", "m", "trig").agg(F.sum(F.col("u") * F.col("_s") * F.col("p")).alias("_p"))
+    solved = inverse(_order_normals(points, p, max_degree), ["m", "trig"]).withColumnsRenamed({"m": "i_m", "trig": "i_trig"})
     return solved.join(product, ["i_m", "i_trig", "j"]).groupBy(F.col("i").cast("int").alias("i_n"), "i_m", "i_trig", "n", "m", "trig").agg(F.sum(F.col("v") * F.col("_p")).alias("v"))
 
 

@@ -122,6 +122,14 @@ def syn01_synthesis(spark, sf):
     return rounded(synthesis.synthesise(rel.coefficients(spark, sf), rel.points(spark, sf), 8), value=10)
 
 
+GRID = "f_point AS (SELECT CAST(k AS BIGINT) AS point_id, radians(-175e0 + 10e0 * (k % 36)) AS lon, radians(85e0 - 10e0 * (k // 36)) AS lat FROM range(648) t(k))"
+
+
+@query(f"WITH RECURSIVE {COEF}, {GRID}, {LEG}, {SYNTH} SELECT epoch, point_id, round(value, 10) AS value FROM f_synth")
+def syn01_synthesis_on_parallels(spark, sf):
+    return rounded(synthesis.synthesise_grid(rel.coefficients(spark, sf), grids.geographic_grid(spark, 10.0, 10.0), 8), value=10)
+
+
 @query(f"WITH RECURSIVE {COEF}, {POINT}, {LEG}, {SYNTH} SELECT point_id, round(sqrt(avg(value * value)), 10) AS rms FROM f_synth GROUP BY 1")
 def agg06_gridded_rms(spark, sf):
     return rounded(synthesis.gridded_rms(synthesis.synthesise(rel.coefficients(spark, sf), rel.points(spark, sf), 8)), rms=10)

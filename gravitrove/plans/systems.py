@@ -114,7 +114,7 @@ def syn05_syn06_analysis_of_synthesis(spark, sf):
     """A coefficient that a month lacks counts as 0 and comes back as such."""
     grid = grids.gauss_grid(spark, 10)
     field = rel.coefficients(spark, sf)
-    found = synthesis.analyse(synthesis.synthesise(field, grid, 8), grid, 8)
+    found = synthesis.analyse(synthesis.synthesise_grid(field, grid, 8), grid, 8)
     return found.withColumn("value", F.round("value", 10) + 0.0)
 
 
