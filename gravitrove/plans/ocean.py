@@ -10,7 +10,7 @@ from ..functions import geodesy, harmonics, kernels
 from ..operators import autoregression, filters, grids, transport
 from . import relations as rel
 from .geometry import LEGENDRE
-from .queries import _GAUSS, POINT, SERIES
+from .queries import GAUSS, POINT, SERIES
 from .registry import query, rounded
 
 LOVE = "f_love AS (SELECT CAST(n AS INT) AS n, CASE WHEN n = 0 THEN 0e0 ELSE -1e0 / (n + 1e0) END AS h, CASE WHEN n = 0 THEN 0e0 ELSE 5e-2 / (n + 1e0) END AS l, CASE WHEN n < 2 THEN 0e0 ELSE -6e-1 / (n + 1e0) END AS k FROM range(9) t(n))"
@@ -35,7 +35,7 @@ def src20_love_numbers_in_frames(spark, sf):
     return rounded(both[0].unionByName(both[1]), h=9, l=9, k=9)
 
 
-@query(f"WITH RECURSIVE {POINT}, {LEGENDRE}, w(n, w) AS (VALUES {_GAUSS}) SELECT point_id, round(sum(w * (2 * n + 1) * p), 8) AS value FROM leg JOIN w USING (n) GROUP BY 1")
+@query(f"WITH RECURSIVE {POINT}, {LEGENDRE}, {GAUSS} SELECT point_id, round(sum(w * (2 * n + 1) * p), 8) AS value FROM leg JOIN w USING (n) GROUP BY 1")
 def ker05_ker14_kernel_around_the_pole(spark, sf):
     """Gauss weights summed to a function of the distance from the north pole."""
     weights = [w * math.sqrt(2 * n + 1) for n, w in enumerate(kernels.gauss_weights(500.0, 8))]

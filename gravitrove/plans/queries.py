@@ -135,10 +135,13 @@ def agg06_gridded_rms(spark, sf):
     return rounded(synthesis.gridded_rms(synthesis.synthesise(rel.coefficients(spark, sf), rel.points(spark, sf), 8)), rms=10)
 
 
-_GAUSS = ", ".join(f"({n}, {w!r}e0)" if "e" not in repr(w) else f"({n}, {w!r})" for n, w in enumerate(kernels.gauss_weights(500.0, 8)))
+#: Weights of a Gaussian filter of 500 km from its recursion.
+GAUSS = """gb AS (SELECT ln(2e0) / (1 - cos(500e0 / 6378.1366e0)) AS b),
+gw(n, w, before) AS (SELECT 1, (1 + exp(-2 * b)) / (1 - exp(-2 * b)) - 1 / b, 1e0 FROM gb UNION ALL SELECT n + 1, before - (2 * n + 1) / b * w, w FROM gw, gb WHERE n < 8),
+w AS (SELECT 0 AS n, 1e0 AS w UNION ALL SELECT n, w FROM gw)"""
 
 
-@query(f"WITH {COEF}, w(n, w) AS (VALUES {_GAUSS}) SELECT epoch, n, m, trig, round(CASE WHEN n < 2 THEN value ELSE value * w END, 12) AS value FROM f_coef JOIN w USING (n)")
+@query(f"WITH RECURSIVE {COEF}, {GAUSS} SELECT epoch, n, m, trig, round(CASE WHEN n < 2 THEN value ELSE value * w END, 12) AS value FROM f_coef JOIN w USING (n)")
 def fil02_gaussian(spark, sf):
     return rounded(fields.gaussian_filter(rel.coefficients(spark, sf), 500.0, 8), value=12)
 
