@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geodesy, kernels, time
+from ..functions import geodesy, time
 from ..operators import fields, grids, matrices, series, synthesis
 from . import relations as rel
 from .registry import query, rounded
