@@ -9,7 +9,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space (regular expression for Spark and Python).
@@ -55,8 +55,13 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow in batches of BATCH_BYTES: rows of text differ too much in size for a limit on their number."""
+    """mapInArrow in batches of BATCH_BYTES: rows of text differ too much in size for a limit on their number.
+
+    PySpark's mapInArrow can't take a column name with a dot; run gets such columns under a number.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if any(set("`.") & set(c) for c in df.columns):
+        df = df.toDF(*[f"column_{k}" if set("`.") & set(c) else c for k, c in enumerate(df.columns)])
     return df.mapInArrow(run, schema)
 
 
@@ -66,6 +71,11 @@ def measured_bytes(df: DataFrame, *texts: str) -> int:
     return df.agg(F.sum(reduce(lambda a, b: a + b, rows).cast("long"))).first()[0] or 0
 
 
+def named(name: str) -> Column:
+    """The column of this very name, whatever dots or quotes it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like `name` that df does not use, in any case of letters."""
     used = {c.lower() for c in df.columns}
