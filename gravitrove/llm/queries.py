@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, middles, mixing, private, quality, simhash, substrings, suffixes, tokens, urls
+from . import decontamination, licenses, middles, mixing, private, quality, simhash, substrings, suffixes, tokens, tries, urls
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_personal_data": private.op9_personal_data,
     "op10_decontaminate": decontamination.op10_decontaminate,
     "op12_fill_in_middle": middles.op12_fill_in_middle,
+    "op13_conversation_trie": tries.op13_conversation_trie,
 }
 
 #: Operators 3, 5, 6, 7, 8 and 9 can't be expressed in SQL, or not over whole tables; tests hold them against brute force.
@@ -25,4 +26,5 @@ ORACLES = {
     "op4_substring_dedup": substrings.OP4_SQL,
     "op10_decontaminate": decontamination.OP10_SQL,
     "op12_fill_in_middle": middles.OP12_SQL,
+    "op13_conversation_trie": tries.OP13_SQL,
 }
