@@ -54,7 +54,7 @@ class Bits:
 
 def _step(counts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The part of each row that holds the one of number left, and its number within the part."""
-    ends = np.cumsum(counts, axis=1, dtype=np.int64)
-    part = (ends <= left[:, None]).sum(axis=1)
+    ends = np.cumsum(counts, axis=1, dtype=np.uint16)  # at most the bits of a block
+    part = (ends <= left.astype(np.uint16)[:, None]).sum(axis=1, dtype=np.uint8).astype(np.int64)
     rows = np.arange(len(part))
     return part, left - ends[rows, part] + counts[rows, part]
