@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import reduce, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,6 +84,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain_names(operator: Callable) -> Callable:
+    """Makes an operator of a DataFrame take columns with dots or backticks in their names: it sees them under other names."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        odd = {c: free_name(df, f"column_{k}") for k, c in enumerate(df.columns) if set("`.") & set(c)}
+        if not odd:
+            return operator(df, *args, **options)
+        options = {k: odd.get(v, v) if isinstance(v, str) else v for k, v in options.items()}
+        found = operator(df.toDF(*[odd.get(c, c) for c in df.columns]), *args, **options)
+        back = {v: k for k, v in odd.items()}
+        return found.toDF(*[back.get(c, c) for c in found.columns])
+
+    return run
+
+
 def without(df: DataFrame, names) -> list[str]:
     """The columns of df but those named like `names`, in any case of letters."""
     names = {n.lower() for n in names}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, PLAIN_BREAK, free_name, materialise, measured_bytes, table
+from .common import BROADCAST_BYTES, PLAIN_BREAK, free_name, materialise, measured_bytes, plain_names, table
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -110,6 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, id_c
     return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
+@plain_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs without any benchmark window; all columns stay.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WORD, free_name, materialise, measured_bytes, table, without
+from .common import BROADCAST_BYTES, WORD, free_name, materialise, measured_bytes, plain_names, table, without
 
 #: Bits of the hash, and of one level of the histogram.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -91,6 +91,7 @@ def hash_thresholds(sized: DataFrame, targets: DataFrame, repeats: int, few: boo
     return reduce(DataFrame.unionByName, done)
 
 
+@plain_names
 def mix(docs: DataFrame, weights, *, share: float = 1.5, repeats: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs with size, source_size, target, copies (how often the mix takes the row) and taken.
 

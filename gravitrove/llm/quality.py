@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_texts, pieces, table, without
+from .common import as_bytes, map_texts, pieces, plain_names, table, without
 
 CONTINUED = bytes(range(0x80, 0xC0))
 SPACES = b"\t\n\x0b\x0c\r "
@@ -195,6 +195,7 @@ def measure(docs: DataFrame, carried: list[str], text_col: str, least: int) -> D
     return map_texts(read, run, schema)
 
 
+@plain_names
 def quality(docs: DataFrame, *, carried: list[str] | None = None, text_col: str = "text", least: int = 10, max_covered: float = 0.3, max_longest: int = 100, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """The carried columns (default: all) of docs with STATISTICS, base_failed and kept.
 

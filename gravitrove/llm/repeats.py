@@ -26,6 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -33,6 +34,9 @@ from pyspark.sql.types import IntegralType
 #: Bytes of text in a piece, and about the bytes of identifiers in a bucket.
 PIECE_BYTES, BUCKET_BYTES = 1 << 20, 32 << 20
 
+#: Words of more bytes get a hash of their own: sums of powers modulo 2**64 agree for some strings of a thousand bytes, whatever the base.
+LONG_WORD = 64
+
 SMALLER, MIXED = 1, 2
 #: What an identifier stands for, and what its entries tell apart: contexts of a gram, or documents of a level.
 GRAMS, WHOLE, SHARED = range(3)
@@ -173,7 +177,10 @@ def word_tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge[1:-1] = ((data - np.uint8(9)) > 4) & (data != 32)
     step = np.diff(edge)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    return mixed(Rolling(BYTE_TOKENS[data]).of(starts, ends) + (ends - starts).astype(np.uint64)), starts
+    hashes = mixed(Rolling(BYTE_TOKENS[data]).of(starts, ends) + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return hashes, starts
 
 
 class Piece:

@@ -26,8 +26,10 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 64])
 ESCAPE = 15
 #: Ids in a block; a block starts a new word, so that blocks can be decoded alone.
 BLOCK = 4096
-#: Text bytes in a file, and distinct words in a generation of those a worker remembers.
-FILE_BYTES, KNOWN_WORDS = 24 << 20, 1 << 19
+#: Text bytes in a file, and bytes of a generation of the words that a worker remembers, some 200 of them for the objects of each word.
+FILE_BYTES, KNOWN_BYTES, WORD_BYTES = 24 << 20, 64 << 20, 200
+#: Longer words are encoded whenever they are met.
+LONG_WORD = 128
 #: What stands between new words that are encoded as one text, and how many there are of them.
 MARK, WORDS_A_TEXT = b"|", 50
 
@@ -116,8 +118,15 @@ def decode(words: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 #: Normalizers that treat the words around white space apart, and a splitting pattern that no white space matches.
-LOCAL_NORMALIZERS = {"NFC", "Lowercase"}
+LOCAL_NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LOCAL_SPLITS = [
+    {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Members of a definition without which each word is encoded for itself alone; a model that only looks at its own word.
+ABSENT = ("truncation", "padding", "post_processor")
+LOCAL_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
 
 def drops_spaces(definition: dict) -> bool:
@@ -127,20 +136,24 @@ def drops_spaces(definition: dict) -> bool:
     tokenizer gets whole texts.
     """
     steps = definition.get("normalizer") or {"normalizers": []}
-    steps = steps.get("normalizers", [steps])
-    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
-    first = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern") == {"Regex": WORD_PATTERN}
-    plain = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) for t in definition.get("added_tokens", []))
-    return split and plain and all(s.get("type") in LOCAL_NORMALIZERS or s == blank for s in steps)
+    splits = definition.get("pre_tokenizer") or {}
+    model = {k: v for k, v in definition.get("model", {}).items() if k not in ("vocab", "merges")}
+    plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in definition.get("added_tokens", []))
+    return (
+        plain
+        and all(definition.get(k) is None for k in ABSENT)
+        and all(s in LOCAL_NORMALIZERS for s in steps.get("normalizers", [steps]))
+        and splits.get("pretokenizers") == LOCAL_SPLITS
+        and model == LOCAL_MODEL
+    )
 
 
 class TextTokens:
     """Ids of texts, as bytes of unsigned 32-bit integers.
 
     Words are encoded once while they are remembered, if the tokenizer never looks across white space. After
-    KNOWN_WORDS new ones the generation before is forgotten but for the words met again, so memory is bounded by twice
-    that number (some 200 MB) and by one piece of texts, however long the worker lives.
+    KNOWN_BYTES of new ones the generation before is forgotten but for the words met again, so memory is bounded by twice
+    that and by one piece of texts, however long the worker lives. Words of more than LONG_WORD bytes are not remembered.
     """
 
     def __init__(self, path: str, end: int):
@@ -153,6 +166,7 @@ class TextTokens:
         self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.bytes = 0
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(list(map(bytes.decode, texts)), add_special_tokens=False)]
@@ -186,14 +200,16 @@ class TextTokens:
             lacking = [i for i, codes in enumerate(found) if None in codes]
             fresh = {w for i in lacking for w, code in zip(split[i], found[i]) if code is None}
             met = fresh & self.older.keys()
-            self.known.update((w, self.older[w]) for w in met)
-            fresh = list(fresh - met)
-            self.known.update(zip(fresh, self._encoded_words(fresh)))
+            new = list(fresh - met)
+            codes = {w: self.older[w] for w in met} | dict(zip(new, self._encoded_words(new)))
+            short = {w: code for w, code in codes.items() if len(w) <= LONG_WORD}
+            self.known.update(short)
+            self.bytes += sum(map(len, short)) + sum(map(len, short.values())) + WORD_BYTES * len(short)
             for i in lacking:
-                found[i] = map(self.known.__getitem__, split[i])
-            coded = [b"".join(codes) + self.end for codes in found]
-            if len(self.known) > KNOWN_WORDS:
-                self.known, self.older = {}, self.known
+                found[i] = [self.known[w] if w in self.known else codes[w] for w in split[i]]
+            coded = [b"".join(c) + self.end for c in found]
+            if self.bytes > KNOWN_BYTES:
+                self.known, self.older, self.bytes = {}, self.known, 0
         else:
             coded = [x + self.end for x in self._encoded(texts)]
         return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4

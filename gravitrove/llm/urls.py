@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, without
+from .common import materialise, plain_names, table, without
 from .decontamination import CAPITALS, SMALL
 
 #: Rules of the production filter (verdict, host and path).
@@ -19,8 +19,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 SAMPLE_ROWS = 20_000
 #: Hosts are dealt by hash into so many folds: a labelled url's suffix statistics come from the other folds.
 FOLDS = 5
-#: Bits of the hash by which the sample is cut.
-SAMPLE_BITS = 12
+#: Bits of the hash by which the sample is cut, and of one cut.
+HASH_BITS, SAMPLE_BITS = 60, 12
 #: Labels under which a country's names are registered, as in co.uk.
 GENERAL_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
 FEATURES = ("url_length", "depth", "digits", "entropy", "parameters", "host_labels", "hyphens", "last_length", "suffix_rate", "suffix_count")
@@ -89,17 +89,23 @@ def _fold() -> Column:
 def hash_sample(urls: DataFrame, most: int) -> DataFrame:
     """The rows of urls whose hash is below a threshold that at most `most` rows pass; all of them if they are few.
 
-    Counts by hash bucket find the threshold, so nothing is sorted and only counts reach the driver.
+    Counts by hash bucket find the threshold, so nothing is sorted and only counts reach the driver. The bucket that holds
+    the boundary is cut by the next bits, until the rows that more could add are less than a hundredth of `most`.
     """
-    bucket = F.shiftrightunsigned(F.xxhash64("url"), 64 - SAMPLE_BITS)
-    counts = sorted(tuple(r) for r in urls.groupBy(bucket).count().collect())  # at most 2**SAMPLE_BITS
-    held, limit = 0, 1 << SAMPLE_BITS
-    for value, n in counts:
-        held += n
-        if held > most:
-            limit = value
+    hashed, width, limit, room = F.shiftrightunsigned(F.xxhash64("url"), 64 - HASH_BITS), HASH_BITS, 0, most
+    while width and 100 * room > most:
+        inside = urls.where((hashed >= limit) & (hashed < limit + (1 << width)))
+        width -= SAMPLE_BITS
+        counts = sorted(tuple(r) for r in inside.groupBy(F.shiftright(hashed - limit, width)).count().collect())  # at most 2**SAMPLE_BITS
+        for value, n in counts:
+            if n > room:
+                limit += value << width
+                break
+            room -= n
+        else:
+            limit += 1 << width + SAMPLE_BITS
             break
-    return urls.where(bucket < limit)
+    return urls.where(hashed < limit)
 
 
 def fit(known: DataFrame, sample_rows: int, trees: int, depth: int) -> Callable[[DataFrame, Column], DataFrame] | str:
@@ -124,6 +130,7 @@ def fit(known: DataFrame, sample_rows: int, trees: int, depth: int) -> Callable[
     return lambda x, fold: fitted.transform(assembler.transform(featured(x, fold)))
 
 
+@plain_names
 def filter_urls(pages: DataFrame, *, rules=RULES, url_col: str = "url", sample_rows: int = SAMPLE_ROWS, trees: int = 8, depth: int = 3) -> DataFrame:
     """The columns of pages with host, path, rule and verdict (allow or block).
 
