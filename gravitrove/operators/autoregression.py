@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .elimination import eliminate, from_entries, solve, summed, to_entries
+
 
 def lagged_covariances(sample: DataFrame, max_lag: int) -> DataFrame:
     """Rows (lag, i, j, v): mean of x_i(t + lag) x_j(t) over whole steps t of a sample (t, i, x)."""
@@ -93,12 +95,37 @@ class Model:
         return frequencies.select("frequency").mapInPandas(run, "frequency double, i int, psd double")
 
 
-def sequence_normals(models: list[Model], epochs: int) -> np.ndarray:
-    """Banded normal matrix of a time line from models of order 0, 1, ..., p: early epochs use the lower orders."""
-    d = models[0].dimension
-    total = np.zeros((epochs * d, epochs * d))
-    for t in range(epochs):
-        model = models[min(t, len(models) - 1)]
-        part = slice((t - model.order) * d, (t + 1) * d)
-        total[part, part] += model.normals()
-    return total
+def sequence(covariances) -> list[Model]:
+    """Models of order 0, 1, ... from covariances of lags 0, 1, ..."""
+    return [Model.from_covariances(covariances[: k + 1]) for k in range(len(covariances))]
+
+
+def sequence_blocks(spark: SparkSession, models: list[Model], epochs: int) -> DataFrame:
+    """Block-banded normals of a time line from models of order 0, 1, ..., p: early epochs use the lower orders.
+
+    Each epoch adds its model's blocks at its own and the epochs before; a block of the band is a sum of at most p + 1 of them.
+    The blocks are those of elimination.py, one a pair of epochs; nothing holds more than a model.
+    """
+    d, parts = models[0].dimension, []
+    for model in models:
+        normals = model.normals()
+        parts += [(model.order, a, b, d, d, np.ascontiguousarray(normals[a * d : (a + 1) * d, b * d : (b + 1) * d], "<f8").tobytes()) for a in range(model.order + 1) for b in range(model.order + 1)]
+    pieces = spark.createDataFrame(parts, "p int, a int, b int, n_rows int, n_cols int, data binary")
+    line = spark.range(epochs).select(F.col("id").alias("t"), F.least(F.col("id"), F.lit(len(models) - 1)).cast("int").alias("p"))
+    each = line.join(pieces, "p").select((F.col("t") - F.col("p") + F.col("a")).alias("r"), (F.col("t") - F.col("p") + F.col("b")).alias("c"), "n_rows", "n_cols", "data")
+    return summed(each)
+
+
+def sequence_covariances(spark: SparkSession, models: list[Model], max_lag: int, side: int = 256) -> DataFrame:
+    """Rows (lag, i, j, v): covariances of the first epoch with the later ones, out of the inverse of the normals of max_lag + 1 epochs.
+
+    Blocks of about `side` numbers, whole epochs and no fewer than the models' order, make the band block-tridiagonal: the
+    elimination takes a number of rounds that grows with the logarithm of max_lag.
+    """
+    d, epochs = models[0].dimension, max(max_lag + 1, len(models))
+    side = d * max(side // d, len(models) - 1, 1)
+    factors = eliminate(from_entries(to_entries(sequence_blocks(spark, models, epochs), d), side))
+    unit = spark.createDataFrame([(k, k, 1.0) for k in range(d)], "i long, j long, v double")
+    found = to_entries(solve(factors, from_entries(unit.unionByName(spark.createDataFrame([(epochs * d - 1, 0, 0.0)], unit.schema)), side)), side).where(F.col("j") < d)
+    rows = found.select(F.floor(F.col("i") / d).alias("lag"), F.col("j").cast("int").alias("i"), (F.col("i") % d).cast("int").alias("j"), "v")
+    return rows.where(F.col("lag") <= max_lag)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import FLATTENING, authalic_to_geodetic, geodetic_to_authalic
+from .storage import stored
 
 #: Points of a cube at most, in the first round.
 CUBE = 512
@@ -115,7 +116,7 @@ def stars(points: DataFrame) -> DataFrame:
     """
     place = {"x": F.cos("lat") * F.cos("lon"), "y": F.cos("lat") * F.sin("lon"), "z": F.sin("lat")}
     rows = points.where("lon is not null and lat is not null").select("point_id", *[F.round(v, 13).alias(c) for c, v in place.items()])
-    rows = rows.groupBy("x", "y", "z").agg(F.min("point_id").cast("long").alias("point_id")).checkpoint()
+    rows = stored(rows.groupBy("x", "y", "z").agg(F.min("point_id").cast("long").alias("point_id")))
     count = rows.count()
     edge = min(2.0, math.sqrt(16 * math.pi / max(count, 1)))
     while count > CUBE and edge > 1e-12 and _cubes(rows, edge, 0).groupBy("kx", "ky", "kz").count().agg(F.max("count")).first()[0] > CUBE:
@@ -130,7 +131,7 @@ def stars(points: DataFrame) -> DataFrame:
         near = near.join(tasks, ["kx", "ky", "kz"]).withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
         near = near.join(here.select("point_id", "kx", "ky", "kz", "star", F.lit(True).alias("home")), ["point_id", "kx", "ky", "kz"], "left")
         own = F.coalesce("home", F.lit(False)) & (F.pmod(F.xxhash64("point_id"), F.col("tasks")) == F.col("task"))
-        found = near.withColumn("own", own).drop("home").groupBy("kx", "ky", "kz", "task").applyInPandas(_stars(edge, last), STAR).checkpoint()
+        found = stored(near.withColumn("own", own).drop("home").groupBy("kx", "ky", "kz", "task").applyInPandas(_stars(edge, last), STAR))
         done.append(found.where("not open").drop("open"))
         open_ = found.where("open").drop("open")
         if last or open_.isEmpty():
@@ -145,7 +146,7 @@ def neighbours(points: DataFrame, level: int = 1) -> DataFrame:
     """
     if level < 1:
         raise ValueError("the level is at least 1")
-    pairs = stars(points).select("point_id", F.explode("star.id").alias("neighbour_id")).checkpoint()
+    pairs = stored(stars(points).select("point_id", F.explode("star.id").alias("neighbour_id")))
     next_, reached = pairs.withColumnsRenamed({"point_id": "neighbour_id", "neighbour_id": "further"}), pairs
     for _ in range(level - 1):
         more = reached.join(next_, "neighbour_id").select("point_id", F.col("further").alias("neighbour_id")).where("point_id != neighbour_id")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, harmonics, kernels
-from ..operators import autoregression, filters, grids, transport
+from ..operators import autoregression, elimination, filters, grids, transport
 from . import relations as rel
 from .geometry import LEGENDRE
 from .queries import GAUSS, POINT, SERIES
@@ -97,6 +97,36 @@ def lsq14_lagged_covariances(spark, sf):
     return rounded(autoregression.lagged_covariances(daily, 2), v=6)
 
 
+YULE = f"""{SERIES}, day AS (SELECT CAST(floor(mjd) AS BIGINT) AS t, avg(value) AS x FROM f_series GROUP BY 1), x AS (SELECT t - (SELECT min(t) FROM day) AS t, x - (SELECT avg(x) FROM day) AS x FROM day),
+cov AS (SELECT avg(CASE WHEN l = 0 THEN p END) AS c0, avg(CASE WHEN l = 1 THEN p END) AS c1, avg(CASE WHEN l = 2 THEN p END) AS c2 FROM (SELECT a.x * b.x AS p, a.t - b.t AS l FROM x a JOIN x b ON a.t - b.t BETWEEN 0 AND 2) p),
+ar AS (SELECT *, c1 / c0 AS p1, c0 - c1 * c1 / c0 AS q1, c1 * (c0 - c2) / (c0 * c0 - c1 * c1) AS b1, (c0 * c2 - c1 * c1) / (c0 * c0 - c1 * c1) AS b2 FROM cov),
+m AS (SELECT *, c0 - b1 * c1 - b2 * c2 AS q2 FROM ar)"""
+
+
+def _daily_models(spark, sf):
+    """Models of order 0 to 2 of the daily means of all events about their mean, and the number of days."""
+    daily = rel.series(spark, sf).groupBy(F.floor("mjd").alias("t")).agg(F.avg("value").alias("x"))
+    mean, first, days = daily.agg(F.avg("x"), F.min("t"), F.count("*")).first()
+    sample = daily.select((F.col("t") - first).alias("t"), F.lit(0).alias("i"), (F.col("x") - mean).alias("x"))
+    lags = sorted(autoregression.lagged_covariances(sample, 2).collect(), key=lambda r: r["lag"])
+    return autoregression.sequence([[[r["v"]]] for r in lags]), days
+
+
+@query(f"""WITH {YULE}, term(p, a, w, q) AS (SELECT 0, 0, -1e0, c0 FROM m UNION ALL SELECT 1, 0, p1, q1 FROM m UNION ALL SELECT 1, 1, -1e0, q1 FROM m UNION ALL SELECT 2, 0, b2, q2 FROM m UNION ALL SELECT 2, 1, b1, q2 FROM m UNION ALL SELECT 2, 2, -1e0, q2 FROM m),
+e AS (SELECT k AS t, least(k, 2) AS p FROM range((SELECT count(*) FROM day)) r(k))
+SELECT CAST(e.t - e.p + u.a AS BIGINT) AS i, CAST(e.t - e.p + v.a AS BIGINT) AS j, round(sum(u.w * v.w / u.q), 8) AS v FROM e JOIN term u ON u.p = e.p JOIN term v ON v.p = e.p GROUP BY 1, 2""")
+def lsq15_sequence_normals(spark, sf):
+    models, days = _daily_models(spark, sf)
+    return rounded(elimination.to_entries(autoregression.sequence_blocks(spark, models, days), 1), v=8)
+
+
+@query(f"WITH RECURSIVE {YULE}, line(lag, v, before) AS (SELECT CAST(1 AS BIGINT), c1, c0 FROM m UNION ALL SELECT lag + 1, b1 * v + b2 * before, v FROM line, m WHERE lag + 1 < (SELECT count(*) FROM day)) SELECT lag, round(v, 7) AS v FROM line UNION ALL SELECT 0, round(c0, 7) FROM m")
+def lsq15_covariance_function(spark, sf):
+    """Out of the inverse of the banded normals; the oracle goes on by the model's own recursion."""
+    models, days = _daily_models(spark, sf)
+    return rounded(autoregression.sequence_covariances(spark, models, days - 1, 8).select("lag", "v"), v=7)
+
+
 @query("SELECT k / 20e0 AS frequency, CAST(0 AS INT) AS i, round(4 / (1 + 25e-2 - cos(2 * pi() * k / 20e0)), 9) AS psd FROM range(11) t(k)")
 def lsq18_spectrum_of_a_model(spark, sf):
     model = autoregression.Model([[[0.5]]], [[4.0]])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import adjustment, fields, filters, grids, synthesis
+from ..operators import adjustment, elimination, fields, filters, grids, synthesis
 from . import relations as rel
 from .queries import COEF, LEG, MAT, POINT
 from .registry import query, rounded
@@ -51,6 +51,23 @@ def lsq06_inverse_times_normals(spark, sf):
     return product.select("sys_id", "i", F.col("j").cast("long").alias("j"), (F.round("v", 8) + 0.0).alias("v"))
 
 
+BAND = f"{MAT}, nn AS (SELECT x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM f_mat x JOIN f_mat y ON x.i = y.i AND y.j - x.j BETWEEN 0 AND 1 GROUP BY 1, 2), line AS (SELECT a.i AS k, a.v AS a, coalesce(b.v * 4e-1, 0e0) AS b FROM nn a LEFT JOIN nn b ON b.i = a.i AND b.j = a.i + 1 WHERE a.i = a.j)"
+
+
+@query(f"""WITH RECURSIVE {BAND}, down(k, d) AS (SELECT k, a FROM line WHERE k = 0 UNION ALL SELECT l.k, l.a - p.b * p.b / d FROM down JOIN line p ON p.k = down.k JOIN line l ON l.k = down.k + 1),
+up(k, e) AS (SELECT k, a FROM line WHERE k = 63 UNION ALL SELECT l.k, l.a - l.b * l.b / e FROM up JOIN line l ON l.k = up.k - 1),
+diag AS (SELECT k, d, b, 1 / (d + e - a) AS z FROM line JOIN down USING (k) JOIN up USING (k)), beside AS (SELECT x.k, -x.b / x.d * y.z AS z FROM diag x JOIN diag y ON y.k = x.k + 1)
+SELECT CAST(k AS BIGINT) AS i, CAST(k AS BIGINT) AS j, round(z, 10) AS v FROM diag UNION ALL SELECT CAST(k AS BIGINT), CAST(k + 1 AS BIGINT), round(z, 10) FROM beside UNION ALL SELECT CAST(k + 1 AS BIGINT), CAST(k AS BIGINT), round(z, 10) FROM beside""")
+def lsq01_lsq06_inverse_on_a_band(spark, sf):
+    """The normal matrix's diagonal and, at two fifths, what is next to it: its inverse there, by blocks of sixteen."""
+    a = rel.matrix(spark, sf).groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("row"))
+    pairs = F.explode(F.flatten(F.transform(F.map_keys("row"), lambda j: F.transform(F.sequence(j, j + 1), lambda k: F.struct(j.alias("i"), k.alias("j"))))))
+    upper = a.select("row", pairs.alias("p")).where("row[p.j] is not null").groupBy("p.i", "p.j").agg(F.sum(F.col("row")[F.col("p.i")] * F.col("row")[F.col("p.j")]).alias("v"))
+    upper = upper.select("i", "j", F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0.4 * F.col("v")).alias("v"))
+    band = upper.unionByName(upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    return rounded(elimination.sparse_inverse_entries(band, 16), v=10)
+
+
 @query(f"WITH {SMALL} SELECT CAST(sys_id AS INT) AS sys_id, CAST(i AS BIGINT) AS i, round(sum(v * (j + 1e0)), 6) AS x FROM nn GROUP BY 1, 2")
 def lsq04_symmetric_product(spark, sf):
     normal = _systems(spark, sf)[0]
