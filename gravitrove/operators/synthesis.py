@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geodesy import GM, R, cartesian_to_spherical
 from ..functions.harmonics import legendre, legendre_columns
 from .adjustment import inverse
+from .storage import stored
 
 
 def _paired(field: DataFrame, max_degree: int, weight: Column | None) -> DataFrame:
@@ -158,28 +159,53 @@ def window_matrix(points: DataFrame, max_degree: int, min_degree: int = 0) -> Da
     return solved.join(product, ["i_m", "i_trig", "j"]).groupBy(F.col("i").cast("int").alias("i_n"), "i_m", "i_trig", "n", "m", "trig").agg(F.sum(F.col("v") * F.col("_p")).alias("v"))
 
 
-def analyse_scattered(values: DataFrame, points: DataFrame, max_degree: int, min_degree: int = 0) -> DataFrame:
+def analyse_scattered(values: DataFrame, points: DataFrame, max_degree: int, min_degree: int = 0, tolerance: float = 1e-13, most: int = 500) -> DataFrame:
     """Coefficients (epoch, n, m, trig, value) of values at any points (point_id, lon, lat, area), by area-weighted least squares.
 
-    Every batch of points adds up its own part of the normal matrix, so rows don't grow with the points; the system, whose
-    side is the number of coefficients, is solved in one group for all epochs.
+    Conjugate gradients without a matrix: an iteration is one pass over the points, in which every batch synthesises the search
+    directions of all epochs at its points and sums them back, weighed by area. The iterates, coefficients times
+    epochs, are what the driver holds; a task adds as many sums, and no row is made for a point and a coefficient.
+    A point without a value in an epoch counts as 0 there. Stops where the residual has fallen by tolerance, or fails.
     """
     keys = [(n, m, t) for n in range(min_degree, max_degree + 1) for m in range(n + 1) for t in (0, 1) if m or not t]
-
-    def run(batches):
-        for batch in batches:
-            lon, lat, area = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "area"))
-            p = legendre_columns(max_degree, np.pi / 2 - lat)
-            a = np.stack([p[n, m] * (np.sin(m * lon) if t else np.cos(m * lon)) for n, m, t in keys])
-            i, j = np.indices((len(keys),) * 2).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(((a * area) @ a.T).ravel())], names=["i", "j", "v"])
-
-    parts = points.select(*[F.col(c).cast("double") for c in ("lon", "lat", "area")]).mapInArrow(run, "i long, j long, v double")
-    normals = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).withColumn("sys_id", F.lit(0))
-    index = values.sparkSession.createDataFrame([(k, *key) for k, key in enumerate(keys)], "i long, n int, m int, trig int")
-    weighed = basis_matrix(points, max_degree).join(points.select("point_id", "area"), "point_id").withColumn("pv", F.col("v") * F.col("area"))
-    right = values.join(weighed, "point_id").groupBy("epoch", "n", "m", "trig").agg(F.sum(F.col("pv") * F.col("value")).alias("rhs"))
-    solved = inverse(normals, ["sys_id"]).join(index.withColumnRenamed("i", "j").withColumnsRenamed({c: f"{c}_" for c in ("n", "m", "trig")}), "j")
-    right = right.withColumnsRenamed({c: f"{c}_" for c in ("n", "m", "trig")})
-    summed = solved.join(right, ["n_", "m_", "trig_"]).groupBy("epoch", "i").agg(F.sum(F.col("v") * F.col("rhs")).alias("value"))
-    return summed.join(index, "i").select("epoch", "n", "m", "trig", "value")
+    epochs = [r["epoch"] for r in values.select("epoch").distinct().sort("epoch").collect()]  # a date a field
+    spark, kind = values.sparkSession, values.schema["epoch"].dataType.simpleString()
+    at = spark.createDataFrame(list(enumerate(epochs)), f"e int, epoch {kind}")
+    packed = values.where("value is not null").join(at, "epoch").groupBy("point_id").agg(F.map_from_entries(F.collect_list(F.struct("e", F.col("value").cast("double")))).alias("found"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(max(len(epochs) - 1, 0))), lambda e: F.coalesce(F.col("found")[e], F.lit(0.0)))
+    rows = stored(points.select("point_id", *[F.col(c).cast("double") for c in ("lon", "lat", "area")]).join(packed, "point_id").select("lon", "lat", "area", filled.alias("held")))
+    shape = (len(keys), len(epochs))
+
+    def summed(direction: np.ndarray | None) -> np.ndarray:
+        """A' W A times the direction, or A' W times the values."""
+
+        def run(batches):
+            total = np.zeros(shape)
+            for batch in batches:
+                lon, lat, area = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "area"))
+                p = legendre_columns(max_degree, np.pi / 2 - lat)
+                a = np.stack([p[n, m] * (np.sin(m * lon) if t else np.cos(m * lon)) for n, m, t in keys])
+                held = batch.column("held").flatten().to_numpy(zero_copy_only=False).reshape(len(lon), -1) if direction is None else a.T @ direction
+                total += a @ (area[:, None] * held)
+            k, e = np.indices(shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(e), pa.array(total.ravel())], names=["k", "e", "v"])
+
+        out = np.zeros(shape)
+        for r in rows.mapInArrow(run, "k long, e long, v double").groupBy("k", "e").agg(F.sum("v").alias("v")).toLocalIterator():
+            out[r["k"], r["e"]] = r["v"]
+        return out
+
+    x, residual = np.zeros(shape), summed(None) if epochs else np.zeros(shape)
+    direction, size = residual, (residual**2).sum(axis=0)
+    goal, turn = tolerance**2 * size, 0
+    while (size > goal).any():
+        if turn == most:
+            raise ValueError("the points don't determine the coefficients")
+        product = summed(direction)
+        curvature = (direction * product).sum(axis=0)
+        step = np.divide(size, curvature, out=np.zeros_like(size), where=(curvature > 0) & (size > goal))
+        x, residual = x + step * direction, residual - step * product
+        before, size = size, (residual**2).sum(axis=0)
+        direction, turn = residual + np.divide(size, before, out=np.zeros_like(size), where=before > 0) * direction, turn + 1
+    found = [(epochs[e], *key, float(x[k, e])) for k, key in enumerate(keys) for e in range(len(epochs))]
+    return spark.createDataFrame(found, f"epoch {kind}, n int, m int, trig int, value double")

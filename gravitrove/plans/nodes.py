@@ -45,12 +45,12 @@ def prj08_triangle(spark, sf):
     return rounded(found, **{c: 12 for c in found.columns if c not in ("epoch", "n")})
 
 
-@query(f"WITH {COEF}, e AS (SELECT DISTINCT epoch FROM f_coef), k AS (SELECT DISTINCT n, m, trig FROM f_coef WHERE n <= 3) SELECT epoch, n, m, trig, round(coalesce(value, 0e0), 9) AS value FROM e CROSS JOIN k LEFT JOIN f_coef USING (epoch, n, m, trig)")
+@query(f"WITH {COEF}, e AS (SELECT DISTINCT epoch FROM f_coef), k AS (SELECT DISTINCT n, m, trig FROM f_coef) SELECT epoch, n, m, trig, round(coalesce(value, 0e0), 9) AS value FROM e CROSS JOIN k LEFT JOIN f_coef USING (epoch, n, m, trig)")
 def syn04_scattered_analysis(spark, sf):
-    """Values of a field of degree 3 at a spiral's points give that field back."""
-    field = rel.coefficients(spark, sf).where("n <= 3")
+    """Values of the whole field at a spiral's points give that field back."""
+    field = rel.coefficients(spark, sf)
     points = grids.spiral_grid(spark, 1.5e6, "geocentric", f=0.0)
-    found = synthesis.analyse_scattered(synthesis.synthesise(field, points, 3), points, 3)
+    found = synthesis.analyse_scattered(synthesis.synthesise(field, points, 8), points, 8)
     return found.withColumn("value", F.round("value", 9) + 0.0)
 
 
@@ -80,6 +80,16 @@ def sort08_singular_values(spark, sf):
     return product.select("i", F.col("j").cast("int").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
 
 
+@query(f"WITH {MAT}, nn AS (SELECT x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM f_mat x JOIN f_mat y ON x.i = y.i GROUP BY 1, 2), n2 AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM nn x JOIN nn y ON x.j = y.i GROUP BY 1, 2) SELECT 2 AS power, round(sum(v), 6) AS total FROM nn WHERE i = j UNION ALL SELECT 4, round(sum(v * v), 4) FROM nn UNION ALL SELECT 6, round(sum(nn.v * n2.v), 2) FROM nn JOIN n2 USING (i, j) UNION ALL SELECT 8, round(sum(v * v) / 1e3, 2) FROM n2")
+def sort08_powers_of_singular_values(spark, sf):
+    """Sums of powers of the singular values, which are traces of powers of A'A."""
+    values = matrices.truncated_svd(rel.matrix(spark, sf), 64)[0].select((F.col("sigma") * F.col("sigma")).alias("s"))
+    totals = values.select(F.explode(F.array(*[F.struct(F.lit(k).alias("power"), F.pow("s", F.lit(k / 2)).alias("t")) for k in (2, 4, 6, 8)])).alias("x")).groupBy("x.power").agg(F.sum("x.t").alias("t"))
+    scaled = F.when(F.col("power") == 8, F.col("t") / 1e3).otherwise(F.col("t"))
+    digits = {2: 6, 4: 4, 6: 2, 8: 2}
+    return totals.select("power", F.coalesce(*[F.when(F.col("power") == k, F.round(scaled, d)) for k, d in digits.items()]).alias("total"))
+
+
 @query(f"WITH RECURSIVE {POINT}, {LEG} SELECT point_id, n, m, round(p, 9) AS p FROM f_leg WHERE m = 3")
 def fn02_one_order(spark, sf):
     points = rel.points(spark, sf).withColumn("colat", F.lit(math.pi / 2) - F.col("lat"))
