@@ -105,6 +105,21 @@ def propagate(covariance: DataFrame, points: DataFrame, max_degree: int) -> Data
     return half.join(other, ["point_id", "n2", "m2", "trig2"]).groupBy("point_id").agg(F.sqrt(F.sum(F.col("cu") * F.col("w"))).alias("sigma"))
 
 
+def propagate_grid(covariance: DataFrame, points: DataFrame, max_degree: int) -> DataFrame:
+    """As propagate, for points on common parallels: along one, the variance is a Fourier series of pairs of orders.
+
+    Degrees meet parallels, never points: a parallel is one row of (2 max_degree + 1)^2 sums, in which its points evaluate their waves.
+    """
+    p = _parallels(points, max_degree)
+    half = p.join(covariance, ["n", "m"]).groupBy("lat", "m", "trig", "n2", "m2", "trig2").agg(F.sum(F.col("p") * F.col("v")).alias("half"))
+    other = p.select("lat", F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("p").alias("q"))
+    sums = half.join(other, ["lat", "n2", "m2"]).groupBy("lat", "m", "trig", "m2", "trig2").agg(F.sum(F.col("half") * F.col("q")).alias("v"))
+    rows = sums.groupBy("lat").agg(F.collect_list(F.struct("m", "trig", "m2", "trig2", "v")).alias("pairs"))
+    wave = lambda m, t: F.when(t == 0, F.cos(m * F.col("lon"))).otherwise(F.sin(m * F.col("lon")))
+    variance = F.aggregate("pairs", F.lit(0.0), lambda done, x: done + x["v"] * wave(x["m"], x["trig"]) * wave(x["m2"], x["trig2"]))
+    return points.select("point_id", "lon", "lat").join(rows, "lat").select("point_id", F.sqrt(F.greatest(F.lit(0.0), variance)).alias("sigma"))
+
+
 def gradient_fields(field: DataFrame) -> dict[str, DataFrame]:
     """Fields whose synthesis, to the power n + 1 of the radius ratio and times GM / R^2, is the gradient along x, y and z.
 
