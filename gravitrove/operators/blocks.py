@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 BLOCK = "r long, c long, data binary"
 
 
@@ -59,9 +61,13 @@ def to_entries(blocks: DataFrame, side: int) -> DataFrame:
     return blocks.mapInPandas(run, "i long, j long, v double")
 
 
-def _less_products(blocks: DataFrame, left: DataFrame, right: DataFrame, side: int, transpose: tuple[bool, bool]) -> DataFrame:
-    """blocks less the product of each left block (r, a) with each right block (c, b), either transposed."""
-    pairs = left.join(right, "k").select("r", "c", "a", "b")
+def _less_products(blocks: DataFrame, left: DataFrame, right: DataFrame, columns: list[int], side: int, transpose: tuple[bool, bool], lower: bool = False) -> DataFrame:
+    """blocks less the product of each left block (r, a) with each right block (c, b) of the columns named, either transposed.
+
+    A left block is dealt to the columns it meets (lower: those up to its row), so that the join is on equal keys.
+    """
+    dealt = left.withColumn("c", F.explode(F.array(*[F.lit(c).cast("long") for c in columns]))) if columns else left.withColumn("c", F.lit(0).cast("long")).limit(0)
+    pairs = (dealt.where("r >= c") if lower else dealt).join(right, "c").select("r", "c", "a", "b")
 
     def change(x):
         a, b = (_read(x[n], side).T if t else _read(x[n], side) for n, t in zip("ab", transpose))
@@ -76,26 +82,28 @@ def _less_products(blocks: DataFrame, left: DataFrame, right: DataFrame, side: i
 
 def cholesky(blocks: DataFrame, side: int) -> DataFrame:
     """The lower factor L of a symmetric positive definite matrix LL', block column by block column."""
-    rest = blocks.where("r >= c").checkpoint()
+    rest = stored(blocks.where("r >= c"))
     done = None
-    for k in [x.r for x in rest.where("r = c").select("r").sort("r").collect()]:  # one number a block column
+    numbers = [x.r for x in rest.where("r = c").select("r").sort("r").collect()]  # one a block column
+    for k in numbers:
         head = rest.where((F.col("r") == k) & (F.col("c") == k)).select("c", F.col("data").alias("head"))
 
         def factor(x):
             lower = np.linalg.cholesky(_read(x["head"], side))
             return lower if x["r"] == x["c"] else np.linalg.solve(lower, _read(x["data"], side).T).T
 
-        column = _map(rest.where(F.col("c") == k).join(head, "c"), factor).checkpoint()
+        column = stored(_map(rest.where(F.col("c") == k).join(head, "c"), factor))
         done = column if done is None else done.unionByName(column)
-        below = column.where(F.col("r") > k).withColumn("k", F.lit(k))
-        left, right = below.select("k", "r", F.col("data").alias("a")), below.select("k", F.col("r").alias("c"), F.col("data").alias("b"))
-        rest = _less_products(rest.where(F.col("c") > k), left, right, side, (False, True)).where("r >= c").checkpoint()
+        below = column.where(F.col("r") > k)
+        left, right = below.select("r", F.col("data").alias("a")), below.select(F.col("r").alias("c"), F.col("data").alias("b"))
+        rest = stored(_less_products(rest.where(F.col("c") > k), left, right, [x for x in numbers if x > k], side, (False, True), lower=True))
     return rest.limit(0) if done is None else done
 
 
 def solve_lower(lower: DataFrame, right: DataFrame, side: int, transpose: bool = False) -> DataFrame:
     """X of LX = B or L'X = B for blocks of L and B."""
     rest, done = right, None
+    columns = [x.c for x in right.select("c").distinct().collect()]  # one a block column
     for k in [x.r for x in lower.where("r = c").select("r").sort("r", ascending=not transpose).collect()]:
         head = lower.where((F.col("r") == k) & (F.col("c") == k)).select("r", F.col("data").alias("head"))
 
@@ -103,11 +111,11 @@ def solve_lower(lower: DataFrame, right: DataFrame, side: int, transpose: bool =
             block = _read(x["head"], side)
             return np.linalg.solve(block.T if transpose else block, _read(x["data"], side))
 
-        row = _map(rest.where(F.col("r") == k).join(head, "r"), substituted).checkpoint()
+        row = stored(_map(rest.where(F.col("r") == k).join(head, "r"), substituted))
         done = row if done is None else done.unionByName(row)
         near, far = ("r", "c") if transpose else ("c", "r")
-        left = lower.where((F.col(near) == k) & (F.col("r") != F.col("c"))).select(F.lit(k).alias("k"), F.col(far).alias("r"), F.col("data").alias("a"))
-        rest = _less_products(rest.where(F.col("r") != k), left, row.select(F.lit(k).alias("k"), "c", F.col("data").alias("b")), side, (transpose, False)).checkpoint()
+        left = lower.where((F.col(near) == k) & (F.col("r") != F.col("c"))).select(F.col(far).alias("r"), F.col("data").alias("a"))
+        rest = stored(_less_products(rest.where(F.col("r") != k), left, row.select("c", F.col("data").alias("b")), columns, side, (transpose, False)))
     return right.limit(0) if done is None else done
 
 

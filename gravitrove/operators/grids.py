@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import FLATTENING, A, mapped_latitude, spherical_distance
+from .storage import stored
 
 
 def geographic_grid(spark: SparkSession, dlon: float, dlat: float) -> DataFrame:
@@ -93,9 +94,9 @@ def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
         if size >= 2:  # the cubes next to any point hold the whole sphere
             found.append(near)
             break
-        near = near.where(2 * F.sin(F.col("psi") / 2) <= size)
+        near = stored(near.where(2 * F.sin(F.col("psi") / 2) <= size))
         found.append(near)
-        open_ = open_.join(near, "point_id", "left_anti")
+        open_ = stored(open_.join(near, "point_id", "left_anti"))
         if open_.isEmpty():
             break
         size = min(2.0, 2 * size)

@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def bin_to_centres(series: DataFrame, by: list[str], start: float, step: float, count: int, reduce: Column) -> DataFrame:
     """Each row goes to the nearest of count equally spaced centres, halfway to the later one; reduce is the aggregate."""
@@ -152,6 +155,65 @@ def spectrum(series: DataFrame, by: list[str], step: float, length: int = 256, w
     return sums.select(*by, (F.col("_k") / (length * step)).alias("frequency"), (F.expr("x * x * cc + 2 * x * y * cs + y * y * ss") / step * math.sqrt(2)).alias("psd"))
 
 
+def segments(series: DataFrame, by: list[str], step: float, length: int) -> DataFrame:
+    """Rows (by, segment, values): runs of at most `length` values whose gaps are no longer than one and a half steps."""
+    line = W.partitionBy(*by).orderBy("mjd")
+    opened = series.withColumn("_gap", F.coalesce((F.col("mjd") - F.lag("mjd").over(line) > 1.5 * step).cast("int"), F.lit(0)))
+    runs = opened.withColumn("_run", F.sum("_gap").over(line))
+    placed = runs.withColumn("_place", F.row_number().over(W.partitionBy(*by, "_run").orderBy("mjd")) - 1)
+    cut = placed.withColumn("_part", F.floor(F.col("_place") / length))
+    held = F.array_sort(F.collect_list(F.struct("_place", F.col("value").cast("double").alias("value"))))
+    return cut.groupBy(*by, "_run", "_part").agg(F.transform(held, lambda x: x["value"]).alias("values")).select(*by, F.struct("_run", "_part").alias("segment"), "values")
+
+
+def component_spectrum(series: DataFrame, by: list[str], step: float, length: int = 256, variance: float = 1.0, iterations: int = 5) -> DataFrame:
+    """Power of each series by variance components of the lines of a cosine transform: rows (by, frequency, psd).
+
+    The covariance of two values k steps apart is the transform of the components. In every iteration each segment
+    is weighed by the inverse of its Toeplitz matrix, and adds, for each lag, the products of its weighed residuals and the
+    sums of the inverse's diagonals; their transforms give a factor for each component. An iteration is one pass over the
+    segments, and what the driver holds is `length` components a series. Segments of one value count for nothing.
+    """
+    held = stored(segments(series, by, step, length).where(F.size("values") > 1))
+    n = held.agg(F.max(F.size("values"))).first()[0]
+    schema = held.select(*by).schema.add("frequency", "double").add("psd", "double")
+    if n is None:
+        return held.sparkSession.createDataFrame([], schema)
+    i, j = np.indices((n, n))
+    transform = 2 * np.cos(np.pi * i * j / (n - 1)) / np.sqrt(2 * (n - 1))
+    transform[:, [0, -1]] /= 2
+    start = transform[:, 0] * variance
+    components = {tuple(r): start.copy() for r in held.select(*by).distinct().collect()}  # a row a series
+    for _ in range(iterations):
+        lags = {k: transform @ v for k, v in components.items()}
+
+        def run(batches):
+            sums, inverses = {}, {}
+            for batch in batches:
+                for *key, values in batch[[*by, "values"]].itertuples(index=False):
+                    key, m = tuple(key), len(values)
+                    if (key, m) not in inverses:
+                        inverse = np.linalg.inv(lags[key][np.abs(np.subtract.outer(np.arange(m), np.arange(m)))])
+                        inverses[key, m] = inverse, np.array([inverse.trace(k) for k in range(m)])
+                    inverse, traces = inverses[key, m]
+                    e = inverse @ values
+                    found = sums.setdefault(key, np.zeros((2, n)))
+                    found[0, :m] += np.correlate(e, e, "full")[m - 1 :]
+                    found[1, :m] += traces
+            for key, (squares, redundancy) in sums.items():
+                yield pd.DataFrame({**dict(zip(by, key)), "lag": np.arange(n), "squares": squares, "redundancy": redundancy})
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.select(*by).schema)
+        rows = held.mapInPandas(run, f"{kinds}, lag int, squares double, redundancy double").groupBy(*by, "lag").agg(F.sum("squares"), F.sum("redundancy")).collect()
+        totals = {k: np.zeros((2, n)) for k in components}
+        for r in rows:
+            totals[tuple(r[: len(by)])][:, r["lag"]] = np.array(r[len(by) + 1 :]) * (1 if r["lag"] == 0 else 2)
+        components = {k: v * (totals[k][0] @ transform) / (totals[k][1] @ transform) for k, v in components.items()}
+    frequency = np.linspace(0, 0.5 / step, n)
+    rows = [(*k, float(f), float(p * step * np.sqrt(2 * (n - 1)))) for k, v in components.items() for f, p in zip(frequency, v)]
+    return held.sparkSession.createDataFrame(rows, schema)
+
+
 def bins_with_gaps(series: DataFrame, by: list[str], start: float, step: float, count: int, no_data: float = float("nan")) -> DataFrame:
     """Means about every centre; empty ones get no_data."""
     means = bin_to_centres(series, by, start, step, count, F.avg("value").alias("mean"))

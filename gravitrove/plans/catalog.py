@@ -2,4 +2,4 @@
 
 from .queries import syn01_synthesis  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import cells, geometry, kernels, nodes, ocean, regions, systems  # noqa: F401, isort: skip
+from . import cells, files, geometry, kernels, nodes, ocean, regions, systems  # noqa: F401, isort: skip

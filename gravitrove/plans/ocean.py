@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, harmonics, kernels
-from ..operators import autoregression, elimination, filters, grids, transport
+from ..operators import autoregression, elimination, filters, grids, series, transport
 from . import relations as rel
 from .geometry import LEGENDRE
 from .queries import GAUSS, POINT, SERIES
@@ -97,6 +97,15 @@ def lsq14_lagged_covariances(spark, sf):
     return rounded(autoregression.lagged_covariances(daily, 2), v=6)
 
 
+@query()
+def win09_component_spectrum(spark, sf):
+    """Hourly means of each type of event about the type's mean, in segments of at most sixteen hours."""
+    hourly = rel.series(spark, sf).groupBy("event_type", F.floor(F.col("mjd") * 24).alias("hour")).agg(F.avg("value").alias("x"))
+    mean = hourly.groupBy("event_type").agg(F.avg("x").alias("mean"))
+    rows = hourly.join(mean, "event_type").select("event_type", F.col("hour").cast("double").alias("mjd"), (F.col("x") - F.col("mean")).alias("value"))
+    return series.component_spectrum(rows, ["event_type"], 1.0, 16, iterations=3)
+
+
 YULE = f"""{SERIES}, day AS (SELECT CAST(floor(mjd) AS BIGINT) AS t, avg(value) AS x FROM f_series GROUP BY 1), x AS (SELECT t - (SELECT min(t) FROM day) AS t, x - (SELECT avg(x) FROM day) AS x FROM day),
 cov AS (SELECT avg(CASE WHEN l = 0 THEN p END) AS c0, avg(CASE WHEN l = 1 THEN p END) AS c1, avg(CASE WHEN l = 2 THEN p END) AS c2 FROM (SELECT a.x * b.x AS p, a.t - b.t AS l FROM x a JOIN x b ON a.t - b.t BETWEEN 0 AND 2) p),
 ar AS (SELECT *, c1 / c0 AS p1, c0 - c1 * c1 / c0 AS q1, c1 * (c0 - c2) / (c0 * c0 - c1 * c1) AS b1, (c0 * c2 - c1 * c1) / (c0 * c0 - c1 * c1) AS b2 FROM cov),

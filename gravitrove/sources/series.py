@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import io
 import tarfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Names of blocks of coefficients, and of symmetric matrices.
+VECTORS = ("SOLUTION/ESTIMATE", "SOLUTION/APRIORI", "SOLUTION/NORMAL_EQUATION_VECTOR")
+MATRICES = ("SOLUTION/NORMAL_EQUATION_MATRIX", "SOLUTION/MATRIX_ESTIMATE", "SOLUTION/MATRIX_APRIORI")
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, line, value): whole files, so that lines keep their order; a file must fit a task."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    """Rows (path, line, value); line, a struct (split, row), orders the lines of a file.
+
+    Spark cuts a large file into ranges of bytes that are read side by side: the range's first byte and the number of the row
+    within the reading task put the lines in order, so no file has to fit a task.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
 def _words(value: str = "value") -> Column:
@@ -87,26 +97,56 @@ def monthly_header(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sinex_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, line, block, value) of the lines within blocks; comments are left out."""
-    from pyspark.sql import Window as W
+    """Rows (path, line, block, value) of the lines within blocks, whatever their names; comments are left out.
 
-    lines = numbered_lines(spark, path)
-    order = W.partitionBy("path").orderBy("line")
+    The block is that of the last mark before a line: of its own range of bytes, or else of the ranges before, a row each.
+    """
+    lines = numbered_lines(spark, path).withColumn("split", F.col("line.split"))
     mark = F.when(F.col("value").rlike(r"^\+"), F.trim(F.expr("substring(value, 2)"))).when(F.col("value").rlike("^-"), "")
-    placed = lines.withColumn("block", F.last(mark, ignorenulls=True).over(order))
-    return placed.where(~F.col("value").rlike(r"^[-+*%]") & (F.col("block") != ""))
+    marked = lines.withColumn("_mark", mark)
+    last = marked.groupBy("path", "split").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("line"))).alias("_last"))
+    before = last.select("path", "split", F.last("_last", ignorenulls=True).over(W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    own = F.last("_mark", ignorenulls=True).over(W.partitionBy("path", "split").orderBy("line"))
+    placed = marked.withColumn("_own", own).join(before, ["path", "split"]).withColumn("block", F.coalesce("_own", "_before"))
+    return placed.where(~F.col("value").rlike(r"^[-+*%]") & (F.col("block") != "")).select("path", "line", "block", "value")
+
+
+def sinex_epoch(text) -> Column:
+    """Timestamps of yy:ddd:sssss, or with four digits of the year; two digits up to 50 are of this century. 00:000:00000 is null."""
+    year, day, second = (F.regexp_extract(text, r"^\s*(\d{2}|\d{4}):(\d{3}):(\d{1,5})\s*$", k) for k in (1, 2, 3))
+    number = year.try_cast("int")
+    whole = F.when(F.length(year) == 4, number).when(number <= 50, number + 2000).otherwise(number + 1900)
+    start = F.unix_micros(F.to_timestamp(F.make_date(whole, F.lit(1), F.lit(1))))
+    made = F.timestamp_micros(start + ((day.try_cast("long") - 1) * 86400 + second.try_cast("long")) * 1_000_000)
+    return F.when(day.try_cast("int") > 0, made.cast("timestamp_ntz"))
+
+
+def sinex_blocks(lines: DataFrame) -> DataFrame:
+    """Rows (path, block, kind, lines): what each block holds, vector, matrix, statistics or other; others are kept as lines."""
+    name = F.split("block", " ")[0]
+    kind = F.when(name.isin(*VECTORS), "vector").when(name.isin(*MATRICES), "matrix").when(name == "SOLUTION/STATISTICS", "statistics").otherwise("other")
+    return lines.groupBy("path", "block").agg(F.count("*").alias("lines")).select("path", "block", kind.alias("kind"), "lines")
+
+
+def read_sinex(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Everything of the files: rows of vectors and matrices with their block, of statistics, and the lines of all other blocks."""
+    lines = sinex_lines(spark, path)
+    name = F.split("block", " ")[0]
+    vectors = reduce(DataFrame.unionByName, [sinex_vector(lines, b).withColumn("block", F.lit(b)) for b in VECTORS])
+    matrices = reduce(DataFrame.unionByName, [sinex_matrix(lines, b).withColumn("block", F.lit(b)) for b in MATRICES])
+    return {"vectors": vectors, "matrices": matrices, "statistics": sinex_statistics(lines), "other": lines.where(~name.isin(*VECTORS, *MATRICES, "SOLUTION/STATISTICS"))}
 
 
 def sinex_vector(lines: DataFrame, block: str) -> DataFrame:
-    """Rows (path, i, n, m, trig, value, sigma) of a block of coefficients, by its fixed columns."""
+    """Rows (path, i, n, m, trig, value, sigma, epoch) of a block of coefficients, by its fixed columns."""
     cut = lambda a, b: F.trim(F.substring("value", a + 1, b - a))
-    rows = lines.where(F.col("block").startswith(block))
-    return rows.select("path", (cut(1, 6).cast("long") - 1).alias("i"), cut(14, 18).cast("int").alias("n"), cut(22, 26).cast("int").alias("m"), F.when(cut(7, 13) == "SN", 1).otherwise(0).alias("trig"), _number(cut(47, 68)).alias("x"), _number(cut(69, 80)).alias("sigma")).withColumnRenamed("x", "value")
+    rows = lines.where(F.split("block", " ")[0] == block)
+    return rows.select("path", (cut(1, 6).cast("long") - 1).alias("i"), cut(14, 18).cast("int").alias("n"), cut(22, 26).cast("int").alias("m"), F.when(cut(7, 13) == "SN", 1).otherwise(0).alias("trig"), _number(cut(47, 68)).alias("x"), _number(cut(69, 80)).alias("sigma"), sinex_epoch(cut(27, 39)).alias("epoch")).withColumnRenamed("x", "value")
 
 
 def sinex_matrix(lines: DataFrame, block: str) -> DataFrame:
     """Rows (path, i, j, v) of a symmetric block, both triangles, whichever the file has."""
-    rows = lines.where(F.col("block").startswith(block)).select("path", _words().alias("w"))
+    rows = lines.where(F.split("block", " ")[0] == block).select("path", _words().alias("w"))
     entries = rows.select("path", (F.col("w")[0].cast("long") - 1).alias("i"), F.col("w")[1].cast("long").alias("first"), F.posexplode(F.slice("w", 3, 3)).alias("k", "x"))
     one = entries.select("path", "i", (F.col("first") + F.col("k") - 1).alias("j"), _number("x").alias("v"))
     return one.unionByName(one.where("i != j").select("path", F.col("j").alias("i"), F.col("i").alias("j"), "v")).dropDuplicates(["path", "i", "j"])
