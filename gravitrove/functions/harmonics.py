@@ -59,16 +59,24 @@ def legendre_polynomials(t: Column, max_degree: int) -> Column:
     return F.transform(plain, lambda x: F.struct(x["n"].alias("n"), *[(x[c] * F.sqrt(2 * x["n"] + 1)).alias(c) for c in ("p", "d1", "d2")]))
 
 
-def legendre_sum(coefficients: Column, t: Column) -> Column:
-    """Sum of an array's entries times the normalised polynomials of degrees 0, 1, ..., by the backward recursion."""
+def legendre_sum(coefficients: Column, t: Column, derivative: int = 0) -> Column:
+    """Sum of an array's entries times the normalised polynomials of degrees 0, 1, ..., by the backward recursion.
+
+    derivative 1 or 2: of the sum by t, by the same recursion differentiated.
+    """
+    if derivative not in (0, 1, 2):
+        raise ValueError("the derivative is 0, 1 or 2")
     pairs = F.reverse(F.transform(coefficients, lambda c, n: F.struct(n.cast("double").alias("n"), (c * F.sqrt(2 * n + 1)).alias("c"))))
-    zero = F.struct(F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"))
+    orders = range(derivative + 1)
+    zero = F.struct(*[F.lit(0.0).alias(f"{b}{k}") for k in orders for b in ("one", "two")])
 
     def step(b, x):
         n = x["n"]
-        return F.struct((x["c"] + (2 * n + 1) / (n + 1) * t * b["b1"] - (n + 1) / (n + 2) * b["b2"]).alias("b1"), b["b1"].alias("b2"))
+        up, down = (2 * n + 1) / (n + 1), (n + 1) / (n + 2)
+        new = [up * (t * b[f"one{k}"] + (k * b[f"one{k - 1}"] if k else 0.0)) - down * b[f"two{k}"] for k in orders]
+        return F.struct(*[v for k in orders for v in ((new[k] + (x["c"] if k == 0 else 0.0)).alias(f"one{k}"), b[f"one{k}"].alias(f"two{k}"))])
 
-    return F.aggregate(pairs, zero, step, lambda b: b["b1"])
+    return F.aggregate(pairs, zero, step, lambda b: b[f"one{derivative}"])
 
 
 def matern_variances(sigma: float, alpha: float, nu: float, max_degree: int, min_degree: int = 2) -> list[float]:

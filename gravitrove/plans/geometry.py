@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -29,6 +30,13 @@ def fn04_legendre_sum(spark, sf):
     return rel.points(spark, sf).select("point_id", F.round(harmonics.legendre_sum(factors, F.sin("lat")), 9).alias("value"))
 
 
+@query(f"WITH RECURSIVE {POINT}, {LEGENDRE} SELECT point_id, round(sum(d * sqrt(2e0 * n + 1) / (n + 1e0)), 8) AS first, round(sum(dd * sqrt(2e0 * n + 1) / (n + 1e0)), 6) AS second FROM leg GROUP BY 1")
+def fn04_legendre_sum_derivatives(spark, sf):
+    factors = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda n: 1.0 / (n + 1.0))
+    sums = [F.round(harmonics.legendre_sum(factors, F.sin("lat"), k), d).alias(c) for k, d, c in ((1, 8, "first"), (2, 6, "second"))]
+    return rel.points(spark, sf).select("point_id", *sums)
+
+
 @query(f"WITH RECURSIVE {POINT}, {LEGENDRE} SELECT point_id, round(sum(4e0 / pow(25e-2 + n * n, 2e0) * (2 * n + 1) * sqrt(2e0 * n + 1) * p), 8) AS covariance FROM leg WHERE n >= 2 GROUP BY 1")
 def fn22_legendre_matern(spark, sf):
     factors = F.array(*map(F.lit, harmonics.matern_variances(2.0, 0.5, 1.5, 8)))
@@ -93,6 +101,18 @@ def gen01_gen02_gen03_gen04_epochs(spark, sf):
     return rows
 
 
+@query("""WITH b AS (SELECT min(ts) AS a, max(ts) AS z FROM events), s AS (SELECT min(l_shipdate) AS a, max(l_shipdate) AS z FROM lineitem), y AS (SELECT unnest(range(year(a), year(z) + 1)) AS y, z FROM s),
+m AS (SELECT unnest(generate_series(date_trunc('month', a), date_trunc('month', z), INTERVAL 1 MONTH)) AS d, z FROM s)
+SELECT 'step' AS kind, CAST(a + k * INTERVAL 7 HOUR AS TIMESTAMP) AS epoch FROM b, range(200) t(k) WHERE a + k * INTERVAL 7 HOUR < z UNION ALL SELECT 'day', CAST(d AS TIMESTAMP) FROM (SELECT unnest(generate_series(date_trunc('day', a), date_trunc('day', z), INTERVAL 1 DAY)) AS d, z FROM b) x WHERE d < z
+UNION ALL SELECT 'month', CAST(d AS TIMESTAMP) FROM m WHERE d < z UNION ALL SELECT 'year', CAST(make_date(CAST(y AS INT), 1, 1) AS TIMESTAMP) FROM y WHERE make_date(CAST(y AS INT), 1, 1) < z""")
+def gen01_gen02_gen03_gen04_epochs_of_the_tables(spark, sf):
+    """Every seven hours and every day of the events, every month and year of the shipments; the ends are not included."""
+    a, z = rel.table(spark, sf, "events").agg(F.min("ts"), F.max("ts")).first()
+    first, last = rel.table(spark, sf, "lineitem").agg(F.min("l_shipdate").cast("timestamp_ntz"), F.max("l_shipdate").cast("timestamp_ntz")).first()
+    made = {"step": dates.epochs(spark, a, z, dt.timedelta(hours=7)), "day": dates.days(spark, a, z), "month": dates.months(spark, first, last), "year": dates.years(spark, first, last)}
+    return reduce(lambda x, y: x.unionByName(y), [df.select(F.lit(k).alias("kind"), "epoch") for k, df in made.items()])
+
+
 @query("WITH r(i_lat, x, w) AS (VALUES (0, sqrt(3e0 / 7 + 2e0 / 7 * sqrt(12e-1)), (18 - sqrt(30e0)) / 36), (1, sqrt(3e0 / 7 - 2e0 / 7 * sqrt(12e-1)), (18 + sqrt(30e0)) / 36), (2, -sqrt(3e0 / 7 - 2e0 / 7 * sqrt(12e-1)), (18 + sqrt(30e0)) / 36), (3, -sqrt(3e0 / 7 + 2e0 / 7 * sqrt(12e-1)), (18 - sqrt(30e0)) / 36)) SELECT CAST(i_lat * 8 + k AS BIGINT) AS point_id, i_lat, CAST(k AS INT) AS i_lon, round(-pi() + pi() / 8 + k * pi() / 4, 11) AS lon, round(asin(x), 11) AS lat, round(w * pi() / 4, 11) AS area FROM r, range(8) t(k)")
 def gen06_gauss_grid(spark, sf):
     return rounded(grids.gauss_grid(spark, 4), lon=11, lat=11, area=11)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adjustment, elimination, fields, filters, grids, synthesis
 from . import relations as rel
-from .queries import COEF, LEG, MAT, POINT
+from .queries import COEF, LEG, MAT, POINT, SERIES
 from .registry import query, rounded
 
 SMALL = f"{MAT}, a AS (SELECT i % 4 AS sys_id, i, j, v FROM f_mat WHERE j < 63), nn AS (SELECT x.sys_id, x.j AS i, y.j AS j, sum(x.v * y.v) + CASE WHEN x.j = y.j THEN 1e0 ELSE 0e0 END AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2, 3), obs AS (SELECT i, v AS l FROM f_mat WHERE j = 63), rr AS (SELECT sys_id, j AS i, sum(v * l) AS rhs FROM a JOIN obs USING (i) GROUP BY 1, 2)"
@@ -51,6 +51,27 @@ def lsq06_inverse_times_normals(spark, sf):
     return product.select("sys_id", "i", F.col("j").cast("long").alias("j"), (F.round("v", 8) + 0.0).alias("v"))
 
 
+def _robust_sql(turns: int) -> str:
+    """Down-weighted least squares of values on one and time, an iteration a pair of tables."""
+    text = "d0 AS (SELECT event_id, mjd / 1e1 - 60324e-1 AS t, value AS y, 1e0 AS s FROM f_series)"
+    for k in range(turns + 1):
+        text += f""", n{k} AS (SELECT sum(1 / (s * s)) AS a, sum(t / (s * s)) AS b, sum(t * t / (s * s)) AS d, sum(y / (s * s)) AS e, sum(t * y / (s * s)) AS f, sum(y * y / (s * s)) AS g, count(*) AS n FROM d{k}),
+x{k} AS (SELECT *, (d * e - b * f) / (a * d - b * b) AS x0, (a * f - b * e) / (a * d - b * b) AS x1 FROM n{k})"""
+        if k < turns:
+            size = "abs(y - x0 - x1 * t) / sqrt(r) / sqrt((g - e * x0 - f * x1) / (n - 2))"
+            text += f""", r{k} AS (SELECT event_id, t, y, s, {size} AS z, r FROM (SELECT *, 1 - (d - 2 * t * b + t * t * a) / (a * d - b * b) / (s * s) AS r FROM d{k}, x{k}) q),
+d{k + 1} AS (SELECT event_id, t, y, CASE WHEN z > 25e-1 AND r > 1e-4 THEN pow(z / 25e-1, 15e-1) ELSE s END AS s FROM r{k})"""
+    return text
+
+
+@query(f"WITH {SERIES}, {_robust_sql(2)} SELECT event_id, round(x0 + x1 * t, 6) AS fitted, round(s, 6) AS sigma FROM d2, x2")
+def lsq13_robust_line(spark, sf):
+    """A line through all values, with outliers weighed down twice over: the fit and the sigma of each."""
+    rows = rel.series(spark, sf).select("event_id", F.lit(1.0).alias("one"), (F.col("mjd") / 10 - 6032.4).alias("t"), F.col("value").alias("y"))
+    x, _, weighed = adjustment.robust(rows, ["one", "t"], "y", iterations=2)
+    return weighed.select("event_id", F.round(x[0] + x[1] * F.col("t"), 6).alias("fitted"), F.round("sigma", 6).alias("sigma"))
+
+
 BAND = f"{MAT}, nn AS (SELECT x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM f_mat x JOIN f_mat y ON x.i = y.i AND y.j - x.j BETWEEN 0 AND 1 GROUP BY 1, 2), line AS (SELECT a.i AS k, a.v AS a, coalesce(b.v * 4e-1, 0e0) AS b FROM nn a LEFT JOIN nn b ON b.i = a.i AND b.j = a.i + 1 WHERE a.i = a.j)"
 
 
