@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators.storage import shared_folder
-from ..sources import fields, grids, series
+from ..sources import fields, grids, mascons, series
 from . import relations as rel
-from .queries import COEF, POINT
+from .queries import COEF, MAT, OTHER, POINT
 from .registry import query, rounded
 from .systems import SMALL, _systems
 
@@ -91,3 +92,63 @@ def src18_src19_saved_grid(spark, sf):
     path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     grids.save_grid(rel.points(spark, sf), path)
     return rounded(grids.load_grid(spark, path), lon=12, lat=12)
+
+
+def _staged(df) -> str:
+    path = f"{shared_folder(df.sparkSession)}/files-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+GRIDDED = "g AS (SELECT CAST(floor(user_id % 10) AS INT) AS step, 15e0 + 30 * (user_id % 12) AS lon, -75e0 + 30 * (event_id % 6) AS lat, sum(value) AS lwe FROM events GROUP BY 1, 2, 3)"
+
+
+def _gridded(spark, sf) -> str:
+    """Sums of events' values on a grid of 30 degrees, in steps of a day and a quarter, staged like a delivered file."""
+    e = rel.table(spark, sf, "events")
+    rows = e.groupBy((F.col("user_id") % 10).cast("int").alias("step"), (15.0 + 30 * (F.col("user_id") % 12)).alias("lon"), (-75.0 + 30 * (F.col("event_id") % 6)).alias("lat")).agg(F.sum("value").alias("lwe_thickness"))
+    return _staged(rows.withColumn("time", 1.25 * F.col("step")).drop("step"))
+
+
+@query(f"WITH {GRIDDED} SELECT TIMESTAMP '2002-01-01' + step * INTERVAL 30 HOUR AS epoch, round(radians(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END), 11) AS lon, round(radians(lat), 11) AS lat, round(lwe / 100, 8) AS value FROM g")
+def src16_gridded_mascons(spark, sf):
+    return rounded(mascons.read_mascon_grids(spark, _gridded(spark, sf)), lon=11, lat=11, value=8)
+
+
+@query(f"WITH {POINT}, {GRIDDED}, c AS (SELECT DISTINCT lon, lat FROM g), d AS (SELECT p.point_id, c.lon, c.lat, sin(p.lat * 9e-1) * sin(radians(c.lat)) + cos(p.lat * 9e-1) * cos(radians(c.lat)) * cos(radians(c.lon) - p.lon) AS s FROM f_point p, c), b AS (SELECT point_id, arg_max(lon, s) AS lon, arg_max(lat, s) AS lat FROM d GROUP BY 1) SELECT TIMESTAMP '2002-01-01' + step * INTERVAL 30 HOUR AS epoch, point_id, round(lwe / 100, 8) AS value FROM b JOIN g USING (lon, lat)")
+def src15_mascons_on_their_grid(spark, sf):
+    """The suppliers, drawn off the poles where all meridians are as near, as the points on which the delivered grid was estimated."""
+    points = rel.points(spark, sf).withColumn("lat", 0.9 * F.col("lat"))
+    return rounded(mascons.read_mascons_on_their_grid(spark, _gridded(spark, sf), points), value=8)
+
+
+@query(f"WITH {OTHER}, a AS (SELECT point_id, 1e3 + value AS area FROM f_other), t AS (SELECT sum(area) AS total FROM a), s AS (SELECT c_custkey AS point_id, CAST(o_orderkey % 7 AS INT) AS step, sum(o_totalprice) AS x FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) SELECT TIMESTAMP '2002-01-01' + step * INTERVAL 12 HOUR AS epoch, CAST(s.point_id AS BIGINT) AS point_id, round(lon, 10) AS lon, round(lat, 10) AS lat, round(area / total * 4 * pi(), 10) AS area, round(x / 100, 4) AS value FROM s JOIN f_other o ON o.point_id = s.point_id JOIN a ON a.point_id = s.point_id, t")
+def src17_mascon_solutions(spark, sf):
+    """Customers as mascons, their orders' totals by a number of seven as the steps of the solution."""
+    places = rel.points(spark, sf, "customer")
+    staged = places.select(F.col("point_id").alias("mascon"), F.degrees("lon").alias("lon_center"), F.degrees("lat").alias("lat_center"), (1000 + F.col("value")).alias("area_km2"))
+    orders = rel.table(spark, sf, "orders").join(places.select(F.col("point_id").alias("o_custkey")), "o_custkey")
+    solution = orders.groupBy(F.col("o_custkey").cast("long").alias("mascon"), (F.col("o_orderkey") % 7).cast("int").alias("step")).agg(F.sum("o_totalprice").alias("cmwe"))
+    times = spark.range(7).select(F.col("id").cast("int").alias("step"), (1 + F.col("id") / 2).alias("ref_days_middle"))
+    points, values = mascons.read_mascon_solutions(spark, _staged(staged), _staged(times), _staged(solution))
+    return rounded(values.join(points, "point_id").select("epoch", "point_id", "lon", "lat", "area", "value"), lon=10, lat=10, area=10, value=4)
+
+
+@query(f"WITH {MAT} SELECT CAST(i % 13 AS INT) AS m, CAST(CASE WHEN i % 13 > 0 THEN i % 2 ELSE 0 END AS INT) AS trig, CAST(i + i % 13 AS BIGINT) AS i, CAST(j + i % 13 AS BIGINT) AS j, v FROM f_mat")
+def src22_blocks_by_order(spark, sf):
+    """The embeddings dealt into arrays of thirteen orders."""
+    m = F.col("i") % 13
+    name = F.concat(F.lit("order"), m.cast("string"), F.when((m > 0) & (F.col("i") % 2 == 1), "_sin").otherwise("_cos"))
+    return mascons.read_order_blocks(spark, _staged(rel.matrix(spark, sf).select(name.alias("name"), F.col("i").alias("row"), F.col("j").alias("column"), F.col("v").alias("value"))))
+
+
+@query(f"""WITH {POINT}, r AS (SELECT point_id, lon, CAST(floor((pi() / 2 - lat) / (pi() / 60) + 5e-1) AS INT) AS i_lat FROM f_point),
+c AS (SELECT *, CASE WHEN i_lat IN (0, 60) THEN 1 ELSE CAST(floor(2 * pi() / acos((cos(pi() / 60) - pow(cos(i_lat * pi() / 60), 2)) / pow(sin(i_lat * pi() / 60), 2))) AS INT) END AS n FROM r),
+f AS (SELECT *, lon / (2 * pi() / n) - 15e-1 + 5e-1 AS x FROM c)
+SELECT i_lat, CAST(CASE WHEN n = 1 THEN 0 ELSE floor(x) - n * floor(floor(x) / n) END AS INT) AS i_lon, count(*) AS points FROM f GROUP BY 1, 2""")
+def gen12_points_in_reuter_mascons(spark, sf):
+    """How many suppliers lie in each of the rectangles; points and cells meet by rows of cells."""
+    cells = mascons.reuter_mascons(spark)
+    points = rel.points(spark, sf).withColumn("i_lat", F.floor((math.pi / 2 - F.col("lat")) / (math.pi / 60) + 0.5).cast("int")).select("i_lat", F.col("lon").alias("x"), "point_id")
+    turned = F.pmod(F.col("x") - F.col("west"), F.lit(2 * math.pi))
+    return cells.join(points, "i_lat").where(turned < F.col("east") - F.col("west")).groupBy("i_lat", "i_lon").agg(F.count("*").alias("points"))
