@@ -140,22 +140,22 @@ def stars(points: DataFrame) -> DataFrame:
 
 
 def neighbours(points: DataFrame, level: int = 1) -> DataFrame:
-    """Rows (point_id, neighbour_id, azimuth): the points at most `level` Voronoi cells away, azimuth clockwise from north.
+    """Rows (point_id, neighbour_id, level, azimuth): the points at most `level` Voronoi cells away, and how many; azimuth clockwise from north.
 
     Each further level is a join of the pairs so far with the neighbours of their ends.
     """
     if level < 1:
         raise ValueError("the level is at least 1")
     pairs = stored(stars(points).select("point_id", F.explode("star.id").alias("neighbour_id")))
-    next_, reached = pairs.withColumnsRenamed({"point_id": "neighbour_id", "neighbour_id": "further"}), pairs
-    for _ in range(level - 1):
-        more = reached.join(next_, "neighbour_id").select("point_id", F.col("further").alias("neighbour_id")).where("point_id != neighbour_id")
-        reached = reached.unionByName(more).distinct()
+    next_, reached = pairs.select(F.col("point_id").alias("neighbour_id"), F.col("neighbour_id").alias("further")), pairs.withColumn("level", F.lit(1))
+    for k in range(1, level):
+        more = reached.where(F.col("level") == k).join(next_, "neighbour_id").where("point_id != further").select("point_id", F.col("further").alias("neighbour_id"), F.lit(k + 1).alias("level"))
+        reached = reached.unionByName(more).groupBy("point_id", "neighbour_id").agg(F.min("level").alias("level"))
     at = points.select("point_id", "lon", "lat")
     other = at.select(F.col("point_id").alias("neighbour_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     turn = F.col("lon2") - F.col("lon")
     azimuth = F.atan2(F.sin(turn) * F.cos("lat2"), F.cos("lat") * F.sin("lat2") - F.sin("lat") * F.cos("lat2") * F.cos(turn))
-    return reached.join(at, "point_id").join(other, "neighbour_id").select("point_id", "neighbour_id", F.pmod(azimuth, F.lit(2 * math.pi)).alias("azimuth"))
+    return reached.join(at, "point_id").join(other, "neighbour_id").select("point_id", "neighbour_id", "level", F.pmod(azimuth, F.lit(2 * math.pi)).alias("azimuth"))
 
 
 def voronoi_cells(points: DataFrame, f: float = FLATTENING) -> DataFrame:

@@ -42,10 +42,8 @@ az AS (SELECT two.p AS point_id, two.q AS neighbour_id, one.p IS NOT NULL AS adj
 SELECT point_id, neighbour_id, adjacent, round(CASE WHEN az < 0 THEN az + 2 * pi() ELSE az END, 7) AS azimuth FROM az""")
 def join11_point_neighbours(spark, sf):
     """Suppliers at most two Voronoi cells apart."""
-    points = rel.points(spark, sf)
-    one = voronoi.neighbours(points).select("point_id", "neighbour_id", F.lit(True).alias("adjacent"))
-    both = voronoi.neighbours(points, 2).join(one, ["point_id", "neighbour_id"], "left").fillna(False, ["adjacent"])
-    return rounded(both.select("point_id", "neighbour_id", "adjacent", "azimuth"), azimuth=7)
+    found = voronoi.neighbours(rel.points(spark, sf), 2)
+    return rounded(found.select("point_id", "neighbour_id", (F.col("level") == 1).alias("adjacent"), "azimuth"), azimuth=7)
 
 
 @query(f"""WITH {POINT}, {_triangles(AUTHALIC)}, h AS (SELECT p.point_id, p.x AS px, p.y AS py, p.z AS pz, cx, cy, cz, {_middle('m', 'q')}, {_middle('n', 'r')} FROM turned JOIN v p ON p.point_id = turned.p JOIN v q ON q.point_id = turned.q JOIN v r ON r.point_id = turned.r)
