@@ -27,7 +27,7 @@ ESCAPE = 15
 #: Ids in a block; a block starts a new word, so that blocks can be decoded alone.
 BLOCK = 4096
 #: Text bytes in a file, and bytes of a generation of the words that a worker remembers, some 200 of them for the objects of each word.
-FILE_BYTES, KNOWN_BYTES, WORD_BYTES = 24 << 20, 64 << 20, 200
+FILE_BYTES, KNOWN_BYTES, WORD_BYTES = 24 << 20, 112 << 20, 200
 #: Longer words are encoded whenever they are met.
 LONG_WORD = 128
 #: What stands between new words that are encoded as one text, and how many there are of them.
