@@ -155,7 +155,7 @@ def spectrum(series: DataFrame, by: list[str], step: float, length: int = 256, w
     return sums.select(*by, (F.col("_k") / (length * step)).alias("frequency"), (F.expr("x * x * cc + 2 * x * y * cs + y * y * ss") / step * math.sqrt(2)).alias("psd"))
 
 
-def segments(series: DataFrame, by: list[str], step: float, length: int) -> DataFrame:
+def value_runs(series: DataFrame, by: list[str], step: float, length: int) -> DataFrame:
     """Rows (by, segment, values): runs of at most `length` values whose gaps are no longer than one and a half steps."""
     line = W.partitionBy(*by).orderBy("mjd")
     opened = series.withColumn("_gap", F.coalesce((F.col("mjd") - F.lag("mjd").over(line) > 1.5 * step).cast("int"), F.lit(0)))
@@ -174,7 +174,7 @@ def component_spectrum(series: DataFrame, by: list[str], step: float, length: in
     sums of the inverse's diagonals; their transforms give a factor for each component. An iteration is one pass over the
     segments, and what the driver holds is `length` components a series. Segments of one value count for nothing.
     """
-    held = stored(segments(series, by, step, length).where(F.size("values") > 1))
+    held = stored(value_runs(series, by, step, length).where(F.size("values") > 1))
     n = held.agg(F.max(F.size("values"))).first()[0]
     schema = held.select(*by).schema.add("frequency", "double").add("psd", "double")
     if n is None:

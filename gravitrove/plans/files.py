@@ -115,10 +115,10 @@ def src16_gridded_mascons(spark, sf):
     return rounded(mascons.read_mascon_grids(spark, _gridded(spark, sf)), lon=11, lat=11, value=8)
 
 
-@query(f"WITH {POINT}, {GRIDDED}, c AS (SELECT DISTINCT lon, lat FROM g), d AS (SELECT p.point_id, c.lon, c.lat, sin(p.lat * 9e-1) * sin(radians(c.lat)) + cos(p.lat * 9e-1) * cos(radians(c.lat)) * cos(radians(c.lon) - p.lon) AS s FROM f_point p, c), b AS (SELECT point_id, arg_max(lon, s) AS lon, arg_max(lat, s) AS lat FROM d GROUP BY 1) SELECT TIMESTAMP '2002-01-01' + step * INTERVAL 30 HOUR AS epoch, point_id, round(lwe / 100, 8) AS value FROM b JOIN g USING (lon, lat)")
+@query(f"WITH {POINT}, {GRIDDED}, c AS (SELECT DISTINCT lon, lat FROM g), d AS (SELECT p.point_id, c.lon, c.lat, sin(p.lat * 9e-1) * sin(radians(c.lat)) + cos(p.lat * 9e-1) * cos(radians(c.lat)) * cos(radians(c.lon) - p.lon * 99e-2) AS s FROM f_point p, c), b AS (SELECT point_id, arg_max(lon, s) AS lon, arg_max(lat, s) AS lat FROM d GROUP BY 1) SELECT TIMESTAMP '2002-01-01' + step * INTERVAL 30 HOUR AS epoch, point_id, round(lwe / 100, 8) AS value FROM b JOIN g USING (lon, lat)")
 def src15_mascons_on_their_grid(spark, sf):
-    """The suppliers, drawn off the poles where all meridians are as near, as the points on which the delivered grid was estimated."""
-    points = rel.points(spark, sf).withColumn("lat", 0.9 * F.col("lat"))
+    """The suppliers, drawn off the poles and the meridian of 180 degrees, where cells are equally near, as the points on which the delivered grid was estimated."""
+    points = rel.points(spark, sf).withColumns({"lat": 0.9 * F.col("lat"), "lon": 0.99 * F.col("lon")})
     return rounded(mascons.read_mascons_on_their_grid(spark, _gridded(spark, sf), points), value=8)
 
 
