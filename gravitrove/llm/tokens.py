@@ -203,11 +203,13 @@ class TextTokens:
             new = list(fresh - met)
             codes = {w: self.older[w] for w in met} | dict(zip(new, self._encoded_words(new)))
             short = {w: code for w, code in codes.items() if len(w) <= LONG_WORD}
-            self.known.update(short)
+            self.known.update(codes)
             self.bytes += sum(map(len, short)) + sum(map(len, short.values())) + WORD_BYTES * len(short)
             for i in lacking:
-                found[i] = [self.known[w] if w in self.known else codes[w] for w in split[i]]
+                found[i] = map(self.known.__getitem__, split[i])
             coded = [b"".join(c) + self.end for c in found]
+            for w in codes.keys() - short.keys():
+                del self.known[w]
             if self.bytes > KNOWN_BYTES:
                 self.known, self.older, self.bytes = {}, self.known, 0
         else:
