@@ -28,7 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no near copy precedes (five-word shingles, similarity of 0.8 or more).
 
-    One row of each group stays, repeated rows and rows without words included; see similar.without_near_copies.
+    Candidates come from the SimHash index and, where similar texts differ in more bits than it guarantees, from MinHash
+    bands. One row of each group stays, repeated rows and rows without words included; see similar.without_near_copies.
     """
     return similar.without_near_copies(docs, size=5, least=0.8)
 

@@ -1,4 +1,4 @@
-"""Near copies by the similarity of word shingles: MinHash bands give candidates, exact Jaccard similarity decides."""
+"""Near copies by the similarity of word shingles: SimHash links and MinHash bands give candidates, exact Jaccard similarity decides."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import as_bytes, free_name, map_texts, materialise, pieces, plain_names
-from .simhash import shingle_hashes
+from .simhash import components, fingerprint, links, shingle_hashes
 
 #: Bands of so many minima each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^16 = 0.9998.
 BANDS, ROWS = 16, 4
@@ -31,17 +31,26 @@ def bands(shingles: np.ndarray) -> list[int]:
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (node, n, same, bands): node orders the rows of docs, null ids last; same stands for the set of shingles."""
+    """Rows (node, n, same, fp, bands): node orders the rows of docs, null ids last; same stands for the set of shingles."""
 
     def run(batches):
         for piece in pieces(batches):
-            sets = [np.unique(shingle_hashes(t, size)) for t in as_bytes(piece.column("text"))]
+            hashes = [shingle_hashes(t, size) for t in as_bytes(piece.column("text"))]
+            sets = [np.unique(h) for h in hashes]
+            same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [piece.column("node"), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                names=["node", "n", "same", "bands"],
+                [piece.column("node"), pa.array(map(len, sets), pa.int64()), same, pa.array(map(fingerprint, hashes), pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
+                names=["node", "n", "same", "fp", "bands"],
             )
 
-    return map_texts(docs, run, StructType([docs.schema["node"]]).add("n", "long").add("same", "binary").add("bands", ArrayType(LongType())))
+    return map_texts(docs, run, StructType([docs.schema["node"]]).add("n", "long").add("same", "binary").add("fp", "long").add("bands", ArrayType(LongType())))
+
+
+def _linked(whole: DataFrame, most: int) -> DataFrame:
+    """Rows (node, n, key): texts whose SimHash fingerprints the links of the inverted index connect share a key."""
+    worded = whole.where("n > 0")
+    roots = materialise(components(links(materialise(worded.select("fp").distinct()), most)).withColumnRenamed("node", "fp"))
+    return worded.join(roots, "fp", "left").select("node", "n", F.xxhash64(F.lit("links"), F.coalesce("root", "fp")).alias("key"))
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
@@ -126,11 +135,12 @@ def _preceded(posted: DataFrame, rest: DataFrame, docs: DataFrame, size: int, le
 
 
 @plain_names
-def without_near_copies(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_copies(docs: DataFrame, *, size: int = 5, least: float = 0.8, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that no near copy precedes; all columns stay.
 
-    A near copy shares a band and has a similarity of at least `least` of the shingles of `size` words. Texts whose
-    bands have most members precede, so that of a group the most central text stays; then the order is by id (null
+    A near copy shares a band and has a similarity of at least `least` of the shingles of `size` words. The texts that
+    SimHash links of at most `most` differing bits connect (see simhash.links) are one band, the others are MinHash
+    bands: fingerprints of similar texts may differ in more bits than the index guarantees. Texts whose bands have most members precede, so that of a group the most central text stays; then the order is by id (null
     last) and by a hash of the text. Each text is compared with the first of its bands; the others
     of its bands follow only if no near copy was found, and are compared in blocks, so no pairs are written out. No two rows that
     stay are near copies, a row without a near copy stays, and of repeated rows one stays. Texts without words
@@ -140,9 +150,9 @@ def without_near_copies(docs: DataFrame, *, size: int = 5, least: float = 0.8, i
     node = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text"))
     read = docs.select(node.alias("node"), F.col(text_col).alias("text"))
     marked = materialise(_signatures(read, size))
-    whole = marked.groupBy("same").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")).drop("same")
+    whole = marked.groupBy("same").agg(F.min("node").alias("node"), *[F.first(c).alias(c) for c in ("n", "fp", "bands")]).drop("same")
     whole = materialise(whole)
-    posted = whole.select("node", "n", F.explode("bands").alias("key"))
+    posted = materialise(whole.select("node", "n", F.explode("bands").alias("key")).unionByName(_linked(whole, most)))
     members = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     posted = materialise(posted.join(members, "key"))
     scores = posted.groupBy("node").agg(F.struct((-F.sum("members")).alias("score"), "node").alias("place"))
