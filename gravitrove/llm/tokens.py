@@ -124,6 +124,8 @@ LOCAL_SPLITS = [
     {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
+#: A word of printable ASCII, and the runs that WORD_PATTERN splits it into; the byte level leaves each as it is.
+PRINTABLE, RUN = re.compile(rb"[!-~]+"), re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 #: Members of a definition without which each word is encoded for itself alone; a model that only looks at its own word.
 ABSENT = ("truncation", "padding", "post_processor")
 LOCAL_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
@@ -154,14 +156,29 @@ class TextTokens:
     Words are encoded once while they are remembered, if the tokenizer never looks across white space. After
     KNOWN_BYTES of new ones the generation before is forgotten but for the words met again, so memory is bounded by twice
     that and by one piece of texts, however long the worker lives. Words of more than LONG_WORD bytes are not remembered.
+    Words of printable ASCII share the runs of letters, digits and signs that the pre-tokenizer splits them into; each
+    run goes through the model once while it is remembered.
     """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end], "<u4").tobytes()
         with open(path, encoding="utf-8") as file:
-            self.by_word = drops_spaces(json.load(file))
+            definition = json.load(file)
+        self.by_word = drops_spaces(definition)
+        if self.by_word:
+            steps = definition.get("normalizer") or {"normalizers": []}
+            self.lowers = {"type": "Lowercase"} in steps.get("normalizers", [steps])
+            self.added = [t["content"].lower().encode() for t in definition.get("added_tokens", [])]
+            self.model = Tokenizer.from_file(path)
+            self.model.normalizer, self.model.pre_tokenizer = Sequence([]), CharDelimiterSplit(" ")
+            vocabulary = self.model.get_vocab()
+            self.ends_run = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_run[[i for token, i in vocabulary.items() if token.endswith(LOCAL_MODEL["end_of_word_suffix"])]] = True
+        self.runs: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[bytes, bytes] = {}
@@ -174,7 +191,36 @@ class TextTokens:
         ends = list(accumulate(4 * len(x) for x in found))
         return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
+    def _encoded_runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs of printable ASCII by the model alone: many make one text, and the ids that end a run part them."""
+        groups = [runs[i : i + WORDS_A_TEXT] for i in range(0, len(runs), WORDS_A_TEXT)]
+        out: list[bytes] = []
+        for group, encoded in zip(groups, self.model.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends_run[ids]) + 4).tolist()
+            if len(ends) != len(group):
+                out += self._encoded(group)
+            else:
+                raw = ids.tobytes()
+                out += [raw[i:j] for i, j in zip([0, *ends], ends)]
+        return out
+
     def _encoded_words(self, words: list[bytes]) -> list[bytes]:
+        """As _encoded, for words of a tokenizer that never looks across white space, those of printable ASCII by runs."""
+        all_ = b" ".join(words).lower()
+        plain = [bool(PRINTABLE.fullmatch(w)) for w in words] if not any(t in all_ for t in self.added) else [False] * len(words)
+        split = [RUN.findall(w.lower() if self.lowers else w) for w, p in zip(words, plain) if p]
+        new = list({r for s in split for r in s} - self.runs.keys())
+        self.runs.update(zip(new, self._encoded_runs(new)))
+        found, others = iter([b"".join(map(self.runs.__getitem__, s)) for s in split]), iter(self._encoded_marked([w for w, p in zip(words, plain) if not p]))
+        for r in new:
+            if len(r) > LONG_WORD:
+                del self.runs[r]
+            else:
+                self.bytes += len(r) + len(self.runs[r]) + WORD_BYTES
+        return [next(found if p else others) for p in plain]
+
+    def _encoded_marked(self, words: list[bytes]) -> list[bytes]:
         """As _encoded, for words of a tokenizer that never looks across white space: many words make one text.
 
         The mark between two words is a word of one id; a group whose marks can't be told apart is encoded word by word.
@@ -211,7 +257,7 @@ class TextTokens:
             for w in codes.keys() - short.keys():
                 del self.known[w]
             if self.bytes > KNOWN_BYTES:
-                self.known, self.older, self.bytes = {}, self.known, 0
+                self.known, self.older, self.runs, self.bytes = {}, self.known, {}, 0
         else:
             coded = [x + self.end for x in self._encoded(texts)]
         return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4

@@ -1,0 +1,28 @@
+"""Words of printable ASCII are encoded by their runs, each of which the model sees once."""
+
+import random
+import string
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from gravitrove.llm import tokens
+
+
+def test_runs_are_shared():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, whole = tokens.TextTokens(path, 2), Tokenizer.from_file(path)
+    seen, encode = [], coder._encoded_runs
+    coder._encoded_runs = lambda runs: seen.extend(runs) or encode(runs)
+    r = random.Random(4)
+    words = ["".join(r.choices(string.printable[:94], k=r.randint(1, 12))) for _ in range(3000)]
+    words += ["Reoush", "reoush.", "(REOUSH)", "reoush's", "it'S", "--'s", "''''d", "</w>", "a</w>b", "<|endoftext|>", "x<|ENDOFTEXT|>y", "x<|endoftext|>y", "\x01a", "a\x7fb", "é", "É,", "á", "q" * 300 + "!" * 200]
+    for batch in (words, words[-18:-9], [" ".join(words)], ["Reoush reoush, REOUSH", "\x1c a\x85b"]):
+        ids, sizes = coder.of([w.encode() for w in batch])
+        wanted = [[*whole.encode(w, add_special_tokens=False).ids, 2] for w in batch]
+        assert ids.tolist() == sum(wanted, []) and sizes.tolist() == [len(w) for w in wanted]
+    coder, seen[:] = tokens.TextTokens(path, 2), []
+    encode, coder._encoded_runs = coder._encoded_runs, lambda runs: seen.extend(runs) or encode(runs)
+    coder.of([b"Reoush reoush. (REOUSH)", b"reoush! reoush's"])
+    assert len(seen) == len(set(seen)) and seen.count(b"reoush") == 1
+    assert not any(len(run) > tokens.LONG_WORD for run in coder.runs)
