@@ -11,6 +11,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,6 +33,8 @@ FILE_BYTES, KNOWN_BYTES, WORD_BYTES = 24 << 20, 112 << 20, 200
 LONG_WORD = 128
 #: What stands between new words that are encoded as one text, and how many there are of them.
 MARK, WORDS_A_TEXT = b"|", 50
+#: New runs of plain words that are encoded as one text.
+RUNS_A_TEXT = 200
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -124,6 +127,13 @@ LOCAL_SPLITS = [
     {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
+#: Words whose runs by WORD_PATTERN are found here: visible ASCII and the letters of Latin-1, which NFC leaves alone. A line ends each of them.
+PLAIN_WORD = re.compile(rb"[!-~]*(?:\xC3[\x80-\x96\x98-\xB6\xB8-\xBF][!-~]*)*")
+PLAIN_RUN = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\nA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+#: The character that the byte level puts for each byte, itself if it is a visible one of Latin-1; what ends a word among its ids.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+BYTE_LEVEL = "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in range(256))
+WORD_END = b"\xff" * 4
 #: Members of a definition without which each word is encoded for itself alone; a model that only looks at its own word.
 ABSENT = ("truncation", "padding", "post_processor")
 LOCAL_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
@@ -148,20 +158,39 @@ def drops_spaces(definition: dict) -> bool:
     )
 
 
+def _listed(strings: pa.LargeStringArray) -> list[bytes]:
+    """The bytes of each string of an array that dictionary_encode made; to_pylist() makes an object more of each."""
+    _, offsets, raw = strings.buffers()
+    if not len(strings):
+        return []
+    ends, raw = np.frombuffer(offsets, "<i8", len(strings) + 1).tolist(), raw.to_pybytes() if raw else b""
+    return [raw[i:j] for i, j in zip(ends, ends[1:])]
+
+
 class TextTokens:
     """Ids of texts, as bytes of unsigned 32-bit integers.
 
-    Words are encoded once while they are remembered, if the tokenizer never looks across white space. After
+    Distinct words of some texts are encoded once while they are remembered, if the tokenizer never looks across white space. After
     KNOWN_BYTES of new ones the generation before is forgotten but for the words met again, so memory is bounded by twice
     that and by one piece of texts, however long the worker lives. Words of more than LONG_WORD bytes are not remembered.
     """
 
     def __init__(self, path: str, end: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end], "<u4").tobytes()
         with open(path, encoding="utf-8") as file:
-            self.by_word = drops_spaces(json.load(file))
+            definition = json.load(file)
+        self.by_word, self.runs = drops_spaces(definition), None
+        if self.by_word:
+            vocabulary, steps = definition["model"]["vocab"], definition.get("normalizer") or {}
+            self.lower = {"type": "Lowercase"} in steps.get("normalizers", [steps])
+            self.added = re.compile(b"|".join(re.escape(t["content"].encode()) for t in definition.get("added_tokens", [])) or b"(?!)")
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run
+            self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+            if all({c, c + "</w>"} <= vocabulary.keys() for c in BYTE_LEVEL):
+                self.runs = Tokenizer.from_file(path)  # the same model, for runs between spaces
+                self.runs.normalizer, self.runs.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[bytes, bytes] = {}
@@ -175,7 +204,36 @@ class TextTokens:
         return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
     def _encoded_words(self, words: list[bytes]) -> list[bytes]:
-        """As _encoded, for words of a tokenizer that never looks across white space: many words make one text.
+        """As _encoded, for words of a tokenizer that never looks across white space: plain ones by their runs, others many to a text."""
+        plain = [self.runs is not None and PLAIN_WORD.fullmatch(w) is not None for w in words]
+        if self.runs is not None and self.added.search(b"\n".join(words)):
+            plain = [p and self.added.search(w) is None for p, w in zip(plain, words)]
+        by_runs, others = (iter(f([w for w, p in zip(words, plain) if p == k])) for f, k in ((self._encoded_runs, True), (self._encoded_groups, False)))
+        return [next(by_runs if p else others) for p in plain]
+
+    def _encoded_runs(self, words: list[bytes]) -> list[bytes]:
+        """As _encoded, for plain words: the model sees each distinct run once, and not at all if it is a word that is remembered.
+
+        The last id of a run, and no other, is of an entry that ends a run.
+        """
+        lines = b"\n".join([*words, b""]).decode()
+        split = PLAIN_RUN.findall(lines.lower() if self.lower else lines)
+        codes = dict.fromkeys(split)
+        for r in codes:
+            codes[r] = self.known.get(r.encode()) or self.older.get(r.encode())
+        codes["\n"] = WORD_END
+        new = [r for r, code in codes.items() if code is None]
+        shown = [r if r.isascii() else r.encode().decode("latin-1").translate(BYTE_LEVEL) for r in new]
+        texts = [" ".join(shown[i : i + RUNS_A_TEXT]) for i in range(0, len(shown), RUNS_A_TEXT)]
+        found = self.runs.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in found), "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        flat = ids.tobytes()
+        codes.update(zip(new, [flat[i:j] for i, j in zip([0, *ends], ends)], strict=True))
+        return b"".join(map(codes.__getitem__, split)).split(WORD_END)[:-1]
+
+    def _encoded_groups(self, words: list[bytes]) -> list[bytes]:
+        """As _encoded, for words of any kind: many words make one text.
 
         The mark between two words is a word of one id; a group whose marks can't be told apart is encoded word by word.
         """
@@ -195,27 +253,36 @@ class TextTokens:
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and the number of ids of each text."""
         if self.by_word:
-            split = [t.split() for t in texts]
-            found = [list(map(self.known.get, words)) for words in split]
-            lacking = [i for i, codes in enumerate(found) if None in codes]
-            fresh = {w for i in lacking for w, code in zip(split[i], found[i]) if code is None}
-            met = fresh & self.older.keys()
-            new = list(fresh - met)
-            codes = {w: self.older[w] for w in met} | dict(zip(new, self._encoded_words(new)))
-            short = {w: code for w, code in codes.items() if len(w) <= LONG_WORD}
-            self.known.update(codes)
-            self.bytes += sum(map(len, short)) + sum(map(len, short.values())) + WORD_BYTES * len(short)
-            for i in lacking:
-                found[i] = map(self.known.__getitem__, split[i])
-            coded = [b"".join(c) + self.end for c in found]
-            for w in codes.keys() - short.keys():
-                del self.known[w]
-            if self.bytes > KNOWN_BYTES:
-                self.known, self.older, self.bytes = {}, self.known, 0
-        else:
-            coded = [x + self.end for x in self._encoded(texts)]
+            split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+            words = split.flatten().dictionary_encode()
+            codes = self._codes(_listed(words.dictionary))
+            flat = np.frombuffer(b"".join([*codes, self.end]), "<u4")
+            held = np.append(np.fromiter(map(len, codes), np.int64, len(codes)) // 4, 1)
+            ends = np.cumsum(split.value_lengths().to_numpy())
+            at = np.insert(words.indices.to_numpy(), ends, len(codes))
+            n = held[at]
+            done = np.cumsum(n)
+            ids = flat[np.repeat((np.cumsum(held) - held)[at] - (done - n), n) + np.arange(n.sum())]
+            return ids, np.diff(done[ends + np.arange(len(texts))], prepend=0)
+        coded = [x + self.end for x in self._encoded(texts)]
         return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
 
+    def _codes(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, which are remembered."""
+        found = list(map(self.known.get, words))
+        lacking = [i for i, code in enumerate(found) if code is None]
+        for i in lacking:
+            found[i] = self.older.get(words[i])
+        new = [i for i in lacking if found[i] is None]
+        for i, code in zip(new, self._encoded_words([words[i] for i in new])):
+            found[i] = code
+        short = {words[i]: found[i] for i in lacking if len(words[i]) <= LONG_WORD}
+        self.known.update(short)
+        self.bytes += sum(map(len, short)) + sum(map(len, short.values())) + WORD_BYTES * len(short)
+        if self.bytes > KNOWN_BYTES:
+            self.known, self.older, self.bytes = {}, self.known, 0
+        return found
+
 
 @cache
 def text_tokens(path: str, end: int) -> TextTokens:
@@ -245,7 +312,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int = 2, id
 
     def run(batches):
         coder, start, file = text_tokens(tokenizer, end), 0, TaskContext.get().partitionId()
-        for piece in pieces(batches, limit=1 << 20):
+        for piece in pieces(batches, limit=2 << 20):
             ids, sizes = coder.of(as_bytes(piece.column("text")))
             ends = np.cumsum(sizes)
             blocks = _block_ends(sizes)
