@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import BROADCAST_BYTES, as_bytes, map_texts, materialise, measured_bytes, pieces, shared_folder, table
+from .common import BROADCAST_BYTES, as_bytes, listed, map_texts, materialise, measured_bytes, pieces, shared_folder, table
 
 #: Fixed values of the format: a selector's number of ids in a 64-bit word, and bits of each; 4 bits hold the selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -158,15 +158,6 @@ def drops_spaces(definition: dict) -> bool:
     )
 
 
-def _listed(strings: pa.LargeStringArray) -> list[bytes]:
-    """The bytes of each string of an array that dictionary_encode made; to_pylist() makes an object more of each."""
-    _, offsets, raw = strings.buffers()
-    if not len(strings):
-        return []
-    ends, raw = np.frombuffer(offsets, "<i8", len(strings) + 1).tolist(), raw.to_pybytes() if raw else b""
-    return [raw[i:j] for i, j in zip(ends, ends[1:])]
-
-
 class TextTokens:
     """Ids of texts, as bytes of unsigned 32-bit integers.
 
@@ -255,7 +246,7 @@ class TextTokens:
         if self.by_word:
             split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
             words = split.flatten().dictionary_encode()
-            codes = self._codes(_listed(words.dictionary))
+            codes = self._codes(listed(words.dictionary))
             flat = np.frombuffer(b"".join([*codes, self.end]), "<u4")
             held = np.append(np.fromiter(map(len, codes), np.int64, len(codes)) // 4, 1)
             ends = np.cumsum(split.value_lengths().to_numpy())
