@@ -6,19 +6,19 @@ import json
 import os
 import re
 import uuid
+from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import BROADCAST_BYTES, as_bytes, listed, map_texts, materialise, measured_bytes, pieces, shared_folder, table
+from .common import BATCH_BYTES, BROADCAST_BYTES, as_bytes, listed, map_texts, materialise, measured_bytes, pieces, shared_folder, table
 
 #: Fixed values of the format: a selector's number of ids in a 64-bit word, and bits of each; 4 bits hold the selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -33,8 +33,8 @@ FILE_BYTES, KNOWN_BYTES, WORD_BYTES = 24 << 20, 112 << 20, 200
 LONG_WORD = 128
 #: What stands between new words that are encoded as one text, and how many there are of them.
 MARK, WORDS_A_TEXT = b"|", 50
-#: New runs of plain words that are encoded as one text.
-RUNS_A_TEXT = 200
+#: New runs of plain words that are encoded as one text, and texts that the library is given at once, which bounds what it holds.
+RUNS_A_TEXT, TEXTS_A_CALL = 200, 8
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -48,20 +48,17 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(ids)
     ids = ids.astype(np.uint64)
-    width = _bit_length(ids)
     selector = np.full(n, ESCAPE, np.uint8)
-    most, have, open_ = width, 1, {}
+    most, have = _bit_length(ids), 1
     for count in sorted(set(COUNTS.tolist())):  # running maxima of the next `count` widths
         while have < count:
             step = min(have, count - have)
-            most = np.maximum(most, np.concatenate([most[step:], np.zeros(min(step, n), np.uint8)])[:n])
+            most[: max(n - step, 0)] = np.maximum(most[: max(n - step, 0)], most[step:])
             have += step
-        open_[count] = most
-        if not (most <= WIDTHS[COUNTS == count].max()).any():
+        fits = most <= WIDTHS[COUNTS == count].max()
+        if not fits.any():
             break
-    for k in range(ESCAPE - 1, -1, -1):
-        if COUNTS[k] in open_:
-            selector[open_[COUNTS[k]] <= WIDTHS[k]] = k
+        np.copyto(selector, np.flatnonzero(COUNTS == count)[0], where=fits, casting="unsafe")
     limit = np.repeat(ends, np.diff(np.append(0, ends)))
     after = np.minimum(np.arange(n) + COUNTS[selector], limit)
     reached, at = np.append(0, ends[:-1]) if n else np.zeros(0, np.int64), []
@@ -73,15 +70,14 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.cumsum(1 + (chosen == ESCAPE)) - 1 - (chosen == ESCAPE)
     words = np.zeros(len(at) + int((chosen == ESCAPE).sum()), np.uint64)
     words[place] = chosen
-    for k in np.unique(chosen).tolist():
-        here = np.flatnonzero(chosen == k)
-        if k == ESCAPE:
-            words[place[here] + 1] = ids[at[here]]
-        elif WIDTHS[k]:
-            for j in range(COUNTS[k]):
-                source = at[here] + j
-                inside = source < after[at[here]]
-                words[place[here[inside]]] |= ids[source[inside]] << np.uint64(4 + j * WIDTHS[k])
+    held = after[at] - at
+    width = np.repeat(np.where(chosen == ESCAPE, 0, WIDTHS[chosen]).astype(np.uint8), held)
+    shift = 4 + width * (np.arange(n).astype(np.uint8) - np.repeat(at.astype(np.uint8), held))  # no word holds 256 ids
+    escaped = np.flatnonzero(chosen == ESCAPE)
+    words[place[escaped] + 1] = ids[at[escaped]]
+    ids[at[escaped]] = 0
+    if n:
+        words[place] |= np.bitwise_or.reduceat(ids << shift, at)
     offsets = np.append(place, len(words))[np.searchsorted(at, np.append(0, ends))]
     return words, offsets
 
@@ -127,13 +123,16 @@ LOCAL_SPLITS = [
     {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
-#: Words whose runs by WORD_PATTERN are found here: visible ASCII and the letters of Latin-1, which NFC leaves alone. A line ends each of them.
-PLAIN_WORD = re.compile(rb"[!-~]*(?:\xC3[\x80-\x96\x98-\xB6\xB8-\xBF][!-~]*)*")
-PLAIN_RUN = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\nA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
-#: The character that the byte level puts for each byte, itself if it is a visible one of Latin-1; what ends a word among its ids.
+#: Kinds of bytes by WORD_PATTERN: visible ASCII, and the two bytes of the letters of Latin-1, which NFC leaves alone; the rest is OTHER.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KINDS = bytes(SPACE if b in b" \t\n\v\f\r" else DIGIT if b in b"0123456789" else LETTER if b == 0xC3 or 0x80 <= b < 0xC0 or chr(b).isalpha() and b < 128 else SIGN if 33 <= b < 127 else OTHER for b in range(256))
+#: One run of such bytes; the signs of Latin-1 among its letters' second bytes.
+PLAIN_RUN = re.compile(rb"'(?:[stmd]|re|ve|ll)|(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+|[0-9]|[!-/:-@\[-`{-~]+")
+LATIN_SIGNS = (0x97, 0xB7)
+#: The character that the byte level puts for each byte, itself if it is a visible one of Latin-1; the same with spaces as they are.
 _HIDDEN = [*range(33), *range(127, 161), 173]
 BYTE_LEVEL = "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in range(256))
-WORD_END = b"\xff" * 4
+SHOWN = BYTE_LEVEL[:32] + " " + BYTE_LEVEL[33:]
 #: Members of a definition without which each word is encoded for itself alone; a model that only looks at its own word.
 ABSENT = ("truncation", "padding", "post_processor")
 LOCAL_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
@@ -158,12 +157,19 @@ def drops_spaces(definition: dict) -> bool:
     )
 
 
+def _ids(tokenizer, texts: list[str]) -> Iterator[list[int]]:
+    for i in range(0, len(texts), TEXTS_A_CALL):
+        for encoded in tokenizer.encode_batch_fast(texts[i : i + TEXTS_A_CALL], add_special_tokens=False):
+            yield encoded.ids
+
+
 class TextTokens:
     """Ids of texts, as bytes of unsigned 32-bit integers.
 
-    Distinct words of some texts are encoded once while they are remembered, if the tokenizer never looks across white space. After
-    KNOWN_BYTES of new ones the generation before is forgotten but for the words met again, so memory is bounded by twice
-    that and by one piece of texts, however long the worker lives. Words of more than LONG_WORD bytes are not remembered.
+    If the tokenizer never looks across white space, texts are cut into words, and plain words into the runs that WORD_PATTERN
+    finds; distinct ones of some texts are encoded once while they are remembered. After KNOWN_BYTES of new ones the
+    generation before is forgotten but for those met again, so memory is bounded by twice that and by one piece of texts,
+    however long the worker lives. Those of more than LONG_WORD bytes are not remembered.
     """
 
     def __init__(self, path: str, end: int):
@@ -176,10 +182,11 @@ class TextTokens:
         if self.by_word:
             vocabulary, steps = definition["model"]["vocab"], definition.get("normalizer") or {}
             self.lower = {"type": "Lowercase"} in steps.get("normalizers", [steps])
-            self.added = re.compile(b"|".join(re.escape(t["content"].encode()) for t in definition.get("added_tokens", [])) or b"(?!)")
+            added = [t["content"].encode().lower() for t in definition.get("added_tokens", [])]
+            self.added = re.compile(b"|".join(map(re.escape, added)) or b"(?!)")
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run
             self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-            if all({c, c + "</w>"} <= vocabulary.keys() for c in BYTE_LEVEL):
+            if all({c, c + "</w>"} <= vocabulary.keys() for c in BYTE_LEVEL) and not any(not t.isascii() or PLAIN_RUN.fullmatch(t) for t in added):
                 self.runs = Tokenizer.from_file(path)  # the same model, for runs between spaces
                 self.runs.normalizer, self.runs.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
@@ -189,39 +196,66 @@ class TextTokens:
         self.bytes = 0
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(list(map(bytes.decode, texts)), add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        ends = list(accumulate(4 * len(x) for x in found))
-        return [flat[i:j] for i, j in zip([0, *ends], ends)]
+        return [np.array(x, "<u4").tobytes() for x in _ids(self.tokenizer, list(map(bytes.decode, texts)))]
+
+    def _split(self, texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The runs of plain words of texts, in the model's case, and other words whole; the number of them in each text.
+
+        Other words are those with bytes of other kinds or an added token, in any case of letters.
+        """
+        raw = b"\n".join([b"", *texts, b""])
+        pa.array([raw], pa.large_binary()).cast(pa.large_string())  # fails unless it is UTF-8
+        low = np.frombuffer(raw, np.uint8)
+        kind = np.frombuffer(raw.translate(KINDS), np.uint8)
+        inside = kind != SPACE
+        start = inside.copy()
+        if self.runs is None:
+            start[1:] &= ~inside[:-1]
+        else:
+            start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+            lowered = raw.lower()
+            second = np.flatnonzero(low == 0xC3) + 1
+            byte = low[second]
+            if self.lower:
+                low = np.frombuffer(bytearray(lowered), np.uint8)
+                low[second[byte < 0x9F]] += 32
+            quotes = np.flatnonzero(low[:-2] == ord("'"))  # a quote that begins a run may begin one of the pattern's endings
+            quotes = quotes[kind[quotes - 1] != SIGN]
+            one, two = low[quotes + 1], low[quotes + 2]
+            length = 2 * np.isin(one, list(b"stmd")) + 3 * (np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+            quotes, length = quotes[length > 0], length[length > 0]
+            start[quotes + 1] = False
+            start[quotes + length] = inside[quotes + length]
+            odd = [np.flatnonzero(kind == OTHER), second[np.isin(byte, LATIN_SIGNS)], np.fromiter((m.start() for m in self.added.finditer(lowered)), np.int64)]
+            if any(map(len, odd)):  # their words stay whole, in their own case
+                begins = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+                which = np.unique(np.searchsorted(begins, np.concatenate(odd), "right")) - 1
+                step = np.zeros(len(raw), np.int8)
+                step[begins[which]] = 1
+                step[np.flatnonzero(inside[:-1] & ~inside[1:])[which] + 1] = -1
+                whole = np.cumsum(step, dtype=np.int8).view(bool)
+                start[whole] = False
+                start[begins[which]] = True
+                low = np.where(whole, np.frombuffer(raw, np.uint8), low)
+        kept = low[inside]
+        offsets = np.append(np.flatnonzero(start[inside]), len(kept))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        counts = np.add.reduceat(start, np.cumsum(sizes) - sizes + 1, dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)]), counts
 
     def _encoded_words(self, words: list[bytes]) -> list[bytes]:
-        """As _encoded, for words of a tokenizer that never looks across white space: plain ones by their runs, others many to a text."""
-        plain = [self.runs is not None and PLAIN_WORD.fullmatch(w) is not None for w in words]
-        if self.runs is not None and self.added.search(b"\n".join(words)):
-            plain = [p and self.added.search(w) is None for p, w in zip(plain, words)]
+        """As _encoded, for runs and words as _split gives them: single runs by the model alone, others many to a text."""
+        plain = [self.runs is not None and PLAIN_RUN.fullmatch(w) is not None for w in words]
         by_runs, others = (iter(f([w for w, p in zip(words, plain) if p == k])) for f, k in ((self._encoded_runs, True), (self._encoded_groups, False)))
         return [next(by_runs if p else others) for p in plain]
 
-    def _encoded_runs(self, words: list[bytes]) -> list[bytes]:
-        """As _encoded, for plain words: the model sees each distinct run once, and not at all if it is a word that is remembered.
-
-        The last id of a run, and no other, is of an entry that ends a run.
-        """
-        lines = b"\n".join([*words, b""]).decode()
-        split = PLAIN_RUN.findall(lines.lower() if self.lower else lines)
-        codes = dict.fromkeys(split)
-        for r in codes:
-            codes[r] = self.known.get(r.encode()) or self.older.get(r.encode())
-        codes["\n"] = WORD_END
-        new = [r for r, code in codes.items() if code is None]
-        shown = [r if r.isascii() else r.encode().decode("latin-1").translate(BYTE_LEVEL) for r in new]
-        texts = [" ".join(shown[i : i + RUNS_A_TEXT]) for i in range(0, len(shown), RUNS_A_TEXT)]
-        found = self.runs.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(x.ids for x in found), "<u4")
+    def _encoded_runs(self, runs: list[bytes]) -> list[bytes]:
+        """As _encoded, for plain runs. The last id of a run, and no other, is of an entry that ends a run."""
+        texts = [b" ".join(runs[i : i + RUNS_A_TEXT]).decode("latin-1").translate(SHOWN) for i in range(0, len(runs), RUNS_A_TEXT)]
+        ids = np.fromiter(chain.from_iterable(_ids(self.runs, texts)), "<u4")
         ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
         flat = ids.tobytes()
-        codes.update(zip(new, [flat[i:j] for i, j in zip([0, *ends], ends)], strict=True))
-        return b"".join(map(codes.__getitem__, split)).split(WORD_END)[:-1]
+        return [flat[i:j] for _, i, j in zip(runs, [0, *ends][:-1], ends, strict=True)]
 
     def _encoded_groups(self, words: list[bytes]) -> list[bytes]:
         """As _encoded, for words of any kind: many words make one text.
@@ -231,8 +265,8 @@ class TextTokens:
         groups = [words[i : i + WORDS_A_TEXT] for i in range(0, len(words), WORDS_A_TEXT)]
         texts = [(b" " + MARK + b" ").join(group).decode() for group in groups]
         out: list[bytes] = []
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(encoded.ids, "<u4")
+        for group, encoded in zip(groups, _ids(self.tokenizer, texts)):
+            ids = np.array(encoded, "<u4")
             marks = 4 * np.flatnonzero(ids == self.mark)
             if self.mark is None or len(marks) != len(group) - 1 or any(MARK in w for w in group):
                 out += self._encoded(group)
@@ -244,12 +278,12 @@ class TextTokens:
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and the number of ids of each text."""
         if self.by_word:
-            split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
-            words = split.flatten().dictionary_encode()
+            found, counts = self._split(texts)
+            words = found.dictionary_encode()
             codes = self._codes(listed(words.dictionary))
             flat = np.frombuffer(b"".join([*codes, self.end]), "<u4")
             held = np.append(np.fromiter(map(len, codes), np.int64, len(codes)) // 4, 1)
-            ends = np.cumsum(split.value_lengths().to_numpy())
+            ends = np.cumsum(counts)
             at = np.insert(words.indices.to_numpy(), ends, len(codes))
             n = held[at]
             done = np.cumsum(n)
@@ -259,7 +293,7 @@ class TextTokens:
         return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
 
     def _codes(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words, which are remembered."""
+        """Ids of distinct runs and words, which are remembered."""
         found = list(map(self.known.get, words))
         lacking = [i for i, code in enumerate(found) if code is None]
         for i in lacking:
@@ -303,7 +337,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int = 2, id
 
     def run(batches):
         coder, start, file = text_tokens(tokenizer, end), 0, TaskContext.get().partitionId()
-        for piece in pieces(batches, limit=2 << 20):
+        for piece in pieces(batches, limit=BATCH_BYTES):
             ids, sizes = coder.of(as_bytes(piece.column("text")))
             ends = np.cumsum(sizes)
             blocks = _block_ends(sizes)
